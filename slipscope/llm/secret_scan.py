@@ -48,11 +48,8 @@ BASE16 = "0123456789abcdef"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def located(text: Column, pattern: str, kind: int, fine: Column | None = None, group: int = 0) -> Column:
-    """Spans of all matches from left to right, by the lengths of the matches and of what lies between them.
-
-    ``fine`` tells from (the matches' group) which to keep; a match that isn't kept still uses up its text.
-    """
+def located(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """Spans of all matches from left to right, by the lengths of the matches and of what lies between; with the group's value."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     checked = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
@@ -79,9 +76,10 @@ def base_spans(text: Column) -> Column:
     # Runs of hex digits are as long as they can be, so those of 32 or more are all matches of the longer pattern.
     hexes = located(text, HEX.replace("+", "{32,}"), 2)
     parts = [
-        F.when(text.rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), _without_value(assign)).otherwise(none),
+        # Cheap looks first: most texts have no sign of assignment, and a run is looked at from its beginning only.
+        F.when(text.contains("=") | text.contains(":"), F.when(text.rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), _without_value(assign)).otherwise(none)).otherwise(none),
         F.when(text.contains("AKIA"), _without_value(access)).otherwise(none),
-        F.when(text.rlike("[0-9a-f]{32}"), _without_value(hexes)).otherwise(none),
+        F.when(text.rlike("(?<![0-9a-f])[0-9a-f]{32}"), _without_value(hexes)).otherwise(none),
     ]
     return F.array_sort(F.concat(*parts))
 
@@ -92,7 +90,7 @@ def random_candidates(text: Column, base: Column) -> Column:
         located(text, RUN, 3),
         lambda s: (classes(s["value"]) >= 2) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    return F.when(text.rlike(RUN), found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>"))
+    return F.when(text.rlike("(?<!%s)%s" % (RUN.split("{")[0], RUN.replace(",", ""))), found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -183,6 +181,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     scored = tested(runs.select("_scan_row", "_run", F.col("_run.value").alias("_value")), "_value")
     scored = scored.withColumn("band", _band(F.char_length("_value")))
     scored = scored.withColumn("p_text", F.when(F.col("p_random") >= REJECT, F.col("p_text")).otherwise(1.0))
+    scored = written(scored.select("_scan_row", "_run", "band", "p_text"), "runs")
     accepted = F.lit(-1.0)
     for band, most in thresholds(scored).items():
         accepted = F.when(F.col("band") == band, most).otherwise(accepted)
