@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
+#: Bytes hashed at a time, to bound memory.
+PORTION = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _TABLES = [_RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for _ in range(2)]
 _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
@@ -61,15 +63,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """One hash for each word; which: 0 or 1, two independent functions."""
-        n = len(self.begin)
-        if not n:
-            return np.empty(0, np.uint64)
+        """One hash for each word; which: 0 or 1, two independent functions. Works on about PORTION bytes at a time."""
         lengths = self.end - self.begin
+        out = np.empty(len(lengths), np.uint64)
+        if not len(lengths):
+            return out
         table, power = _TABLES[which], powers(which, int(lengths.max()) + 1)
-        at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        values = table[self.data[np.repeat(self.begin, lengths) + at]] * power[at]
-        return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+        ends = np.cumsum(lengths)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), PORTION), "left"))
+        for lo, hi in zip(cuts, [*cuts[1:], len(lengths)]):
+            n = lengths[lo:hi]
+            from_ = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) - np.repeat(from_, n)
+            values = table[self.data[np.repeat(self.begin[lo:hi], n) + at]] * power[at]
+            out[lo:hi] = mix(np.add.reduceat(values, from_) + n.astype(np.uint64))
+        return out
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
