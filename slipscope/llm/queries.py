@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_top_k, language_id, quality, secret_scan, substring_dedup, toxicity, url_lists
+from . import byte_bpe, decontaminate, exact_top_k, jaccard_join, language_id, quality, secret_scan, substring_dedup, toxicity, url_lists
 from .shared import documents
 
 
@@ -43,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.grouped(documents(spark, sf_dir))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scan": op10_secret_scan,
 }
@@ -66,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_url_lists": url_lists.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_exact_top_k": exact_top_k.ORACLE,
 }
