@@ -241,37 +241,40 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, place_a: np.ndarray, place_b: np.
     return (100 * low >= PERCENT * high) & ((100 + PERCENT) * rest >= PERCENT * (n_a + n_b))
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """A bucket's lists: all pairs of short ones, pivot pairs and the entries of long ones."""
-    columns = [np.concatenate([_unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("place", "<u4"))]
-    order = np.lexsort((columns[1], columns[0]))
-    token, node, n, place = (c[order] for c in columns)
-    n, place = n.astype(np.int64), place.astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    length = np.diff(np.append(starts, len(token)))
-    mine, lead = np.repeat(length, length), np.repeat(starts, length)
-    short = np.flatnonzero((mine > 1) & (mine <= SHORT))
-    pairs = []
-    for d in range(1, SHORT):
-        i = short[short + d < len(token)]
-        i = i[token[i + d] == token[i]]
-        pairs.append((i, i + d))
-    long = np.flatnonzero(mine > SHORT)
-    pairs.append((lead[long], long))
-    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-    fine = (node[a] != node[b]) & possible(n[a], n[b], place[a], place[b])
-    both = np.unique(np.stack([np.minimum(node[a], node[b])[fine], np.maximum(node[a], node[b])[fine]], 1), axis=0)
-    zero = lambda x: np.zeros(x, np.int64)
-    k, m = len(both), len(long)
-    return pa.table(
-        {
-            "a": pa.array(np.concatenate([both[:, 0], node[long]])),
-            "b": pa.array(np.concatenate([both[:, 1], zero(m)])),
-            "token": pa.array(np.concatenate([zero(k), token[long].astype(np.int64)])),
-            "n": pa.array(np.concatenate([zero(k), n[long]])),
-            "place": pa.array(np.concatenate([zero(k) - 1, place[long]])),
-        }
-    )
+def _lists(short_list: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A bucket's lists: all pairs of short ones, pivot pairs and the entries of long ones."""
+        columns = [np.concatenate([_unplanes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("place", "<u4"))]
+        order = np.lexsort((columns[1], columns[0]))
+        token, node, n, place = (c[order] for c in columns)
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.append(starts, len(token)))
+        mine, lead = np.repeat(length, length), np.repeat(starts, length)
+        short = np.flatnonzero((mine > 1) & (mine <= short_list))
+        pairs = []
+        for d in range(1, short_list):
+            i = short[short + d < len(token)]
+            i = i[token[i + d] == token[i]]
+            pairs.append((i, i + d))
+        long = np.flatnonzero(mine > short_list)
+        pairs.append((lead[long], long))
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        fine = (node[a] != node[b]) & possible(n[a], n[b], place[a], place[b])
+        both = np.unique(np.stack([np.minimum(node[a], node[b])[fine], np.maximum(node[a], node[b])[fine]], 1), axis=0)
+        zero = lambda x: np.zeros(x, np.int64)
+        k, m = len(both), len(long)
+        return pa.table(
+            {
+                "a": pa.array(np.concatenate([both[:, 0], node[long]])),
+                "b": pa.array(np.concatenate([both[:, 1], zero(m)])),
+                "token": pa.array(np.concatenate([zero(k), token[long].astype(np.int64)])),
+                "n": pa.array(np.concatenate([zero(k), n[long]])),
+                "place": pa.array(np.concatenate([zero(k) - 1, place[long]])),
+            }
+        )
+
+    return run
 
 
 def node_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -355,7 +358,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", small: int
     if small is None:
         sizes = {r.n: r["count"] for r in nodes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
         small = boundary(sizes, mean_list)
-    lists = postings(nodes, small, buckets).groupBy("bucket").applyInArrow(_lists, "a long, b long, token long, n long, place long")
+    lists = postings(nodes, small, buckets).groupBy("bucket").applyInArrow(_lists(SHORT), "a long, b long, token long, n long, place long")
     lists = written(lists, "lists")
     first = written(lists.where("place < 0").select("a", "b").distinct(), "pairs")
     links = verified(rows, nodes, first)

@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_RUN = 20
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN
 #: False discoveries allowed among the added spans, and the level at which the battery rejects randomness.
-FDR, REJECT = 0.01, 0.01
+FDR, REJECT = 0.01, 0.02
 #: Lower ends of the bands of length.
 BANDS = (20, 32, 64)
 #: Bins of the p-values' histogram: this many for each power of ten, down to the last.
