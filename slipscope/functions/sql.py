@@ -17,7 +17,7 @@ def _quoted(x: str) -> str:
 def _markers(markers: list[str]) -> str:
     singles, phrases = [m for m in markers if " " not in m], [m for m in markers if " " in m]
     words = r"filter(split(lower(coalesce(x, '')), '[^\\p{L}\\p{N}_]+'), w -> w IN (" + ", ".join(map(_quoted, singles)) + "))"
-    parts = [f"size({words})"] + [f"(length(lower(coalesce(x, ''))) - length(replace(lower(coalesce(x, '')), {_quoted(p)}, ''))) div {len(p)}" for p in phrases]
+    parts = [f"size({words})"] * bool(singles) + [f"(length(lower(coalesce(x, ''))) - length(replace(lower(coalesce(x, '')), {_quoted(p)}, ''))) div {len(p)}" for p in phrases]
     return "CAST(" + " + ".join(parts) + " AS BIGINT)"
 
 

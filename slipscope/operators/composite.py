@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_words, text
 from .ranks import average_ranks, numbered
+from .stats import correlation
 
 ISD_WEIGHT = LCS_WEIGHT = 0.5
 #: Below this range, min-max normalisation has nothing to tell apart.
@@ -86,7 +87,7 @@ def excluded_by_domain(df: DataFrame, kept: DataFrame) -> DataFrame:
 def composition_correlation(df: DataFrame) -> DataFrame:
     """Pearson's r of the two composites, and Spearman's by its own name."""
     ranks = average_ranks(average_ranks(df, "pei_score", "_ra"), "pei_multiplicative", "_rm")
-    return ranks.agg(F.corr("pei_score", "pei_multiplicative").alias("pearson"), F.corr("_ra", "_rm").alias("spearman"))
+    return ranks.agg(correlation("pei_score", "pei_multiplicative").alias("pearson"), correlation("_ra", "_rm").alias("spearman"))
 
 
 def disagreement(df: DataFrame, n: int = 20) -> DataFrame:

@@ -49,7 +49,7 @@ def extended_summary(extended: DataFrame, excluded: DataFrame, isd: DataFrame) -
         F.count("*").alias("n_errors"),
         F.avg("pei_score").alias("additive_mean"), F.stddev_samp("pei_score").alias("additive_std"), F.median("pei_score").alias("additive_median"),
         F.avg("pei_multiplicative").alias("multiplicative_mean"), F.stddev_samp("pei_multiplicative").alias("multiplicative_std"),
-        F.corr("isd_score", "lcs_score").alias("isd_lcs_correlation"), F.corr("pei_score", "pei_multiplicative").alias("composition_correlation"),
+        stats.correlation("isd_score", "lcs_score").alias("isd_lcs_correlation"), stats.correlation("pei_score", "pei_multiplicative").alias("composition_correlation"),
     )
     gone = excluded.agg(F.coalesce(F.sum("n_excluded"), F.lit(0)).alias("n_excluded"))
     mean = lambda ok: F.avg(F.when(F.col("is_correct") == ok, F.col("isd_score")))

@@ -21,8 +21,13 @@ def chi2_tail(x: float, df: int) -> float:
     return q
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate; null where a column doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def overall_summary(df: DataFrame, score: str = "pei_score") -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.median(score).alias("median"), F.corr("isd_score", "lcs_score").alias("isd_lcs_correlation"))
+    return df.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.median(score).alias("median"), correlation("isd_score", "lcs_score").alias("isd_lcs_correlation"))
 
 
 def domain_summary(df: DataFrame, score: str = "pei_score") -> DataFrame:
