@@ -10,7 +10,7 @@ left is verified by exact integer products. Products of a set's queries over all
 
 Defined cases: vectors that are null or empty, or hold a null or a non-finite component, and rows without an id take
 no part; vectors are compared with those of the same dimension; a repeated row is a candidate of its own (only the
-query's very row is left out); ties go to the smaller vec_id; queries without candidates return nothing; an empty
+query's very row is left out); ties go to the smaller vec_id; scores must fit 64 bits; queries without candidates return nothing; an empty
 table gives an empty result.
 """
 
