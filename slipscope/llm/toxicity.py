@@ -4,7 +4,8 @@ Categories are predicted one after the other. Each has a linear model over hashe
 and 6 bytes; each counts once in a text), and the log-odds of all earlier categories as further features. For training,
 those come from models that didn't see the text (out-of-fold predictions, FOLDS folds by a hash of the id); for
 scoring, from the models fitted on the whole sample. Features are picked by their association with the category in
-the sample: seen in LEAST_TEXTS texts or more, log-odds at least LEAST_Z standard errors from none.
+the sample: seen in LEAST_TEXTS texts and LEAST_SHARE of them or more, and their share of texts with the category
+differing from that of texts without by LEAST_Z standard errors. Near copies in the sample count once.
 
 The models are fitted in one task on a bounded sample of labelled rows: about SAMPLE_EACH texts of each combination of
 categories, none longer than SAMPLE_BYTES bytes, weighted back. Scoring reads all documents and whole texts.
@@ -31,8 +32,8 @@ from .fitting import Sparse, labelled_sample, minimised, sampled, sigmoid
 from .shared import small_batches
 
 SAMPLE_EACH, SAMPLE_BYTES = 2_000, 16_384
-BITS, PENALTY, FOLDS = 20, 1e-4, 5
-LEAST_TEXTS, LEAST_Z = 8, 5.0
+BITS, PENALTY, FOLDS = 20, 1e-5, 5
+LEAST_TEXTS, LEAST_SHARE, LEAST_Z = 4, 0.005, 5.0
 #: Probability from which a text has a category.
 FLAG = 0.5
 
@@ -104,10 +105,10 @@ def fit_link(name: str, rows: np.ndarray, columns: np.ndarray, y: np.ndarray, we
     if not n or y.min() == y.max():
         return none
     with_, without = np.bincount(columns[y[rows] == 1], minlength=1 << BITS), np.bincount(columns[y[rows] == 0], minlength=1 << BITS)
-    n1, n0 = y.sum(), n - y.sum()
-    a, b = with_ + 0.5, without + 0.5
-    z = np.log(a / (n1 - with_ + 0.5) / b * (n0 - without + 0.5)) / np.sqrt(1 / a + 1 / (n1 - with_ + 0.5) + 1 / b + 1 / (n0 - without + 0.5))
-    picked = np.flatnonzero((with_ + without >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
+    n1, n0, either = y.sum(), n - y.sum(), with_ + without
+    spread = np.sqrt(np.maximum(either / n * (1 - either / n), 1e-12) * (1 / n1 + 1 / n0))
+    z = (with_ / n1 - without / n0) / spread
+    picked = np.flatnonzero((either >= max(LEAST_TEXTS, LEAST_SHARE * n)) & (np.abs(z) >= LEAST_Z))
     keep = np.isin(columns, picked)
     x = Sparse(np.append(rows[keep], 0), np.append(columns[keep], 0), np.append(np.ones(int(keep.sum())), 0.0), n)
     share_of = weight / weight.sum()
@@ -124,8 +125,23 @@ def fit_link(name: str, rows: np.ndarray, columns: np.ndarray, y: np.ndarray, we
     return Link(name, x.names, p[1 : 1 + len(x.names)], p[1 + len(x.names) :], float(p[0]))
 
 
+def without_copies(texts: list[bytes]) -> np.ndarray:
+    """Indices of texts that share neither of two least hashes of five-word groups with an earlier one."""
+    w = tb.words(texts)
+    grams, seen, out = tb.windows(w.hashes(), 5), set(), []
+    for i, (lo, hi) in enumerate(zip(w.first, w.first[1:])):
+        mine = grams[lo : max(lo, hi - 4)]
+        names = {int(mine.min()), int(tb.mix(mine).min())} if len(mine) else {("short", texts[i])}
+        if not names & seen:
+            out.append(i)
+        seen |= names
+    return np.array(out, np.int64)
+
+
 def fit(texts: list[bytes], keys: np.ndarray, labels: np.ndarray, weight: np.ndarray, names: list[str]) -> Chain:
     """labels: one 0/1 column for each category, in the order of the chain."""
+    first = without_copies(texts)
+    texts, keys, labels, weight = [texts[i] for i in first], keys[first], labels[first], weight[first]
     n = len(texts)
     rows, columns = hashed(texts)
     cell = np.unique((rows << BITS) | columns)
