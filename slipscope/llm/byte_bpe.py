@@ -138,13 +138,14 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tupl
                 joined = "".join(p["part"] if p is parts[-1] else p["part"][:chunk] for p in parts)
                 joined = joined[(parts[0]["from"] or 0) - first : None if end is None else end - first]
                 out.append(np.asarray(encoder.encode_ordinary(joined), dtype="<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_bpe_row"), batch.column("piece"), pa.array(out, pa.binary())], names=["_bpe_row", "piece", "piece_ids"])
+            head = ["_bpe_row", *names, "piece"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in head), pa.array(out, pa.binary())], names=[*head, "piece_ids"])
 
     # A piece joins more chunks than one only where no boundary fell into an overlap.
     pieces = (
-        stitched.groupBy("_bpe_row", "piece")
+        stitched.groupBy("_bpe_row", *names, "piece")
         .agg(F.collect_list(F.struct("k", "start", "part", "from", "cut")).alias("parts"))
-        .mapInArrow(encode_pieces, "_bpe_row long, piece long, piece_ids binary")
+        .mapInArrow(encode_pieces, f"_bpe_row long, {carried}{comma}piece long, piece_ids binary")
     )
 
     def concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +156,15 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tupl
                 names=[*names, "n_tokens", "ids"],
             )
 
-    gathered = pieces.groupBy("_bpe_row").agg(F.collect_list(F.struct("piece", "piece_ids")).alias("all"))
-    if names:
-        gathered = gathered.join(long.select("_bpe_row", *names), "_bpe_row")
+    gathered = pieces.groupBy("_bpe_row", *names).agg(F.collect_list(F.struct("piece", "piece_ids")).alias("all"))
     joined = gathered.select(*names, "all").mapInArrow(concatenate, f"{carried}{comma}n_tokens long, ids binary")
     out = whole.unionByName(joined)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_tokens", "ids")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """df with the bytes of its ids in one more column; null ids give null."""
+    """df with the bytes of its ids in one more column (in place of one of that name); null ids give null."""
+    df = df.drop(to)
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     names = df.columns
