@@ -163,7 +163,11 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str = "quality", each: int
 
 
 def score(df: DataFrame, model: Ordinal, text: str = "text", from_grade: float | None = None, select: float = SELECT) -> DataFrame:
-    """df with expected_grade, tail_prob (of the selection grade, by default the lowest but one) and selected."""
+    """df with expected_grade, tail_prob (of the selection grade, by default the lowest but one) and selected.
+
+    Columns of df with these names are replaced.
+    """
+    df = df.drop("expected_grade", "tail_prob", "selected")
     small_batches(df.sparkSession, 256)
     target = from_grade if from_grade is not None else (model.grades[1] if len(model.grades) > 1 else (model.grades or [0.0])[0])
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -169,11 +169,12 @@ def thresholds(scored: DataFrame, fdr: float = FDR) -> dict[int, float]:
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and spans array<struct<start, kind, end>>, sorted; kind is an index into KINDS.
+    """df and spans array<struct<start, kind, end>>, sorted; kind is an index into KINDS. A column spans is replaced.
 
     The rows of df, with base spans and candidates, are written once to the shared folder: the thresholds need the
     candidates of all rows before any row is done.
     """
+    df = df.drop("spans")
     value = F.coalesce(F.col(text), F.lit(""))
     found = df.withColumn("_scan_base", base_spans(value)).withColumn("_scan_more", random_candidates(value, F.col("_scan_base")))
     found = written(found.withColumn("_scan_row", F.monotonically_increasing_id()), "spans")

@@ -184,10 +184,11 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], eac
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """df with p_<category> of each category."""
+    """df with p_<category> of each category, in place of columns of these names."""
     small_batches(df.sparkSession, 256)
-    shared = df.sparkSession.sparkContext.broadcast(chain)
-    names, new = df.columns, [f"p_{x.name}" for x in chain.links]
+    new = [f"p_{x.name}" for x in chain.links]
+    df = df.drop(*new)
+    shared, names = df.sparkSession.sparkContext.broadcast(chain), df.columns
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + ", ".join(f"`{n}` double" for n in new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

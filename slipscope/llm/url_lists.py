@@ -50,7 +50,11 @@ def intervals(events: DataFrame) -> DataFrame:
 
 
 def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
-    """captures and host, n_entries (active entries that match) and entry (the first of them by name)."""
+    """captures and host, n_entries (active entries that match) and entry (the first of them by name).
+
+    Columns of captures with these names are replaced.
+    """
+    captures = captures.drop("host", "n_entries", "entry")
     rows = captures.withColumn("_url_host", host(F.col(url))).withColumn("_url_segment", segment(F.col(url)))
     points = rows.where(F.col("_url_host").isNotNull() & F.col(fetched).isNotNull()).groupBy("_url_host", "_url_segment", F.col(fetched).alias("_url_at")).agg(F.lit(1).alias("_one"))
     salt = F.pmod(F.xxhash64("_url_host", "_url_segment", "_url_at"), F.lit(SALT)).cast("int")
