@@ -88,6 +88,16 @@ def test_run_encodes_what_is_left(spark, sf):
             assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_extra_columns_with_clashing_names(spark, sf):
+    extra = ["spans", "selected", "tail_prob", "k1", "component_id", "_bpe_text", "_scan_row", "ids"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).selectExpr("*", *[f"doc_id as `{c}`" for c in extra])
+    for _, stage in p.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(r[c] == r.doc_id for r in out.collect() for c in extra)
+    assert p.encode(spark, docs, sf).count() == 60
+
+
 def test_empty_documents(spark, sf, tmp_path):
     none = spark.createDataFrame([], DOCS)
     for _, stage in p.STAGES:
