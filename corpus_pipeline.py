@@ -7,6 +7,7 @@ compare documents; those stages keep them. Rows that share an id are one documen
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,29 @@ from pyspark.sql import functions as F
 from slipscope.llm import byte_bpe, decontaminate, jaccard_join, quality, secret_scan
 from slipscope.llm.shared import written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+
+def shielded(stage: Stage) -> Stage:
+    """The stage with all columns but those of documents renamed meanwhile, so that no name of its own clashes."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(spark, docs.toDF(*[n if n in COLUMNS else f"_extra_{i}" for i, n in enumerate(names)]), sf_dir).toDF(*names)
+
+    return run
+
+
+@shielded
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tail probability selects them; the rest go."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where("selected").select(*docs.columns)
 
 
+@shielded
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by n-gram similarity, directly or through others, the one with the smallest id stays."""
     groups = jaccard_join.grouped(docs)
@@ -35,12 +52,14 @@ def _repeats(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+@shielded
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers and names, go."""
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@shielded
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; all documents stay."""
     found = secret_scan.scan(docs)
@@ -57,7 +76,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "n_tokens", F.base64("ids").alias("ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", keep_quality),
     ("n-gram Jaccard join", keep_one_of_each_group),
     ("benchmark decontamination", drop_leaks),
