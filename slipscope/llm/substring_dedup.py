@@ -31,7 +31,7 @@ from . import textbatch as tb
 from .shared import small_batches, written
 
 WINDOW, GROUP = 20, 5
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Bytes of text whose fingerprints make one bucket.
 BUCKET_BYTES = 24 << 20
 U = np.uint64
@@ -62,7 +62,7 @@ def _pack(ids: list[int | None], texts: list[bytes]) -> tuple[bytes, bytes]:
     keys = np.array([_LAST if ids[i] is None else ids[i] for i in order], "<i8")
     lengths = np.array([len(texts[i]) for i in order], "<i8")
     blob = b"".join([texts[i] for i in order])
-    return keys.tobytes() + lengths.tobytes(), zstandard.ZstdCompressor(level=3).compress(blob)
+    return keys.tobytes() + lengths.tobytes(), zstandard.ZstdCompressor(level=8).compress(blob)
 
 
 class Run:
@@ -138,6 +138,10 @@ def packed(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text
         mine = np.unique(r.anchors()[r.ok])
         next_ = np.minimum(np.searchsorted(every, mine) + 1, len(every) - 1)
         again = every[next_] == mine if len(every) > 1 else np.zeros(len(mine), bool)
+        # Anchors are minima: mixed again, they fill the buckets evenly.
+        mine = tb.mix(mine)
+        order = np.argsort(mine)
+        mine, again = mine[order], again[order]
         for b, part in _by_bucket(mine, buckets):
             yield _batch([(ANCHORS, run, b, part.stop - part.start, mine[part].tobytes(), again[part].tobytes(), None, None)])
 
@@ -190,7 +194,7 @@ def _windows_of(buckets: int):
         repeated = np.sort(np.concatenate([np.frombuffer(x["a"], np.uint64) for x in answers] or [np.empty(0, np.uint64)]))
         out = []
         if r is not None and len(repeated) and r.ok.any():
-            anchors = r.anchors()
+            anchors = tb.mix(r.anchors())
             at = np.flatnonzero(r.ok & (repeated[np.minimum(np.searchsorted(repeated, anchors), len(repeated) - 1)] == anchors))
             h, check = r.fingerprints(at)
             doc, start = r.places(at)
@@ -261,10 +265,10 @@ def _kept(table: pa.Table) -> pa.Table:
     # Kept words with one blank after each; the byte after a word is white space in any case.
     stay, data = ~out, w.data.copy()
     data[w.end[stay]] = 0x20
-    edge = np.zeros(len(data) + 2, np.int32)
+    edge = np.zeros(len(data) + 2, np.int8)
     np.add.at(edge, w.begin[stay], 1)
     np.add.at(edge, w.end[stay] + 1, -1)
-    flat = data[np.cumsum(edge)[: len(data)] > 0].tobytes()
+    flat = data[np.cumsum(edge, dtype=np.int8)[: len(data)] > 0].tobytes()
     size = np.concatenate([[0], np.cumsum(np.where(stay, w.end - w.begin + 1, 0))])[w.first]
     kept = [flat[lo : max(lo, hi - 1)].decode() for lo, hi in zip(size, size[1:])]
     removed = np.concatenate([[0], np.cumsum(out)])[w.first]
