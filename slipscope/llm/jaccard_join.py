@@ -11,7 +11,8 @@ link if 100 |A & B| >= PERCENT |A | B|, that is if their overlap reaches a share
   of HEAVY documents or more are marked in a filter of fixed size. The order is the same function of a shingle
   everywhere, so the filter's errors cost time, never links.
 * Short lists give all their pairs, by size and position filters. In a long list (near copies), each set is paired
-  with one pivot. After verification on the full sets and connected components, long lists that still hold more
+  with one pivot: the earliest document, as originals come before copies, or in every other list the one of least hash.
+  After verification on the full sets and connected components, long lists that still hold more
   components than one give all pairs between components (of members outside the most frequent one with all others),
   which are verified too. So every link between two components is found, and no list gives all pairs within one.
 
@@ -36,14 +37,13 @@ from .components import components
 from .shared import small_batches, written
 
 SHINGLE, PERCENT = 5, 80
-#: Documents from which a shingle counts as frequent; bits of the filter that marks them.
-HEAVY, FILTER_BITS = 16, 24
+#: Documents from which a shingle counts as frequent (more than a short list holds); bits of the filter that marks
+#: them, and of a counter's number in its bucket.
+HEAVY, FILTER_BITS, KEY_BITS = 9, 24, 24
 #: Lists up to this length give all their pairs.
 SHORT = 8
 #: Largest set size for which subsets may be chosen.
 MOST_SMALL = 14
-#: Shingles whose hash is below this share of all are counted: prefixes hardly reach beyond.
-COUNTED = 0.25
 #: Bytes of text whose shingles make one bucket.
 BUCKET_BYTES = 32 << 20
 U = np.uint64
@@ -113,36 +113,55 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def counter(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each shingle, and the number of its counter there: KEY_BITS more bits of its hash."""
+    m = tb.mix(h ^ U(0x2545F4914F6CDD1D))
+    return ((m >> U(32)) * U(buckets) >> U(32)).astype(np.int64), (m & U((1 << KEY_BITS) - 1)).astype(np.int64)
+
+
+def filter_slot(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return tb.mix((bucket << KEY_BITS | key).astype(np.uint64)) & U((1 << FILTER_BITS) - 1)
+
+
 def frequent(rows: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
-    """Bits of the filter of frequent shingles, and the mean number of documents of a shingle."""
+    """Bits of the filter of frequent shingles, and the mean number of documents of a shingle.
+
+    Counters are sent in sorted runs by bucket, without the bits that the bucket tells: a few bytes each. There are
+    several times as many counters as shingles at any size, so shared ones only make a few more shingles frequent.
+    """
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        parts = list(_parts(_bucket(h, buckets)))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([h[i].tobytes() for _, i in parts], pa.binary()), pa.array([n[i].astype("<u4").tobytes() for _, i in parts], pa.binary())], names=["bucket", "h", "n"])
+        bucket, key = counter(np.concatenate(held), buckets)
+        cell, n = np.unique(bucket << KEY_BITS | key, return_counts=True)
+        bucket, key = cell >> KEY_BITS, (cell & ((1 << KEY_BITS) - 1)).astype("<u4")
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        parts = [slice(lo, hi) for lo, hi in zip(cut, [*cut[1:], len(bucket)])]
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[p.start]) for p in parts], pa.int32()), pa.array([_planes(key[p]) for p in parts], pa.binary()), pa.array([_planes(n[p].astype("<u4")) for p in parts], pa.binary())], names=["bucket", "h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, held, size = U(int(COUNTED * 2**64)), [], 0
+        held, size = [], 0
         for batch in batches:
             for s in shingles(tb.encoded(batch.column(0).to_pylist())):
-                held.append(s[: np.searchsorted(s, top)])
-                size += len(held[-1])
-            if size > 1_000_000:
+                held.append(s)
+                size += len(s)
+            if size > 2_000_000:
                 yield emit(held)
                 held, size = [], 0
         if held:
             yield emit(held)
 
     def merge(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("n").to_pylist()]).astype(np.int64)
-        order = np.argsort(h)
-        h, first = np.unique(h[order], return_index=True)
-        n = np.add.reduceat(n[order], first) if len(h) else n
-        slot = np.unique(h[n >= HEAVY] & U((1 << FILTER_BITS) - 1))
+        key = np.concatenate([_unplanes(x, "<u4") for x in table.column("h").to_pylist()]).astype(np.int64)
+        n = np.concatenate([_unplanes(x, "<u4") for x in table.column("n").to_pylist()])
+        order = np.argsort(key, kind="stable")
+        key, first = np.unique(key[order], return_index=True)
+        total = np.add.reduceat(n[order], first)
+        often = key[total >= HEAVY]
+        slot = np.unique(filter_slot(np.full(len(often), table.column("bucket")[0].as_py()), often))
         word, at = np.unique(slot >> U(6), return_index=True)
         bits = np.bitwise_or.reduceat(U(1) << (slot & U(63)), at) if len(slot) else slot
-        return pa.table({"word": pa.array([-1, *word.tolist()], pa.int64()), "bits": pa.array([0, *bits.astype(np.int64).tolist()], pa.int64()), "total": pa.array([int(n.sum()), *[0] * len(word)], pa.int64()), "distinct": pa.array([len(h), *[0] * len(word)], pa.int64())})
+        distinct = len(key)
+        return pa.table({"word": pa.array([-1, *word.tolist()], pa.int64()), "bits": pa.array([0, *bits.astype(np.int64).tolist()], pa.int64()), "total": pa.array([int(n.sum()), *[0] * len(word)], pa.int64()), "distinct": pa.array([distinct, *[0] * len(word)], pa.int64())})
 
     small_batches(rows.sparkSession, 256)
     words = rows.select("text").mapInArrow(count, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(merge, "word long, bits long, total long, distinct long")
@@ -156,15 +175,14 @@ def frequent(rows: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
     return out.view(np.uint8), total / max(distinct, 1)
 
 
-def in_order(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def in_order(s: np.ndarray, bits: np.ndarray, buckets: int) -> np.ndarray:
     """A set in the global order: frequent shingles last, else by hash."""
-    slot = s & U((1 << FILTER_BITS) - 1)
+    slot = filter_slot(*counter(s, buckets))
     heavy = (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & np.uint8(1) == 1
-    heavy &= s < U(int(COUNTED * 2**64))
     return np.concatenate([s[~heavy], s[heavy]])
 
 
-def set_table(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+def set_table(rows: DataFrame, bits: np.ndarray, buckets: int) -> DataFrame:
     """doc_id, k1, k2, n and head of each document; head: the prefix in the global order, or all of a set that may be small."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -172,7 +190,7 @@ def set_table(rows: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             sets = shingles(tb.encoded(batch.column(1).to_pylist()))
             keys = [set_key(s) for s in sets]
-            heads = [in_order(s, shared.value)[: len(s) if len(s) <= MOST_SMALL else prefix(len(s))].tobytes() for s in sets]
+            heads = [in_order(s, shared.value, buckets)[: len(s) if len(s) <= MOST_SMALL else prefix(len(s))].tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "k1", "k2", "n", "head"])
 
     return written(rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, head binary"), "sets")
@@ -181,7 +199,7 @@ def set_table(rows: DataFrame, bits: np.ndarray) -> DataFrame:
 _POST = "bucket int, token binary, node binary, n binary, place binary"
 
 
-def postings(nodes: DataFrame, small: int, buckets: int) -> DataFrame:
+def postings(heads: DataFrame, small: int, buckets: int) -> DataFrame:
     """Entries of the lists, packed by bucket: of subsets for sets up to ``small``, of prefixes for the others and those that can link with them."""
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +231,8 @@ def postings(nodes: DataFrame, small: int, buckets: int) -> DataFrame:
         if held:
             yield from emit(held)
 
-    small_batches(nodes.sparkSession, 2_048)
-    return nodes.select("node", "n", "head").mapInArrow(run, _POST)
+    small_batches(heads.sparkSession, 2_048)
+    return heads.select("node", "n", "head").mapInArrow(run, _POST)
 
 
 def _subset(tokens: tuple[int, ...]) -> int:
@@ -258,7 +276,9 @@ def _lists(short_list: int):
             i = i[token[i + d] == token[i]]
             pairs.append((i, i + d))
         long = np.flatnonzero(mine > short_list)
-        pairs.append((lead[long], long))
+        by_hash = np.lexsort((tb.mix(node.astype(np.uint64)), token))
+        pivot = np.where(token[long] & U(1) == 1, by_hash[lead[long]], lead[long])
+        pairs.append((pivot, long))
         a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         fine = (node[a] != node[b]) & possible(n[a], n[b], place[a], place[b])
         both = np.unique(np.stack([np.minimum(node[a], node[b])[fine], np.maximum(node[a], node[b])[fine]], 1), axis=0)
@@ -352,13 +372,16 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", small: int
     buckets = max(8, -(-size // BUCKET_BYTES))
     bits, mean_list = frequent(rows, buckets)
     small_batches(rows.sparkSession, 256)
-    sets = set_table(rows, bits)
-    nodes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_doc"), F.max("head").alias("head"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sets = set_table(rows, bits, buckets)
+    nodes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_doc"))
+    # Numbered in the order of their first documents.
+    nodes = written(nodes.orderBy("first_doc", "k1").withColumn("node", F.monotonically_increasing_id()), "nodes")
     if small is None:
         sizes = {r.n: r["count"] for r in nodes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
         small = boundary(sizes, mean_list)
-    lists = postings(nodes, small, buckets).groupBy("bucket").applyInArrow(_lists(SHORT), "a long, b long, token long, n long, place long")
+    # A set's head is read from its first document; should that come twice, the set is twice in its lists, which is harmless.
+    heads = sets.join(nodes, ["k1", "k2", "n"]).where(F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    lists = postings(heads, small, buckets).groupBy("bucket").applyInArrow(_lists(SHORT), "a long, b long, token long, n long, place long")
     lists = written(lists, "lists")
     first = written(lists.where("place < 0").select("a", "b").distinct(), "pairs")
     links = verified(rows, nodes, first)
