@@ -11,8 +11,7 @@ link if 100 |A & B| >= PERCENT |A | B|, that is if their overlap reaches a share
   of HEAVY documents or more are marked in a filter of fixed size. The order is the same function of a shingle
   everywhere, so the filter's errors cost time, never links.
 * Short lists give all their pairs, by size and position filters. In a long list (near copies), each set is paired
-  with one pivot: the earliest document, as originals come before copies, or in every other list the one of least hash.
-  After verification on the full sets and connected components, long lists that still hold more
+  with two pivots: the earliest document, as originals come before copies, and the one of least hash. After verification on the full sets and connected components, long lists that still hold more
   components than one give all pairs between components (of members outside the most frequent one with all others),
   which are verified too. So every link between two components is found, and no list gives all pairs within one.
 
@@ -277,8 +276,7 @@ def _lists(short_list: int):
             pairs.append((i, i + d))
         long = np.flatnonzero(mine > short_list)
         by_hash = np.lexsort((tb.mix(node.astype(np.uint64)), token))
-        pivot = np.where(token[long] & U(1) == 1, by_hash[lead[long]], lead[long])
-        pairs.append((pivot, long))
+        pairs += [(lead[long], long), (by_hash[lead[long]], long)]
         a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         fine = (node[a] != node[b]) & possible(n[a], n[b], place[a], place[b])
         both = np.unique(np.stack([np.minimum(node[a], node[b])[fine], np.maximum(node[a], node[b])[fine]], 1), axis=0)
