@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
-from .shared import small_batches, written
+from .shared import discard, small_batches, written
 
 SHINGLE, PERCENT = 5, 80
 #: Documents from which a shingle counts as frequent (more than a short list holds); bits of the filter that marks
@@ -143,7 +143,7 @@ def frequent(rows: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
             for s in shingles(tb.encoded(batch.column(0).to_pylist())):
                 held.append(s)
                 size += len(s)
-            if size > 2_000_000:
+            if size > 500_000:
                 yield emit(held)
                 held, size = [], 0
         if held:
@@ -347,7 +347,9 @@ def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession, 512)
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
-    return written(two.mapInArrow(_verify, "a long, b long"), "verified")
+    out = written(two.mapInArrow(_verify, "a long, b long"), "verified")
+    discard(sets)
+    return out
 
 
 def between_components(long: DataFrame, parts: DataFrame) -> DataFrame:
