@@ -4,9 +4,11 @@ Tokens are runs of letters and digits (points and commas between digits belong t
 placeholder if it is a number, a unit after a number, or a name (a capitalised token inside a sentence); all others
 stay as they are, in lower case. Windows of WINDOW tokens are hashed, by their template if it keeps LEAST_LITERALS
 tokens or more, else with the tokens themselves, and document windows are joined with benchmark windows by that hash.
-Matches of a document and an item on one diagonal make a passage; its slots must be consistent: an item's value, where
-it comes again, must have the same counterpart in the document. A passage of a share COVERAGE of the item's windows,
-with consistent slots, is a leak; ``changed`` tells that slots differ, so that the question was re-parameterised.
+Matches of a document and an item on neighbouring diagonals (each at most SHIFT tokens from the next one, as inserted
+and deleted words leave them) make a passage; its slots must be consistent: an item's value, where it comes again, must
+have the same counterpart in the document. A passage of a share COVERAGE of the item's windows, with consistent slots,
+is a leak; ``changed`` tells that slots differ, so that the question was re-parameterised. Where all matches of a passage
+contradict each other, the longest chain of them in the order of both texts is tried, then each diagonal alone.
 
 A filter of fixed size (2 ** FILTER_BITS bits, made from all benchmark windows) goes to every task and keeps nearly
 all other windows out of the join; what it lets through wrongly, the join drops. The join is salted by document.
@@ -18,17 +20,20 @@ columns are ignored; case is folded for ASCII and Latin-1 letters; empty tables
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import textbatch as tb
 from .shared import small_batches, written
 
-WINDOW, LEAST_LITERALS, COVERAGE = 8, 4, 0.3
+WINDOW, LEAST_LITERALS, COVERAGE, SHIFT = 8, 4, 0.3, 8
 FILTER_BITS, SALT = 24, 32
 
 # Names of units.
@@ -148,6 +153,72 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     return written(rows.mapInArrow(run, "hash long, item_id long, ipos long, islots array<long>, n_windows long, k int"), "benchmark")
 
 
+#: Place in the document, place in the item, (item's value, document's value) of each slot.
+Match = tuple[int, int, list[tuple[int, int]]]
+
+
+def in_order(matches: list[Match]) -> list[Match]:
+    """The longest chain of matches whose places grow in both texts."""
+    rows = sorted(matches, key=lambda m: (m[0], -m[1]))
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(rows)
+    for i, (_, place, _) in enumerate(rows):
+        at = bisect_left(ends, place)
+        before[i] = last[at - 1] if at else -1
+        ends[at : at + 1], last[at : at + 1] = [place], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(rows[i])
+        i = before[i]
+    return out[::-1]
+
+
+def _accepted(matches: Iterable[Match], least: float) -> tuple[int, bool] | None:
+    """Windows of the item and whether slots differ, if there are enough and no item's value has two counterparts."""
+    places, counterpart = set(), {}
+    for _, place, pairs in matches:
+        places.add(place)
+        for mine, other in pairs:
+            if counterpart.setdefault(mine, other) != other:
+                return None
+    return (len(places), any(a != b for a, b in counterpart.items())) if len(places) >= least else None
+
+
+def passage(matches: list[Match], least: float) -> tuple[int, bool] | None:
+    """The same for matches of neighbouring diagonals: all, else the longest chain, else the best diagonal alone."""
+    found = _accepted(matches, least) or _accepted(in_order(matches), least)
+    if found:
+        return found
+    diagonals = defaultdict(list)
+    for m in matches:
+        diagonals[m[0] - m[1]].append(m)
+    alone = [x for x in (_accepted(d, least) for d in diagonals.values()) if x]
+    return (max(n for n, _ in alone), min(c for _, c in alone)) if alone else None
+
+
+def _chained(met: DataFrame, coverage: float) -> DataFrame:
+    """doc_id, item_id, coverage and changed of the passages that span diagonals."""
+    near = Window.partitionBy("doc_id", "item_id").orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(near) > SHIFT
+    rows = met.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("chain", F.sum("far").over(near.rangeBetween(Window.unboundedPreceding, 0)))
+    match = F.struct((F.col("diagonal") + F.col("ipos")).alias("dpos"), "ipos", "pairs")
+    chains = rows.groupBy("doc_id", "item_id", "chain").agg(F.max("n_windows").alias("n_windows"), F.collect_set(match).alias("matches"), F.count_distinct("ipos").alias("n"))
+    chains = chains.where(F.col("n") >= coverage * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "matches")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, item, n, matches in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                found = passage([(m["dpos"], m["ipos"], [(p["islots"], p["dslots"]) for p in m["pairs"]]) for m in matches], coverage * n)
+                if found:
+                    out.append((doc, item, found[0] / n, found[1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["doc_id", "item_id", "coverage", "changed"])
+
+    return chains.mapInArrow(run, "doc_id long, item_id long, coverage double, changed boolean")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage (share of the item's windows) and changed, for each document and item it leaks."""
     spark = docs.sparkSession
@@ -174,8 +245,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: f
     found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     spread = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     met = found.join(spread, ["hash", "salt"]).select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", "n_windows", F.arrays_zip("islots", "dslots").alias("pairs"))
-    passages = met.groupBy("doc_id", "item_id", "diagonal").agg(F.count_distinct("ipos").alias("n"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    met = written(met, "met")
+    pair = ["doc_id", "item_id"]
+    alone = met.groupBy(*pair, "diagonal").agg(F.count_distinct("ipos").alias("n"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     values = F.transform("pairs", lambda p: p["islots"])
-    passages = passages.where(F.size(F.array_distinct(values)) == F.size("pairs")).where(F.col("n") >= coverage * F.col("n_windows"))
-    passages = passages.withColumn("coverage", F.col("n") / F.col("n_windows")).withColumn("changed", F.exists("pairs", lambda p: p["islots"] != p["dslots"]))
-    return passages.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.min("changed").alias("changed"))
+    alone = alone.where(F.size(F.array_distinct(values)) == F.size("pairs")).where(F.col("n") >= coverage * F.col("n_windows"))
+    alone = alone.withColumn("coverage", F.col("n") / F.col("n_windows")).withColumn("changed", F.exists("pairs", lambda p: p["islots"] != p["dslots"]))
+    alone = alone.groupBy(*pair).agg(F.max("coverage").alias("coverage"), F.min("changed").alias("changed"))
+    # Where all diagonals together have no more windows of the item than the best alone, there is nothing to chain.
+    every = met.groupBy(*pair).agg((F.count_distinct("ipos") / F.max("n_windows")).alias("most")).where(F.col("most") >= coverage)
+    more = every.join(alone, pair, "left").where("coverage is null or most > coverage").select(*pair)
+    passages = alone.unionByName(_chained(met.join(more, pair, "left_semi"), coverage))
+    best = passages.groupBy(*pair).agg(F.min(F.struct(-F.col("coverage"), F.col("changed"))).alias("b"), F.max("coverage").alias("coverage"))
+    return best.select(*pair, "coverage", F.col("b.changed").alias("changed"))

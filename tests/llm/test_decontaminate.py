@@ -35,3 +35,28 @@ def test_short_items_and_empty_tables(spark):
 def test_placeholders():
     w, h, kinds = d.canonical([b"At 3.5 km, Anna met Otto. Then 1,000 USD left 'NASA' and \xc3\x89va"])
     assert kinds.tolist() == [0, d.NUMBER, d.UNIT, d.NAME, 0, d.NAME, 0, d.NUMBER, d.UNIT, 0, 0, 0, d.NAME]
+
+
+def test_inserted_and_deleted_words_do_not_split_a_passage(spark):
+    r = random.Random(5)
+    words = lambda n, mark: [mark + "".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    items = {i: words(n, "x") for i, n in ((1, 20), (2, 24), (3, 38), (4, 59))}
+    put = lambda w, *at: " ".join(x for i, v in enumerate(w) for x in (["anew", v] if i in at else [v]))
+    out = lambda w, *at: " ".join(v for i, v in enumerate(w) if i not in at)
+    prose = " ".join(words(60, "y"))
+    texts = {1: put(items[1], 10), 2: put(items[2], 12), 3: put(items[3], 13, 25), 4: put(items[4], 20, 40), 5: out(items[3], 13, 25), 6: out(items[2], 12)}
+    texts[7] = prose.join(" ".join(items[4][i : i + 12]) for i in range(0, 59, 12))  # pieces too far apart
+    docs = [(i, f"{prose} {t} {prose}", "x") for i, t in texts.items()]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 3), (6, 2)}
+    assert abs(got[2, 2].coverage - 10 / 17) < 1e-9 and not any(r.changed for r in got.values())
+    longer = ITEM.replace("Alice", "Mary Ann").replace("Bob", "Carl Otto").replace("3 hours", "7 hours")
+    assert found(spark, [(1, longer, "x")]) == {(1, 1): True}
+
+
+def test_the_longest_chain_of_matches():
+    assert d.in_order([(5, 2, []), (4, 1, []), (6, 9, []), (7, 3, []), (7, 2, [])]) == [(4, 1, []), (5, 2, []), (7, 3, [])]
+    same, other = [(1, 1)], [(1, 2)]
+    assert d.passage([(0, 0, same), (2, 1, same), (0, 6, other)], 2) == (2, False)
+    assert d.passage([(0, 0, same), (2, 1, other)], 2) is None
