@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,8 +169,9 @@ def io10_activations(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def io11_probes_saved(spark: SparkSession, sf: str) -> DataFrame:
     acts, path = _activations(spark, sf), store.new_path(spark, "probes")
-    probes.save(probes.train(acts.drop("label"), _labels(spark, sf), layers=[0]), path)
-    return probes.load(spark, path)[0].probability(acts.where("layer_idx = 0")).select("task_id", F.round("p", 6).alias("p"))
+    probes.save(probes.train(acts.drop("label"), _labels(spark, sf)), path)
+    parts = [p.probability(acts.where(F.col("layer_idx") == p.layer)).select("task_id", "layer_idx", F.round("p", 6).alias("p")) for p in probes.load(spark, path)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"{WITH_SCORED} SELECT task_id, round(pei_score, 6) AS pei_score, round(pei_multiplicative, 6) AS pei_multiplicative FROM ranked")
@@ -328,10 +330,11 @@ def pb5_auc(spark: SparkSession, sf: str) -> DataFrame:
 
 def _internal(spark: SparkSession, sf: str, calibrated: bool) -> DataFrame:
     acts, labels = _activations(spark, sf).drop("label"), _labels(spark, sf)
-    fitted = probes.train(acts, labels, layers=[0, 4], calibrated=calibrated)
+    fitted = probes.train(acts, labels, calibrated=calibrated)
     judged = labels.select("task_id", F.lit("all").alias("domain"), (F.col("label") == 1).alias("is_correct"))
     out = probes.internal_scores(acts, judged, fitted)
-    return out.select("task_id", "is_correct", F.round(F.col("layer_scores")[0], 6).alias("layer_0"), F.round("isd_score", 6).alias("isd_score"))
+    layers = [F.round(F.col("layer_scores")[p.layer], 6).alias(f"layer_{p.layer}") for p in fitted]
+    return out.select("task_id", "is_correct", *layers, F.round("isd_score", 6).alias("isd_score"))
 
 
 @query()
@@ -342,7 +345,7 @@ def is1_internal_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cb1_calibrated_probes(spark: SparkSession, sf: str) -> DataFrame:
     acts = _activations(spark, sf).drop("label")
-    return rounded(probes.results(spark, probes.train(acts, _labels(spark, sf), layers=[0], calibrated=True)), "accuracy", "auc")
+    return rounded(probes.results(spark, probes.train(acts, _labels(spark, sf), calibrated=True)), "accuracy", "auc")
 
 
 @query()
