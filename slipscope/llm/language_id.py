@@ -7,8 +7,10 @@ tried; a byte unknown everywhere costs 8 bits more (n: how often the context cam
 followed, c: how often this one). The language with the shortest code wins; the score is its share of the
 probability, all languages being equally likely beforehand.
 
-Statistics come from a bounded sample of labelled rows: for each language (the MOST_LANGUAGES with the most rows), whole
-texts of at most SAMPLE_BYTES bytes, SAMPLE_TEXTS of them at most, picked by a hash of their id.
+Every language with a labelled text is learned, from a sample of TOTAL_BYTES bytes at most over all languages: whole
+texts of at most SAMPLE_BYTES bytes, SAMPLE_TEXTS of them at most for each language, picked by a hash of their id; where a
+language has too few of these, the first SAMPLE_BYTES bytes of longer ones too. The more languages, the fewer texts for
+each (one at least), and with more than TOTAL_BYTES / SAMPLE_BYTES languages, the fewer bytes of a text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could be
 learned; ties go to the language name that sorts first; repeated rows are predicted each for itself; rows whose
@@ -31,9 +33,10 @@ from .shared import small_batches
 #: Longest context, in bytes.
 ORDER = 4
 #: Bounds of the sample.
-MOST_LANGUAGES, SAMPLE_TEXTS, SAMPLE_BYTES = 64, 256, 16_384
-#: Entries of each worker's table of code lengths, as a power of two.
-TABLE_BITS = 20
+TOTAL_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES = 1 << 28, 256, 16_384
+#: Entries of each worker's table of code lengths, as a power of two; and code lengths held at once, in the table (whose
+#: entries become fewer with many languages) and in the texts at hand.
+TABLE_BITS, CELLS = 20, 1 << 24
 U = np.uint64
 
 
@@ -98,6 +101,7 @@ class Coder:
     """Code lengths of all models for whole texts; windows met before are kept in a table of fixed size."""
 
     def __init__(self, models: list[Model], bits: int = TABLE_BITS):
+        bits = max(1, min(bits, (CELLS // len(models)).bit_length() - 1))
         self.models, self.shift = models, U(64 - bits)
         self.keys = np.full(1 << bits, 2**64 - 1, np.uint64)
         self.values = np.zeros((1 << bits, len(models)), np.float32)
@@ -106,6 +110,17 @@ class Coder:
         """Bits, one row for each text and one column for each model."""
         data, begin, end = padded(texts)
         window = grams(data)
+        # Sums up to where each text begins and ends, over portions of windows.
+        marks, total = np.concatenate([begin, end]), np.zeros(len(self.models))
+        out, step = np.zeros((len(marks), len(self.models))), max(1, CELLS // len(self.models))
+        for lo in range(0, len(window), step):
+            bits = self._windows(window[lo : lo + step])
+            sums = np.concatenate([total[None, :], bits], dtype=np.float64).cumsum(0)
+            here = (marks >= lo) & (marks <= lo + len(bits))
+            out[here], total = sums[marks[here] - lo], sums[-1]
+        return out[len(begin) :] - out[: len(begin)]
+
+    def _windows(self, window: np.ndarray) -> np.ndarray:
         slot = (window * U(0x9E3779B97F4A7C15)) >> self.shift
         missed = np.flatnonzero(self.keys[slot] != window)
         bits = self.values[slot]
@@ -117,28 +132,35 @@ class Coder:
             # Two new windows of one slot: the later wins both arrays, as positions are the same.
             at, last = np.unique(at[::-1], return_index=True)
             self.keys[at], self.values[at] = fresh[::-1][last], lengths[::-1][last]
-        total = np.concatenate([np.zeros((1, len(self.models))), np.cumsum(bits, 0, dtype=np.float64)])
-        return total[end] - total[begin]
+        return bits
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[Model]:
     """Models from a bounded sample of the rows."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).where(
         "lang is not null and text is not null and text rlike '\\\\p{L}'"
-    ).where(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    )
+    short = F.octet_length("text") <= SAMPLE_BYTES
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()
     if not counts:
         return []
+    each = max(1, min(SAMPLE_TEXTS, TOTAL_BYTES // (len(counts) * SAMPLE_BYTES)))
+    longest = max(1, min(SAMPLE_BYTES, TOTAL_BYTES // len(counts)))
     # A first cut by the hash alone leaves a few times the sample, however many rows a language has.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 4.0 * SAMPLE_TEXTS / r["count"]))])
-    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS)
+    first = lambda n: min(1.0, max(4.0 * each, 64.0) / max(n, 1))
+    shares = [(r.lang, first(r.short), first(r.n - r.short) if r.short < each else 0.0) for r in counts]
+    shares = labelled.sparkSession.createDataFrame(shares, "lang string, of_short double, of_long double")
+    rows = rows.withColumn("lang", F.col("lang").cast("string")).withColumn("long", ~short).join(F.broadcast(shares), "lang")
+    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < F.when(F.col("long"), F.col("of_long")).otherwise(F.col("of_short")) * 1_000_000)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text"))
+    rows = rows.select("lang", "long", "h", F.substring(F.encode("text", "UTF-8"), 1, longest).alias("text"))
+    sample = rows.withColumn("rank", rank).where(F.col("rank") <= each)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
-        texts = [t.encode("utf-8", "replace") for t in frame.sort_values(["rank"]).text]
+        # A cut may have split the last letter.
+        texts = [bytes(t).decode("utf-8", "ignore").encode() for t in frame.sort_values(["rank"]).text]
         return pd.DataFrame({"lang": [frame.lang.iloc[0]], "model": [pickle.dumps(Model(frame.lang.iloc[0], texts))]})
 
     import pickle

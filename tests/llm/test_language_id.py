@@ -68,3 +68,22 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in l.identified(df).collect()] == [("und", 0.0)]
     assert l.identified(df.limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(6)
+    words = {f"l{i:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(70)}
+    # Language 69 has long texts only, and so has 68 but for one.
+    size = lambda i, j: 3_000 if i == 69 or i == 68 and j else 40
+    rows = [(i * 10 + j, " ".join(r.choices(words[f"l{i:02}"], k=size(i, j))), f"l{i:02}") for i in range(70) for j in range(10)]
+    out = l.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == 700 and {r.lang_pred for r in out} == set(words)
+    assert all(r.lang_pred == f"l{r.doc_id // 10:02}" for r in out)
+
+
+def test_many_languages_shrink_tables_and_portions(monkeypatch):
+    models = [l.Model(k, [" ".join(v).encode()]) for k, v in WORDS.items()]
+    texts = [b"toko makato", b"", "ünor lesh".encode(), b"rishel"]
+    whole = l.Coder(models).texts(texts)
+    monkeypatch.setattr(l, "CELLS", 24)
+    assert l.Coder(models).texts(texts) == pytest.approx(whole)
