@@ -4,6 +4,8 @@ Tokens are runs of letters and digits (points and commas between digits belong t
 placeholder if it is a number, a unit after a number, or a name (a capitalised token inside a sentence); all others
 stay as they are, in lower case. Windows of WINDOW tokens are hashed, by their template if it keeps LEAST_LITERALS
 tokens or more, else with the tokens themselves, and document windows are joined with benchmark windows by that hash.
+As names show by capitals only, a window with a name has a second hash, with names as they are in lower case, so that
+copies in small letters or in capitals meet too; the slots of such a match are its numbers and units.
 Matches of a document and an item on neighbouring diagonals (each at most SHIFT tokens from the next one, as inserted
 and deleted words leave them) make a passage; its slots must be consistent: an item's value, where it comes again, must
 have the same counterpart in the document. A passage of a share COVERAGE of the item's windows, with consistent slots,
@@ -98,12 +100,14 @@ def template_windows(w: tb.Words, h: np.ndarray, kinds: np.ndarray, k: int) -> n
     """Hashes of k tokens each, at every token where k follow (across texts too; see tb.within)."""
     if len(h) < k:
         return np.empty(0, np.uint64)
-    literal = kinds == 0
-    exact = tb.windows(h, k)
-    template = tb.windows(np.where(literal, h, tb.mix(kinds.astype(np.uint64))), k, 1)
-    kept = np.concatenate([[0], np.cumsum(literal)])
-    many = kept[k:] - kept[:-k] >= min(LEAST_LITERALS, k)
-    return np.where(many, template, exact) ^ U(k)
+    template = tb.windows(np.where(kinds == 0, h, tb.mix(kinds.astype(np.uint64))), k, 1)
+    return np.where(_literals(kinds, k) >= min(LEAST_LITERALS, k), template, tb.windows(h, k)) ^ U(k)
+
+
+def _literals(kinds: np.ndarray, k: int) -> np.ndarray:
+    """How many of the k tokens from each on stay as they are."""
+    kept = np.concatenate([[0], np.cumsum(kinds == 0)])
+    return kept[k:] - kept[:-k]
 
 
 def _slots(at: np.ndarray, k: int, h: np.ndarray, kinds: np.ndarray) -> list[list[int]]:
@@ -113,18 +117,27 @@ def _slots(at: np.ndarray, k: int, h: np.ndarray, kinds: np.ndarray) -> list[lis
 
 
 def _found(texts: list[bytes], lengths: list[int], bits: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]]:
-    """For each window length: k, text, place in the text, hash, number of the text's tokens, slot values."""
+    """For each window length, without names and with them: k, text, place in the text, hash, number of the text's tokens, slot values."""
     w, h, kinds = canonical(texts)
     counts = w.counts
+    caseless = np.where(kinds == NAME, 0, kinds).astype(kinds.dtype)
     for k in lengths:
-        hashes = template_windows(w, h, kinds, k)
-        ok = tb.within(w.first, k)
-        if bits is not None:
-            slot = hashes & U((1 << FILTER_BITS) - 1)
-            ok &= (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & np.uint8(1) == 1
-        at = np.flatnonzero(ok)
-        owner = np.searchsorted(w.first, at, "right") - 1
-        yield k, owner, at - w.first[owner], hashes[at].astype(np.int64), counts[owner], _slots(at, k, h, kinds)
+        within = tb.within(w.first, k)
+        if not len(within):
+            continue
+        # Windows of few literals are hashed with their tokens, which the caseless hash does as well.
+        literals = _literals(kinds, k)
+        named = (literals < _literals(caseless, k)) & (literals >= min(LEAST_LITERALS, k))
+        for kind, ok in ((caseless, within.copy()), (kinds, within & named)):
+            if not ok.any():
+                continue
+            hashes = template_windows(w, h, kind, k)
+            if bits is not None:
+                slot = hashes & U((1 << FILTER_BITS) - 1)
+                ok &= (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & np.uint8(1) == 1
+            at = np.flatnonzero(ok)
+            owner = np.searchsorted(w.first, at, "right") - 1
+            yield k, owner, at - w.first[owner], hashes[at].astype(np.int64), counts[owner], _slots(at, k, h, kind)
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", k: int = WINDOW) -> DataFrame:
@@ -244,7 +257,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: f
     found = rows.mapInArrow(run, "hash long, doc_id long, dpos long, dslots array<long>")
     found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     spread = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    met = found.join(spread, ["hash", "salt"]).select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", "n_windows", F.arrays_zip("islots", "dslots").alias("pairs"))
+    # Of equal hashes only those of the tokens themselves can differ in the number of slots (a unit whose number stands
+    # before the window in one text only): their values are the same.
+    same = F.when(F.size("islots") == F.size("dslots"), F.col("dslots")).otherwise(F.col("islots"))
+    met = found.join(spread, ["hash", "salt"]).select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", "n_windows", F.arrays_zip("islots", same.alias("dslots")).alias("pairs"))
     met = written(met, "met")
     pair = ["doc_id", "item_id"]
     alone = met.groupBy(*pair, "diagonal").agg(F.count_distinct("ipos").alias("n"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

@@ -60,3 +60,11 @@ def test_the_longest_chain_of_matches():
     same, other = [(1, 1)], [(1, 2)]
     assert d.passage([(0, 0, same), (2, 1, same), (0, 6, other)], 2) == (2, False)
     assert d.passage([(0, 0, same), (2, 1, other)], 2) is None
+
+
+def test_copies_in_small_letters_and_capitals(spark):
+    dense = "We told Anna that Otto met Clara near Paris while Hugo saw Berta with Emil at Rome before Ida left Bonn for Wien and Karl."
+    copies = [(1, dense, "x"), (2, dense.lower(), "x"), (3, dense.upper(), "x"), (4, dense.replace("Anna", "Olga"), "x"), (5, ITEM.upper(), "x"), (6, ITEM.lower().replace("3 hours", "7 hours"), "x")]
+    got = found(spark, copies, [(1, dense), (2, dense.lower()), (3, ITEM)])
+    assert set(got) == {(i, j) for i in (1, 2, 3, 4) for j in (1, 2)} | {(5, 3), (6, 3)}
+    assert not any(got[i, 1] for i in (1, 2, 3)) and got[4, 1] and not got[5, 3] and got[6, 3]
