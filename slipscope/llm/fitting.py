@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Strata that get the full number of rows in a sample, and the least number for each where there are more.
+STRATA, LEAST_EACH = 64, 8
+
 
 class Sparse:
     """A matrix by (row, column, value), columns compacted to those that occur."""
@@ -65,16 +68,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def sampled(labels: DataFrame, key: str, stratum: str, each: int) -> DataFrame:
     """At most about twice ``each`` rows of every stratum, by a hash of the key, with ``weight``: rows it stands for.
 
-    Strata are few (grades, or combinations of labels). What is returned is bounded, however many labels there are.
+    No stratum is left out by its rank. With more than STRATA of them each gets fewer rows (LEAST_EACH at least), and
+    with so many that even this exceeds ``each`` times STRATA rows (continuous ratings), all shares shrink alike. What is
+    returned is bounded, however many labels there are.
     """
     labels = labels.where(F.col(key).isNotNull() & F.col(stratum).isNotNull()).dropDuplicates([key])
-    counts = {r[0]: r[1] for r in labels.groupBy(stratum).count().orderBy(F.col("count").desc(), stratum).limit(64).collect()}
-    if not counts:
+    counts = labels.groupBy(stratum).agg(F.count("*").alias("_n"))
+    n, most = counts.count(), each * STRATA
+    if not n:
         return labels.withColumn("weight", F.lit(1.0)).limit(0)
-    share = {k: min(1.0, each / n) for k, n in counts.items()}
-    of = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col(stratum)]
-    kept = labels.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < of * 1_000_000)
-    return kept.withColumn("weight", 1.0 / of).limit(2 * each * len(counts))
+    quota = each if n <= STRATA else min(each, max(LEAST_EACH, most // n))
+    total = counts.agg(F.sum(F.least(F.col("_n"), F.lit(quota)))).first()[0]
+    of = F.least(F.lit(1.0), F.lit(float(quota)) / F.col("_n")) * min(1.0, most / total)
+    rows = labels.join(counts, stratum).withColumn("_of", of)
+    kept = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < F.col("_of") * 1_000_000)
+    return kept.withColumn("weight", 1.0 / F.col("_of")).drop("_n", "_of").limit(2 * each * min(n, STRATA))
 
 
 def labelled_sample(docs: DataFrame, sample: DataFrame, longest: int) -> DataFrame:

@@ -5,8 +5,8 @@ logistic(threshold_j - w.x). Features are relative frequencies of hashed byte tr
 marks of words (same as the one before, all capitals, with symbols, very long). From the fitted model every document
 gets its expected grade and the tail probability of reaching the selection grade.
 
-The model is fitted in one task on a bounded sample of labelled rows: about SAMPLE_EACH texts of each grade (the first
-64 grades by count), none longer than SAMPLE_BYTES bytes, weighted back to the grades' shares. Scoring reads all
+The model is fitted in one task on a bounded sample of labelled rows: about SAMPLE_EACH texts of each grade (fewer
+where there are more than 64 grades), none longer than SAMPLE_BYTES bytes, weighted back to the grades' shares. Scoring reads all
 documents and whole texts.
 
 Defined cases: a null text counts as an empty one and has no features (the thresholds alone decide); with fewer than

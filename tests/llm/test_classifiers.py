@@ -94,3 +94,12 @@ def test_samples_are_bounded_and_weighted(spark):
     rows = fitting.sampled(labels, "id", "g", 100).collect()
     assert len(rows) <= 400
     assert 3000 < sum(r.weight for r in rows) < 7000
+
+
+def test_no_stratum_is_cut_and_many_are_bounded(spark):
+    labels = spark.range(9000).select("id", (F.col("id") % 150).alias("g"), (F.col("id") / 7).alias("rating"))
+    rows = fitting.sampled(labels, "id", "g", 20).collect()
+    assert len({r.g for r in rows}) == 150 and len(rows) <= 2 * 20 * 64
+    assert 7000 < sum(r.weight for r in rows) < 11_000
+    fine = fitting.sampled(labels, "id", "rating", 20).collect()
+    assert 1000 < len(fine) < 1600 and 7500 < sum(r.weight for r in fine) < 10_500
