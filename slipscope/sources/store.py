@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import tempfile
@@ -31,28 +32,56 @@ EXTENDED = SCORED + ", pei_multiplicative DOUBLE"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_swept: set[str] = set()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/slipscope/{name}-{uuid.uuid4().hex}"
+    """A path in this application's part of the shared folder; that part goes when Python ends, if Spark still runs then."""
+    own = f"{shared_dir(spark)}/slipscope/{spark.sparkContext.applicationId}"
+    if own not in _swept:
+        _swept.add(own)
+        atexit.register(_sweep, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and outlives executors."""
+def _sweep(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        removed(spark, path)
+
+
+def staged(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and outlives executors. options: the writer's."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._slipscope_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``staged`` that nothing still to run reads."""
+    for table in tables:
+        removed(table.sparkSession, table._slipscope_path)
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
-    """JSON Lines; with ``order``, one file in that order (for reports of bounded size)."""
-    out = df.orderBy(order).coalesce(1) if order else df
+    """JSON Lines; with ``order``, dealt by ranges, so that files and the lines in them follow that order."""
+    out = df.orderBy(order) if order else df
     out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
@@ -93,8 +122,8 @@ def write_report(path: str, **tables: DataFrame) -> None:
 
 
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at the path if it is there, else made and written first."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        make().write.parquet(path)
+    """The table at the path if it was written to its end, else made and written first."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

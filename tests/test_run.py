@@ -79,3 +79,28 @@ def test_npz_import_and_stage_cache(spark, tmp_path):
     calls = []
     make = lambda: calls.append(1) or spark.range(3)
     assert [store.stage(spark, str(tmp_path / "s"), make).count() for _ in range(2)] == [3, 3] and calls == [1]
+
+
+def test_a_stage_that_was_not_written_to_its_end_is_made_again(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "s"))
+    (tmp_path / "s" / "_SUCCESS").unlink()
+    assert store.stage(spark, str(tmp_path / "s"), lambda: spark.range(5)).count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        store.shared_dir(Session)
+
+
+def test_ordered_lines_follow_the_order(spark, tmp_path):
+    path = str(tmp_path / "o.jsonl")
+    store.write_jsonl(spark.range(1000).selectExpr("id", "1000 - id as rank").repartition(7), path, order="rank")
+    lines = [json.loads(x)["rank"] for f in sorted((tmp_path / "o.jsonl").glob("part-*")) for x in open(f)]
+    assert lines == list(range(1, 1001))
