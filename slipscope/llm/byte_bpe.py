@@ -4,7 +4,8 @@ Every text is cut into chunks that overlap. Chunks are pre-tokenised in parallel
 first pre-token boundary inside their overlap that both found, because the pattern looks only forward: from a common
 boundary on, both see the same pre-tokens. The pieces between stitches are then encoded, each on its own. Where an
 overlap holds no common boundary (one pre-token longer than the overlap), the neighbours are joined before encoding.
-Decoding concatenates the bytes of the ids.
+Decoding concatenates the bytes of the ids. Texts no longer than a chunk are one piece and never leave their task; the
+chunks of longer ones are written once, dealt out evenly, and join their stitches.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each for itself;
 extra columns are kept if named in ``keep`` (names made here start with ``_bpe``); an empty table gives an empty one.
@@ -19,21 +20,25 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import bounded_batches, frugal, portions, written
 
 #: Characters of a chunk and of the part it shares with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Characters before a chunk's end whose pre-tokens may depend on what follows.
 MARGIN = 8
+#: Bytes of a row group of the table of chunks.
+ROW_GROUP = 4 << 20
 
 
 class Vocabulary:
-    """Ranks and pattern; builds its encoder once in each process, also after unpickling."""
+    """Ranks and pattern; builds its encoder and its table of tokens once in each process, also after unpickling."""
 
-    _built: dict[int, tuple[tiktoken.Encoding, list[bytes]]] = {}
+    _encoders: dict[int, tiktoken.Encoding] = {}
+    _by_id: dict[int, list[bytes]] = {}
 
     def __init__(self, ranks_file: bytes, pattern: str):
         self.ranks_file, self.pattern, self.key = ranks_file, pattern, hash((ranks_file, pattern))
@@ -43,15 +48,22 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls(f.read(), pattern)
 
-    def built(self) -> tuple[tiktoken.Encoding, list[bytes]]:
-        if self.key not in self._built:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks_file.splitlines()) if a}
-            by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+    def ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks_file.splitlines()) if a}
+
+    def by_id(self) -> list[bytes]:
+        if self.key not in self._by_id:
+            ranks = self.ranks()
+            out = [b""] * (max(ranks.values(), default=-1) + 1)
             for token, i in ranks.items():
-                by_id[i] = token
-            encoder = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-            self._built[self.key] = encoder, by_id
-        return self._built[self.key]
+                out[i] = token
+            self._by_id[self.key] = out
+        return self._by_id[self.key]
+
+    def built(self) -> tuple[tiktoken.Encoding, list[bytes]]:
+        if self.key not in self._encoders:
+            self._encoders[self.key] = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks(), special_tokens={})
+        return self._encoders[self.key], self.by_id()
 
 
 def boundaries(pattern: regex.Pattern, text: str, last: bool) -> list[int]:
@@ -65,47 +77,63 @@ def _chunks(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int, str
         yield k, start, text[start : start + chunk + overlap], start + chunk >= len(text)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Columns ``keep``, n_tokens long and ids binary (little-endian unsigned 32-bit integers) for every row of df."""
+def _ids(encoder: tiktoken.Encoding, text: str) -> bytes:
+    return np.asarray(encoder.encode_ordinary(text), dtype="<u4").tobytes()
+
+
+def _bytes(by_id: list[bytes], ids: bytes) -> bytes:
+    return b"".join([by_id[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None) -> DataFrame:
+    """Columns ``keep``, n_tokens long and ids binary (little-endian unsigned 32-bit integers) for every row of df.
+
+    decoded: name of one more column with the bytes of the ids, decoded in the same pass.
+    """
     spark = df.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     kept = [df[c].alias(f"_bpe_{i}") for i, c in enumerate(keep)]
     names = [f"_bpe_{i}" for i in range(len(keep))]
-    types = [df.schema[c].dataType.simpleString() for c in keep]
+    carried = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep))
     rows = df.select(*kept, F.coalesce(df[text], F.lit("")).alias("_bpe_text"))
-    carried = ", ".join(f"{n} {t}" for n, t in zip(names, types))
-    comma = ", " if carried else ""
+    result = f"{carried}n_tokens long, ids binary" + ", decoded binary" * (decoded is not None)
+
+    def results(head: list[pa.Array], ids: list[bytes], by_id: list[bytes]) -> pa.RecordBatch:
+        out = [*head, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        back = [pa.array([_bytes(by_id, x) for x in ids], pa.binary())] if decoded is not None else []
+        return pa.RecordBatch.from_arrays([*out, *back], names=[*names, "n_tokens", "ids", *["decoded"] * len(back)])
 
+    @frugal
     def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = shared.value.built()
+        encoder, by_id = shared.value.built()
         for batch in batches:
-            *head, texts = batch.columns
-            ids = [np.asarray(encoder.encode_ordinary(t), dtype="<u4") for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*head, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                names=[*names, "n_tokens", "ids"],
-            )
+            texts = batch.column(len(names)).to_pylist()
+            for p in portions([len(t) for t in texts]):
+                part = batch.slice(p.start, p.stop - p.start)
+                yield results(part.columns[: len(names)], [_ids(encoder, t) for t in texts[p]], by_id)
 
     size = F.char_length("_bpe_text")
-    whole = rows.where(size <= chunk).mapInArrow(encode_whole, f"{carried}{comma}n_tokens long, ids binary")
-
-    # A row is named by its task and place: the scan deals rows out the same way when a task runs again.
-    long = rows.where(size > chunk).withColumn("_bpe_row", F.monotonically_increasing_id())
+    whole = rows.where(size <= chunk).mapInArrow(encode_whole, result)
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for i, (row, value) in enumerate(zip(batch.column("_bpe_row").to_pylist(), batch.column("_bpe_text").to_pylist())):
+            for i, value in enumerate(batch.column(len(names)).to_pylist()):
+                head = [c.slice(i, 1) for c in batch.columns[: len(names)]]
                 for k, start, part, last in _chunks(value, chunk, overlap):
-                    head = [batch.column(n).slice(i, 1) for n in names]
                     yield pa.RecordBatch.from_arrays(
                         [*head, pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([start], pa.int64()), pa.array([part]), pa.array([last])],
                         names=[*names, "_bpe_row", "k", "start", "part", "last"],
                     )
+                row += 1
 
-    chunks = long.mapInArrow(cut, f"{carried}{comma}_bpe_row long, k int, start long, part string, last boolean")
-    chunks = chunks.repartition("_bpe_row", "k")
+    # Written, in row groups that are read apart: rows are named by their place, and these names must not change.
+    chunks = rows.where(size > chunk).mapInArrow(cut, f"{carried}_bpe_row long, k int, start long, part string, last boolean")
+    chunks = written(chunks, "chunks", **{"parquet.block.size": str(ROW_GROUP)})
 
+    @frugal
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = regex.compile(shared.value.pattern)
         for batch in batches:
@@ -115,19 +143,29 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tupl
                 heads.append([start + e for e in ends if e <= overlap])
                 tails.append([start + e for e in ends if e >= chunk])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))],
-                names=[*batch.schema.names, "heads", "tails"],
+                [batch.column("_bpe_row"), batch.column("k"), batch.column("last"), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))],
+                names=["_bpe_row", "k", "last", "heads", "tails"],
             )
 
-    marked = chunks.mapInArrow(pretokenise, f"{carried}{comma}_bpe_row long, k int, start long, part string, last boolean, heads array<long>, tails array<long>")
+    # Stitches are found without the texts, which join them afterwards.
+    marked = chunks.select("_bpe_row", "k", "start", "part", "last").mapInArrow(pretokenise, "_bpe_row long, k int, last boolean, heads array<long>, tails array<long>")
     order = Window.partitionBy("_bpe_row").orderBy("k")
     common = F.array_intersect("tails", F.lead("heads").over(order))
-    stitched = (
+    stitches = (
         marked.withColumn("cut", F.when(~F.col("last"), F.array_min(common)))
         .withColumn("from", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.lag("cut").over(order)))
         .withColumn("piece", F.sum(F.when(F.col("from").isNull(), 0).otherwise(1)).over(order))
+        .withColumn("alone", F.count("*").over(Window.partitionBy("_bpe_row", "piece")) == 1)
+        .select("_bpe_row", "k", "from", "cut", "piece", "alone")
     )
+    stitched = chunks.join(stitches, ["_bpe_row", "k"])
+    one = F.struct("k", "start", "part", "from", "cut")
+    some = [F.any_value(n).alias(n) for n in names]
+    # A piece joins more chunks than one only where no boundary fell into an overlap.
+    single = stitched.where("alone").select("_bpe_row", "piece", *names, F.array(one).alias("parts"))
+    several = stitched.where("not alone").groupBy("_bpe_row", "piece").agg(*some, F.collect_list(one).alias("parts"))
 
+    @frugal
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = shared.value.built()
         for batch in batches:
@@ -136,46 +174,40 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tupl
                 parts.sort(key=lambda p: p["k"])
                 first, end = parts[0]["start"], parts[-1]["cut"]
                 joined = "".join(p["part"] if p is parts[-1] else p["part"][:chunk] for p in parts)
-                joined = joined[(parts[0]["from"] or 0) - first : None if end is None else end - first]
-                out.append(np.asarray(encoder.encode_ordinary(joined), dtype="<u4").tobytes())
-            head = ["_bpe_row", *names, "piece"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in head), pa.array(out, pa.binary())], names=[*head, "piece_ids"])
+                out.append(_ids(encoder, joined[(parts[0]["from"] or 0) - first : None if end is None else end - first]))
+            yield pa.RecordBatch.from_arrays([*batch.select(["_bpe_row", "piece", *names]).columns, pa.array(out, pa.binary())], names=["_bpe_row", "piece", *names, "piece_ids"])
 
-    # A piece joins more chunks than one only where no boundary fell into an overlap.
-    pieces = (
-        stitched.groupBy("_bpe_row", *names, "piece")
-        .agg(F.collect_list(F.struct("k", "start", "part", "from", "cut")).alias("parts"))
-        .mapInArrow(encode_pieces, f"_bpe_row long, {carried}{comma}piece long, piece_ids binary")
-    )
+    pieces = single.unionByName(several).mapInArrow(encode_pieces, f"_bpe_row long, piece long, {carried}piece_ids binary")
 
+    @frugal
     def concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = shared.value.by_id() if decoded is not None else []
         for batch in batches:
-            ids = [b"".join(p["piece_ids"] for p in sorted(parts, key=lambda p: p["piece"])) for parts in batch.column("all").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=[*names, "n_tokens", "ids"],
-            )
+            for i in range(batch.num_rows):
+                parts = sorted(batch.column(len(names))[i].as_py(), key=lambda p: p["piece"])
+                yield results([c.slice(i, 1) for c in batch.columns[: len(names)]], [b"".join(p["piece_ids"] for p in parts)], by_id)
 
-    gathered = pieces.groupBy("_bpe_row", *names).agg(F.collect_list(F.struct("piece", "piece_ids")).alias("all"))
-    joined = gathered.select(*names, "all").mapInArrow(concatenate, f"{carried}{comma}n_tokens long, ids binary")
-    out = whole.unionByName(joined)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_tokens", "ids")
+    gathered = pieces.groupBy("_bpe_row").agg(*some, F.collect_list(F.struct("piece", "piece_ids")).alias("all")).select(*names, "all")
+    out = whole.unionByName(gathered.mapInArrow(concatenate, result))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_tokens", "ids", *([F.col("decoded").alias(decoded)] if decoded is not None else []))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """df with the bytes of its ids in one more column (in place of one of that name); null ids give null."""
     df = df.drop(to)
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` binary"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + f"`{to}` binary"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, by_id = shared.value.built()
+        by_id = shared.value.by_id()
         for batch in batches:
             values = batch.column(names.index(ids)).to_pylist()
-            out = [None if v is None else b"".join([by_id[i] for i in np.frombuffer(v, dtype="<u4").tolist()]) for v in values]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, to])
+            for p in portions([len(v or b"") for v in values]):
+                out = [None if v is None else _bytes(by_id, v) for v in values[p]]
+                yield pa.RecordBatch.from_arrays([*batch.slice(p.start, p.stop - p.start).columns, pa.array(out, pa.binary())], names=[*names, to])
 
     return df.mapInArrow(run, schema)
 
@@ -202,5 +234,5 @@ def published_vocabulary() -> Vocabulary:
 
 def digests(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    out = decode(encode(docs, vocabulary), vocabulary)
+    out = encode(docs, vocabulary, decoded="decoded")
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
-from .shared import discard, small_batches, written
+from .shared import bounded_batches, discard, written
 
 SHINGLE, PERCENT = 5, 80
 #: Documents from which a shingle counts as frequent (more than a short list holds); bits of the filter that marks
@@ -162,7 +162,7 @@ def frequent(rows: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
         distinct = len(key)
         return pa.table({"word": pa.array([-1, *word.tolist()], pa.int64()), "bits": pa.array([0, *bits.astype(np.int64).tolist()], pa.int64()), "total": pa.array([int(n.sum()), *[0] * len(word)], pa.int64()), "distinct": pa.array([distinct, *[0] * len(word)], pa.int64())})
 
-    small_batches(rows.sparkSession, 256)
+    bounded_batches(rows.sparkSession)
     words = rows.select("text").mapInArrow(count, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(merge, "word long, bits long, total long, distinct long")
     # At most 2 ** (FILTER_BITS - 6) + 1 rows, whatever the input.
     out, total, distinct = np.zeros(1 << (FILTER_BITS - 6), np.int64), 0, 0
@@ -230,7 +230,7 @@ def postings(heads: DataFrame, small: int, buckets: int) -> DataFrame:
         if held:
             yield from emit(held)
 
-    small_batches(heads.sparkSession, 2_048)
+    bounded_batches(heads.sparkSession)
     return heads.select("node", "n", "head").mapInArrow(run, _POST)
 
 
@@ -324,7 +324,7 @@ def node_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
                     done.add(k)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], names=["k1", "k2", "members"])
 
-    small_batches(spark, 256)
+    bounded_batches(spark)
     found = rows.select("text").mapInArrow(run, "k1 long, k2 long, members binary")
     return written(found.join(named, ["k1", "k2"]).groupBy("node").agg(F.max("members").alias("members")), "members")
 
@@ -344,7 +344,7 @@ def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = node_sets(rows, nodes, wanted)
-    small_batches(rows.sparkSession, 512)
+    bounded_batches(rows.sparkSession)
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     out = written(two.mapInArrow(_verify, "a long, b long"), "verified")
@@ -371,7 +371,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", small: int
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     bits, mean_list = frequent(rows, buckets)
-    small_batches(rows.sparkSession, 256)
+    bounded_batches(rows.sparkSession)
     sets = set_table(rows, bits, buckets)
     nodes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_doc"))
     # Numbered in the order of their first documents.

@@ -2,46 +2,75 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. A batch holds whole texts, so few rows keep long ones within a worker's memory.
-ARROW_ROWS = 128
+from ..sources.store import discard, shared_dir
+from ..sources.store import staged as written
 
+__all__ = ["bounded_batches", "discard", "documents", "frugal", "portions", "released", "shared_dir", "text_portions", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Bytes of an Arrow batch, for sessions that don't set a bound of their own; and bytes of text worked on at a time.
+BATCH_BYTES, PORTION_BYTES = 4 << 20, 1 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/slipscope/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._slipscope_path = path
-    return out
 
 
-def discard(table: DataFrame) -> None:
-    """Remove a table made by ``written`` that nothing still to run reads."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._slipscope_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, unless the session has a bound of its own.
 
+    The value is the same for all operators and only bounds memory: no result depends on how rows are dealt into batches,
+    and what runs on a batch takes it in portions.
+    """
+    given = spark.conf.get(_BATCH_KEY, None)
+    if given is None or given.rstrip("bB") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def portions(sizes: list[int], most: int = PORTION_BYTES) -> Iterator[slice]:
+    """Runs of rows of about ``most`` bytes (a row at least), so that arrays made of them stay small."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def text_portions(texts: list[bytes], most: int = PORTION_BYTES) -> Iterator[slice]:
+    return portions([len(t) for t in texts], most)
+
+
+def released() -> None:
+    """Give memory that nothing uses back to the system: idle workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def frugal(run: Run) -> Run:
+    """The function of mapInArrow, its worker's memory given back when a task is done."""
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return inner
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import small_batches, written
+from .shared import bounded_batches, written
 
 WINDOW, GROUP = 20, 5
 RUN_BYTES = 4 << 20
@@ -127,7 +127,7 @@ def _earliest(h: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarr
 
 def packed(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Runs of documents, and the sorted anchors of each run by bucket."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def emit(run: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
