@@ -1,190 +1,340 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are packed once into blocks (a table in the shared folder). Queries are taken in bounded sets; each set is
-sent to the executors and run against all blocks. Within a block, vectors are sorted by length and grouped into
-buckets. From a query's current k-th best product follows, for each bucket, the least cosine a vector there must
-have: above 1, the bucket is skipped (length pruning of the rest too, as later buckets are shorter); else the cheaper
-of two prunings is chosen for the bucket, by its local threshold: by length (the vectors long enough at a cosine of 1)
-or by coordinate (those whose normalised value at the query's largest coordinate is possible at that cosine). What is
-left is verified by exact integer products. Products of a set's queries over all blocks meet in one ranking by query.
+Vectors are sorted by length over the whole table, longest first, and packed into blocks of neighbours (a table in the
+shared folder); a block is cut into buckets. Queries are rows too. First, each meets the block of the longest vectors,
+which gives it a threshold, its k-th best product so far. Queries are then grouped by the length that a vector needs to
+reach their threshold, and each group meets, by a join, the blocks that hold a vector so long. Within a block, each
+bucket has a local threshold for each query, the least cosine a vector there must have: above 1, the bucket is skipped;
+else the cheaper of two prunings is chosen, by length (the vectors long enough at a cosine of 1) or by coordinate (those
+whose normalised value at the query's largest coordinate is possible at that cosine). What is left is verified by exact
+integer products. The best of a query in all blocks meet in one ranking; no query passes the driver.
 
 Defined cases: vectors that are null or empty, or hold a null or a non-finite component, and rows without an id take
 no part; vectors are compared with those of the same dimension; a repeated row is a candidate of its own (only the
-query's very row is left out); ties go to the smaller vec_id; scores must fit 64 bits; queries without candidates return nothing; an empty
-table gives an empty result.
+query's very row is left out); ties go to the smaller vec_id; products are ranked as whole numbers of any size, and a
+score beyond 64 bits is given as the nearest 64-bit number; queries without candidates return nothing; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import bounded_batches, frugal, written
 
-#: Vectors of a block and of a bucket, and queries sent to the executors at a time (their size is then bounded).
-BLOCK, BUCKET, QUERIES = 4_096, 512, 32_768
-#: Whole numbers up to this are exact as doubles.
-EXACT = 2.0**53
+#: Vectors of a block and of a bucket; queries of a group; blocks that a task keeps while groups pass by, at most.
+BLOCK, BUCKET, GROUP, SPAN = 4_096, 512, 1_024, 16
+#: Copies of the longest block, by which queries meet it in many tasks.
+SALT = 64
+#: Whole numbers up to this are exact as doubles. Components from LARGE on are taken as whole numbers of Python.
+EXACT, LARGE = 2.0**53, 1e100
 
 
 def integers(x: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * x.astype(np.float64))
+    """floor(256 x) as doubles, which hold it exactly; for large components as whole numbers of Python."""
+    if len(x) and np.abs(x).max() >= LARGE:
+        return np.array([int(v) * 256 if abs(v) >= EXACT else math.floor(256 * v) for v in x.ravel().tolist()], object).reshape(x.shape)
+    return np.floor(256.0 * x)
 
 
-def pack(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", query: Column | None = None) -> DataFrame:
-    """Blocks of integer vectors of one dimension, as a table; is_query marks rows that satisfy ``query``."""
-    small_batches(df.sparkSession, BLOCK)
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
-    usable = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = rows.where(usable)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, q = batch.column(0).to_numpy(), np.asarray(batch.column(2).to_pylist(), bool)
-            lists = batch.column(1)
-            dims = np.diff(np.asarray(lists.offsets))
-            for d in np.unique(dims):
-                take = np.flatnonzero(dims == d)
-                matrix = integers(np.asarray(lists.take(pa.array(take)).flatten()).reshape(len(take), d))
-                order = np.argsort(-(matrix**2).sum(1), kind="stable")
-                yield pa.RecordBatch.from_pylist(
-                    [{"dim": int(d), "ids": ids[take][order].astype("<i8").tobytes(), "vectors": matrix[order].astype("<f8").tobytes(), "is_query": q[take][order].tobytes(), "n_queries": int(q[take].sum())}],
-                    schema=pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("is_query", pa.binary()), ("n_queries", pa.int64())]),
-                )
-
-    blocks = rows.mapInArrow(run, "dim int, ids binary, vectors binary, is_query binary, n_queries long")
-    return written(blocks.withColumn("block", F.monotonically_increasing_id()), "vectors")
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    if vectors.dtype == object:
+        return np.full(len(vectors), np.inf)
+    return np.sqrt((vectors**2).sum(1))
 
 
 class Queries:
-    """A bounded set of queries of one dimension: vectors, ids and their own rows (block, place)."""
+    """Queries of one dimension: vectors, ids and their own rows (block, place)."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, block: np.ndarray, place: np.ndarray):
         self.vectors, self.ids, self.block, self.place = vectors, ids, block, place
-        self.norms = np.sqrt((vectors**2).sum(1))
-        safe = np.where(self.norms > 0, self.norms, 1.0)
-        self.focus = np.abs(vectors).argmax(1)
-        self.peak = vectors[np.arange(len(vectors)), self.focus] / safe
-
-
-def products(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer products, as int64 where doubles could round."""
-    if q.shape[-1] * float(np.abs(q).max(initial=0)) * float(np.abs(vectors).max(initial=0)) < EXACT:
-        return (vectors @ q).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(v, q)) for v in vectors], dtype=object)
+        self.norms = lengths(vectors)
+        if vectors.dtype != object and len(vectors):
+            safe = np.where(self.norms > 0, self.norms, 1.0)
+            self.focus = np.abs(vectors).argmax(1)
+            self.peak = vectors[np.arange(len(vectors)), self.focus] / safe
 
 
 class Best:
-    """The k best (score, vec_id) of one query so far."""
+    """The k best (score, vec_id) of one query so far, from a known lower bound of the k-th on."""
 
-    __slots__ = ("k", "scores", "ids")
+    __slots__ = ("k", "found", "floor")
 
-    def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, np.empty(0, object), np.empty(0, np.int64)
+    def __init__(self, k: int, floor: int | None = None):
+        self.k, self.found, self.floor = k, [], floor
+
+    @property
+    def kth(self) -> int | None:
+        """What a product must reach; None if anything will do."""
+        return -self.found[-1][0] if len(self.found) >= self.k else self.floor
 
     @property
     def least(self) -> float:
-        return float(self.scores[-1]) if len(self.scores) >= self.k else -np.inf
+        """kth as a double, rounded down."""
+        kth = self.kth
+        try:
+            return -np.inf if kth is None else float(np.nextafter(float(kth), -np.inf))
+        except OverflowError:
+            return -np.inf if kth < 0 else float(np.finfo(float).max)
+
+    def add(self, scores: list[int], ids: list[int]) -> None:
+        kth = self.kth
+        fresh = [(-s, i) for s, i in zip(scores, ids) if kth is None or s >= kth]
+        if fresh:
+            self.found = sorted(self.found + fresh)[: self.k]
+
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        keep = scores >= self.least if len(self.scores) >= self.k else slice(None)
-        scores, ids = np.concatenate([self.scores, scores[keep]]), np.concatenate([self.ids, ids[keep]])
-        order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[: self.k]
-        self.scores, self.ids = scores[order], ids[order]
+def exact(q: np.ndarray, vectors: np.ndarray) -> list[int]:
+    a = [int(x) for x in q.tolist()]
+    return [sum(x * int(y) for x, y in zip(a, v)) for v in vectors.tolist()]
 
 
 def search_block(queries: Queries, bests: list[Best], block: int, ids: np.ndarray, vectors: np.ndarray, bucket: int = BUCKET, counts: dict | None = None) -> None:
     """Adds one block's vectors, sorted by length, longest first, to the bests of all queries."""
-    norms = np.sqrt((vectors**2).sum(1))
-    unit = vectors / np.where(norms > 0, norms, 1.0)[:, None]
-    own = {int(i): int(p) for i, p in zip(np.flatnonzero(queries.block == block), queries.place[queries.block == block])}
     counts = {} if counts is None else counts
+    own = {int(i): int(queries.place[i]) for i in np.flatnonzero(queries.block == block)}
+    if vectors.dtype == object or queries.vectors.dtype == object:
+        for i, best in enumerate(bests):
+            take = np.array([j for j in range(len(ids)) if j != own.get(i)], int)
+            best.add(exact(queries.vectors[i], vectors[take]), ids[take].tolist())
+        return
+    norms = lengths(vectors)
+    unit = vectors / np.where(norms > 0, norms, 1.0)[:, None]
+    q, d = queries.vectors, vectors.shape[1]
+    least = np.array([b.least for b in bests])
     for lo in range(0, len(ids), bucket):
         hi = min(lo + bucket, len(ids))
-        top = norms[lo]
-        least = np.array([b.least for b in bests])
-        full = least > -np.inf
+        reach = queries.norms * norms[lo]
         # A margin keeps rounding from pruning a vector that just reaches the threshold.
         with np.errstate(divide="ignore", invalid="ignore"):
-            cosine = np.where(full & (queries.norms * top > 0), least / (queries.norms * top), -np.inf) - 1e-9
-        for i in np.flatnonzero(cosine <= 1):
-            t = cosine[i]
-            if t > 0:
-                long = int(np.searchsorted(-norms[lo:hi], -(least[i] / queries.norms[i]) + 1e-9 * top, "right"))
-                p, slack = queries.peak[i], np.sqrt(max(0.0, 1 - queries.peak[i] ** 2)) * np.sqrt(max(0.0, 1 - t * t)) + 1e-9
-                # At cosine 0.5 or less the possible range of one coordinate is too wide to be worth a look.
-                take = np.flatnonzero(np.abs(unit[lo : lo + long, queries.focus[i]] - p * t) <= slack + abs(p) * (1 - t)) + lo if t > 0.5 else np.arange(lo, lo + long)
+            cosine = np.where((least > -np.inf) & (reach > 0), least / reach, -np.inf) - 1e-9
+            needed = np.where((least > 0) & (queries.norms > 0), least / queries.norms, -np.inf)
+        active = np.flatnonzero(cosine <= 1)
+        if not len(active):
+            continue
+        long = np.searchsorted(-norms[lo:hi], -needed[active] + 1e-9 * norms[lo], "right")
+        inside = np.arange(hi - lo)[:, None] < long[None, :]
+        # At cosine 0.5 or less the possible range of one coordinate is too wide to be worth a look.
+        sharp = np.flatnonzero(cosine[active] > 0.5)
+        if len(sharp):
+            at, t = active[sharp], np.minimum(cosine[active[sharp]], 1.0)
+            p = queries.peak[at]
+            slack = np.sqrt(np.maximum(0.0, 1 - p * p)) * np.sqrt(np.maximum(0.0, 1 - t * t)) + 1e-9 + np.abs(p) * (1 - t)
+            inside[:, sharp] &= np.abs(unit[lo:hi, queries.focus[at]] - (p * t)[None, :]) <= slack[None, :]
+        for j, i in enumerate(active):
+            if i in own and lo <= own[i] < hi:
+                inside[own[i] - lo, j] = False
+        kept = int(inside.sum())
+        counts["verified"] = counts.get("verified", 0) + kept
+        if not kept:
+            continue
+        error = 2.0**-50 * d * float(np.abs(q[active]).max()) * float(np.abs(vectors[lo:hi]).max())
+        sure = error * 2.0**50 < EXACT
+        if 8 * kept < inside.size:
+            rows, columns = np.nonzero(inside)
+            product = np.einsum("ij,ij->i", vectors[lo + rows], q[active[columns]])
+        else:
+            every = vectors[lo:hi] @ q[active].T
+            rows, columns = np.nonzero(inside & (every >= least[active][None, :] - error))
+            product = every[rows, columns]
+        good = product >= least[active[columns]] - error
+        rows, columns, product = rows[good], columns[good], product[good]
+        order = np.argsort(columns, kind="stable")
+        rows, columns, product = rows[order], columns[order], product[order]
+        cuts = np.flatnonzero(np.diff(columns, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(columns)]):
+            i, some = active[columns[a]], slice(a, b)
+            if sure and b - a > bests[i].k:
+                top = np.lexsort((ids[lo + rows[some]], -product[some]))[: bests[i].k] + a
+                bests[i].add(product[top].astype(np.int64).tolist(), ids[lo + rows[top]].tolist())
             else:
-                take = np.arange(lo, hi)
-            if i in own:
-                take = take[take != own[i]]
-            counts["verified"] = counts.get("verified", 0) + len(take)
-            if len(take):
-                bests[i].add(products(queries.vectors[i], vectors[take]), ids[take])
+                scores = product[some].astype(np.int64).tolist() if sure else exact(q[i], vectors[lo + rows[some]])
+                bests[i].add(scores, ids[lo + rows[some]].tolist())
+            least[i] = bests[i].least
 
 
-def search(blocks: DataFrame, k: int = 5, at_once: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score for every marked row of a packed table."""
-    spark = blocks.sparkSession
-    schema = "query_block long, query_place int, query_id long, vec_id long, score long"
-    total: DataFrame | None = None
-    sizes = blocks.where("n_queries > 0").groupBy("dim").agg(F.sum("n_queries").alias("n")).collect()
-    small_batches(spark, 4)  # a row is a block
-    for dim, n in sizes:
-        # Sets of queries are dealt by block, and cut into bounded ones.
-        groups = max(1, -(-2 * n // at_once))
-        for g in range(groups):
-            mine = blocks.where((F.col("dim") == dim) & (F.col("n_queries") > 0) & (F.pmod(F.xxhash64("block"), F.lit(groups)) == g))
-            mine = mine.mapInArrow(_only_queries, "block long, place binary, ids binary, vectors binary")
-            parts = [(r.block, np.frombuffer(r.place, "<i4"), np.frombuffer(r.ids, "<i8"), np.frombuffer(r.vectors, "<f8").reshape(-1, dim)) for r in mine.collect()]
-            if not parts:
-                continue
-            queries = Queries(np.concatenate([p[3] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([np.full(len(p[1]), p[0]) for p in parts]), np.concatenate([p[1] for p in parts]))
-            found = blocks.where(F.col("dim") == dim).select("block", "ids", "vectors").mapInArrow(_searcher(spark.sparkContext.broadcast(queries), dim, k), schema)
-            total = found if total is None else total.unionByName(found)
-    if total is None:
-        total = spark.createDataFrame([], schema)
-    best = Window.partitionBy("query_block", "query_place").orderBy(F.col("score").desc(), "vec_id")
-    return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _only_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            place = np.flatnonzero(np.frombuffer(r["is_query"], bool))
-            ids, vectors = np.frombuffer(r["ids"], "<i8")[place], np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"])[place]
-            yield pa.RecordBatch.from_pylist(
-                [{"block": r["block"], "place": place.astype("<i4").tobytes(), "ids": ids.tobytes(), "vectors": vectors.tobytes()}],
-                schema=pa.schema([("block", pa.int64()), ("place", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary())]),
-            )
+_BLOCKS = "dim int, block long, top double, ids binary, vectors binary, is_query binary, n_queries long"
 
 
-def _searcher(shared, dim: int, k: int):
+def pack(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", query: Column | None = None) -> DataFrame:
+    """Blocks of vectors of one dimension, in the order of length, as a table; is_query marks rows that satisfy ``query``."""
+    bounded_batches(df.sparkSession)
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
+    usable = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = rows.where(usable).withColumn("dim", F.size("v")).withColumn("large", F.exists("v", lambda x: F.abs(x) >= LARGE))
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + F.floor(F.when(F.col("large"), 0.0).otherwise(256 * x)).cast("double") * F.floor(F.when(F.col("large"), 0.0).otherwise(256 * x)).cast("double"))
+    order = [F.col("dim"), F.col("large").desc(), F.col("length").desc(), F.xxhash64("vec_id")]
+    rows = rows.withColumn("length", square).repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "v", "q", "dim", "large")
+    block = BLOCK
+
+    def emitted(number: int, dim: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, values, marks = (np.concatenate(x) for x in zip(*held))
+        values = values.reshape(len(ids), dim)
+        norms = lengths(integers(values))
+        order = np.argsort(-norms, kind="stable")
+        columns = [[dim], [number], [float(norms.max())], [ids[order].astype("<i8").tobytes()], [values[order].astype("<f8").tobytes()], [marks[order].tobytes()], [int(marks.sum())]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["dim", "block", "top", "ids", "vectors", "is_query", "n_queries"])
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        bests = [Best(k) for _ in queries.ids]
+        number, kind, held, size = TaskContext.get().partitionId() << 32, None, [], 0
         for batch in batches:
-            for block, ids, vectors in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                search_block(queries, bests, block, np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim))
-        n = [len(b.ids) for b in bests]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(queries.block, n), pa.int64()),
-                pa.array(np.repeat(queries.place, n), pa.int32()),
-                pa.array(np.repeat(queries.ids, n), pa.int64()),
-                pa.array([int(x) for b in bests for x in b.ids], pa.int64()),
-                pa.array([int(x) for b in bests for x in b.scores], pa.int64()),
-            ],
-            names=["query_block", "query_place", "query_id", "vec_id", "score"],
-        )
+            ids, q = batch.column(0).to_numpy(), np.asarray(batch.column(2).to_pylist(), bool)
+            dims, large = batch.column(3).to_numpy(), np.asarray(batch.column(4).to_pylist(), bool)
+            change = np.flatnonzero(np.diff(dims * 2 + large, prepend=-1))
+            for a, b in zip(change, [*change[1:], len(ids)]):
+                flat = np.asarray(batch.column(1).slice(a, b - a).flatten())
+                mine = (int(dims[a]), bool(large[a]))
+                if held and mine != kind:
+                    yield emitted(number, kind[0], held)
+                    number, held, size = number + 1, [], 0
+                kind = mine
+                for i in range(a, b, block):
+                    for lo, hi in ((i, min(b, i + block - size)), (min(b, i + block - size), min(b, i + block))):
+                        if hi > lo:
+                            held.append((ids[lo:hi], flat[(lo - a) * kind[0] : (hi - a) * kind[0]], q[lo:hi]))
+                            size += hi - lo
+                        if size == block:
+                            yield emitted(number, kind[0], held)
+                            number, held, size = number + 1, [], 0
+        if held:
+            yield emitted(number, kind[0], held)
+
+    return written(rows.mapInArrow(run, _BLOCKS), "vectors")
+
+
+_FOUND = "dim int, block long, place int, query_id long, vec_id long, score long, strength binary"
+
+
+def strength(score: int) -> bytes:
+    """Bytes in the order of whole numbers of any size."""
+    size = (abs(score).bit_length() + 7) // 8
+    head = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + head if score >= 0 else b"\0" + bytes(255 - x for x in head)
+
+
+def _results(dim: int, queries: Queries, bests: list[Best]) -> pa.RecordBatch:
+    which = [i for i, b in enumerate(bests) for _ in b.found]
+    rows = [(-s, i) for b in bests for s, i in b.found]
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    columns = [[dim] * len(rows), queries.block[which], queries.place[which], queries.ids[which], [i for _, i in rows], [clip(s) for s, _ in rows], [strength(s) for s, _ in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["dim", "block", "place", "query_id", "vec_id", "score", "strength"])
+
+
+def _of(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, "<i8"), integers(np.frombuffer(vectors, "<f8").reshape(-1, dim))
+
+
+def _seeded(k: int):
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of a block against the longest block: one row each, with what they found."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                dim, place = r["dim"], np.flatnonzero(np.frombuffer(r["is_query"], bool)).astype("<i4")
+                ids, raw = np.frombuffer(r["ids"], "<i8")[place], np.frombuffer(r["vectors"], "<f8").reshape(-1, dim)[place]
+                queries = Queries(integers(raw), ids, np.full(len(place), r["block"]), place)
+                bests = [Best(k) for _ in ids]
+                search_block(queries, bests, r["seed"], *_of(r["seed_ids"], r["seed_vectors"], dim))
+                needs = [b.least / n if 0 < n < np.inf else -np.inf for b, n in zip(bests, queries.norms)]
+                floors = [str(b.kth) if b.kth is not None else None for b in bests]
+                found = [[{"vec_id": i, "score": str(-s)} for s, i in b.found] for b in bests]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([dim] * len(ids), pa.int32()), pa.array(queries.block, pa.int64()), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(needs, pa.float64()), pa.array(floors, pa.string()), pa.array(found, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.string())])))],
+                    names=["dim", "block", "place", "query_id", "vector", "need", "floor", "found"],
+                )
+
+    return run
+
+
+def _grouped(size: int):
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of neighbouring queries of one dimension; need: the least of theirs."""
+        number, held, dim = TaskContext.get().partitionId() << 32, [], None
+
+        def emitted() -> pa.RecordBatch:
+            columns = [[dim], [number], [min(r["need"] for r in held)], [np.array([r["block"] for r in held], "<i8").tobytes()], [np.array([r["place"] for r in held], "<i4").tobytes()], [np.array([r["query_id"] for r in held], "<i8").tobytes()], [b"".join(r["vector"] for r in held)], [[r["floor"] for r in held]]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())))], names=["dim", "number", "need", "blocks", "places", "query_ids", "vectors", "floors"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (r["dim"] != dim or len(held) == size):
+                    yield emitted()
+                    number, held = number + 1, []
+                dim = r["dim"]
+                held.append(r)
+        if held:
+            yield emitted()
+
+    return run
+
+
+def _searched(k: int):
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups against blocks; what a group finds in the blocks that it meets in a row is told at once."""
+        now, dim, queries, bests = None, 0, None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i] for n in batch.schema.names}
+                if (number := r["number"].as_py()) != now:
+                    if now is not None:
+                        yield _results(dim, queries, bests)
+                    now, dim = number, r["dim"].as_py()
+                    ids, vectors = _of(r["query_ids"].as_py(), r["query_vectors"].as_py(), dim)
+                    queries = Queries(vectors, ids, np.frombuffer(r["blocks"].as_py(), "<i8"), np.frombuffer(r["places"].as_py(), "<i4"))
+                    bests = [Best(k, None if f is None else int(f)) for f in r["floors"].as_py()]
+                search_block(queries, bests, r["block"].as_py(), *_of(r["ids"].as_py(), r["vectors"].as_py(), dim))
+        if now is not None:
+            yield _results(dim, queries, bests)
 
     return run
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What queries found in the longest block, one row for each vector."""
+    for batch in batches:
+        out = [(r["dim"], r["block"], r["place"], r["query_id"], f["vec_id"], max(-(2**63), min(2**63 - 1, int(f["score"]))), strength(int(f["score"]))) for r in batch.to_pylist() for f in r["found"]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["dim", "block", "place", "query_id", "vec_id", "score", "strength"])
+
+
+def search(blocks: DataFrame, k: int = 5, group: int = GROUP) -> DataFrame:
+    """query_id, rank, vec_id, score for every marked row of a packed table. The plan is the same for any number of rows."""
+    spark = blocks.sparkSession
+    n_blocks = blocks.count()
+    # The longest block of each dimension, in copies, so that the queries meet it in many tasks.
+    first = blocks.groupBy("dim").agg(F.min("block").alias("block"))
+    seeds = blocks.join(first, ["dim", "block"]).select("dim", F.col("block").alias("seed"), F.col("ids").alias("seed_ids"), F.col("vectors").alias("seed_vectors"))
+    seeds = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(min(SALT, n_blocks) or 1) - 1)))
+    asking = blocks.where("n_queries > 0").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(min(SALT, n_blocks) or 1)).cast("int"))
+    met = asking.join(seeds, ["dim", "salt"]).select("dim", "block", "ids", "vectors", "is_query", "seed", "seed_ids", "seed_vectors")
+    seeded = met.mapInArrow(_seeded(k), "dim int, block long, place int, query_id long, vector binary, need double, floor string, found array<struct<vec_id:long,score:string>>")
+    seeded = written(seeded, "seeded")
+    order = [F.col("dim"), F.col("need").desc(), F.col("query_id")]
+    groups = seeded.drop("found").repartitionByRange(*order).sortWithinPartitions(*order)
+    groups = groups.mapInArrow(_grouped(group), "dim int, number long, need double, blocks binary, places binary, query_ids binary, vectors binary, floors array<string>")
+    groups = written(groups, "queries").withColumnRenamed("vectors", "query_vectors")
+    # Every group meets all other blocks, dealt into spans that a task can hold while groups pass by.
+    span = max(1, min(SPAN, n_blocks // (2 * spark.sparkContext.defaultParallelism)))
+    spans = max(1, -(-n_blocks // span))
+    others = blocks.join(first, ["dim", "block"], "left_anti").select("dim", "block", "top", "ids", "vectors").withColumn("span", F.pmod(F.xxhash64("block"), F.lit(spans)).cast("int"))
+    passing = groups.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
+    cells = passing.join(others, ["dim", "span"]).where(F.col("top") >= F.col("need") * F.when(F.col("need") > 0, 1 - 1e-9).otherwise(1 + 1e-9))
+    cells = cells.select("dim", "number", "blocks", "places", "query_ids", "query_vectors", "floors", "block", "ids", "vectors")
+    found = cells.mapInArrow(_searched(k), _FOUND).unionByName(seeded.mapInArrow(_told, _FOUND))
+    best = Window.partitionBy("block", "place").orderBy(F.col("strength").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(df: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The k best rows of df for each of its rows that satisfy ``query``."""
     return search(pack(df, vec_id, embedding, query), k)

@@ -47,3 +47,37 @@ def test_empty_table_and_no_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert e.top_k(df, F.col("vec_id") % 50 == 0).count() == 0
     assert e.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_products_beyond_doubles_and_64_bits(spark):
+    # Scores of 2**53 + 3 twice, and one of 2**53 + 2 that a double can't tell from them.
+    rows = [(50, [1.0, 1.0]), (5, [2.0**45, 3 / 256]), (3, [2.0**45, 3 / 256]), (4, [2.0**45, 2 / 256]), (7, [-(2.0**45), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (1, 2, 4):
+        got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in e.top_k(df, F.col("vec_id") == 50, k).collect())
+        want = [(i, r, j, s) for i, r, j, s in brute([(i, v) for i, v in rows], 50, k)]
+        assert got == want
+    huge = [(50, [1e20, 2.0]), (1, [1e20, 1.0]), (2, [1e200, 1.0]), (3, [-1e300, 5.0]), (6, [1e20, 1.0]), (100, [1e308, 1e308]), (9, [1.0, 1.0])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in e.top_k(df, F.col("vec_id") % 50 == 0, 6).collect())
+    exact = lambda v: [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v]
+    want = []
+    for i, q in huge:
+        if i % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(exact(q), exact(v))), j) for j, v in huge if j != i)
+            want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scores)]
+    assert got == sorted(want)
+
+
+def test_groups_and_spans_of_any_size_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(e, "BLOCK", 16)
+    r = random.Random(8)
+    rows = [(i, [float(np.float32(r.gauss(0, 1) * r.choice([0.2, 1, 3]))) for _ in range(6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in e.search(e.pack(df, query=F.col("vec_id") % 5 == 0), 3, group=7).collect())
+    assert got == brute(rows, 5, 3)
+
+
+def test_strength_keeps_the_order():
+    numbers = sorted([0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 10**400, -(10**400), 3, -3])
+    assert sorted(numbers, key=e.strength) == numbers
