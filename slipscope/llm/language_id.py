@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import small_batches
+from .shared import bounded_batches, frugal, text_portions
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -36,7 +36,7 @@ ORDER = 4
 TOTAL_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES = 1 << 28, 256, 16_384
 #: Entries of each worker's table of code lengths, as a power of two; and code lengths held at once, in the table (whose
 #: entries become fewer with many languages) and in the texts at hand.
-TABLE_BITS, CELLS = 20, 1 << 24
+TABLE_BITS, CELLS = 20, 1 << 22
 U = np.uint64
 
 
@@ -104,7 +104,7 @@ class Coder:
         bits = max(1, min(bits, (CELLS // len(models)).bit_length() - 1))
         self.models, self.shift = models, U(64 - bits)
         self.keys = np.full(1 << bits, 2**64 - 1, np.uint64)
-        self.values = np.zeros((1 << bits, len(models)), np.float32)
+        self.values = np.zeros((1 << bits, len(models)))
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         """Bits, one row for each text and one column for each model."""
@@ -115,7 +115,7 @@ class Coder:
         out, step = np.zeros((len(marks), len(self.models))), max(1, CELLS // len(self.models))
         for lo in range(0, len(window), step):
             bits = self._windows(window[lo : lo + step])
-            sums = np.concatenate([total[None, :], bits], dtype=np.float64).cumsum(0)
+            sums = np.concatenate([total[None, :], bits]).cumsum(0)
             here = (marks >= lo) & (marks <= lo + len(bits))
             out[here], total = sums[marks[here] - lo], sums[-1]
         return out[len(begin) :] - out[: len(begin)]
@@ -126,7 +126,7 @@ class Coder:
         bits = self.values[slot]
         if len(missed):
             fresh, back = np.unique(window[missed], return_inverse=True)
-            lengths = np.stack([m.code_lengths(fresh) for m in self.models], 1).astype(np.float32)
+            lengths = np.stack([m.code_lengths(fresh) for m in self.models], 1)
             bits[missed] = lengths[back]
             at = (fresh * U(0x9E3779B97F4A7C15)) >> self.shift
             # Two new windows of one slot: the later wins both arrays, as positions are the same.
@@ -179,18 +179,21 @@ def predict(df: DataFrame, models: list[Model], text: str = "text", keep: tuple[
     restore = [F.col(n).alias(c) for n, c in zip(names, keep)]
     if not models:
         return rows.select(*restore, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    small_batches(spark, 512)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(models)
     schema = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep)) + "lang_pred string, score double"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         languages = [m.language for m in shared.value]
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            for some in _portions([i for i, t in enumerate(texts) if t is not None], texts):
-                bits = coder.texts([texts[i].encode("utf-8", "replace") for i in some])
+            given = batch.column(len(names)).to_pylist()
+            pred, score = ["und"] * len(given), np.zeros(len(given))
+            which = [i for i, t in enumerate(given) if t is not None]
+            texts = [given[i].encode("utf-8", "replace") for i in which]
+            for p in text_portions(texts):
+                some, bits = which[p], coder.texts(texts[p])
                 best = bits.argmin(1)
                 odds = np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
                 for j, i in enumerate(some):
@@ -200,19 +203,6 @@ def predict(df: DataFrame, models: list[Model], text: str = "text", keep: tuple[
     return rows.mapInArrow(run, schema).select(*restore, "lang_pred", "score")
 
 
-def _portions(which: list[int], texts: list[str | None], most: int = 1_000_000) -> Iterator[list[int]]:
-    """The texts in runs of about ``most`` characters, so that arrays stay small."""
-    out, size = [], 0
-    for i in which:
-        out.append(i)
-        size += len(texts[i])
-        if size >= most:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
 def held_out(key: str | Column = "doc_id") -> Column:
     """One row in five, by the CRC-32 of the id as text; false for a null id."""
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % 5 == 0, F.lit(False))
