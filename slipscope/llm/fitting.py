@@ -68,11 +68,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def sampled(labels: DataFrame, key: str, stratum: str, each: int) -> DataFrame:
     """At most about twice ``each`` rows of every stratum, by a hash of the key, with ``weight``: rows it stands for.
 
+    Of several rows with one key, the least counts.
+
     No stratum is left out by its rank. With more than STRATA of them each gets fewer rows (LEAST_EACH at least), and
     with so many that even this exceeds ``each`` times STRATA rows (continuous ratings), all shares shrink alike. What is
     returned is bounded, however many labels there are.
     """
-    labels = labels.where(F.col(key).isNotNull() & F.col(stratum).isNotNull()).dropDuplicates([key])
+    rest = [c for c in labels.columns if c != key]
+    labels = labels.where(F.col(key).isNotNull() & F.col(stratum).isNotNull())
+    labels = labels.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*")
     counts = labels.groupBy(stratum).agg(F.count("*").alias("_n"))
     n, most = counts.count(), each * STRATA
     if not n:
@@ -82,10 +86,14 @@ def sampled(labels: DataFrame, key: str, stratum: str, each: int) -> DataFrame:
     of = F.least(F.lit(1.0), F.lit(float(quota)) / F.col("_n")) * min(1.0, most / total)
     rows = labels.join(counts, stratum).withColumn("_of", of)
     kept = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < F.col("_of") * 1_000_000)
-    return kept.withColumn("weight", 1.0 / F.col("_of")).drop("_n", "_of").limit(2 * each * min(n, STRATA))
+    return kept.withColumn("weight", 1.0 / F.col("_of")).drop("_n", "_of").orderBy(F.xxhash64(key), key).limit(2 * each * min(n, STRATA))
 
 
 def labelled_sample(docs: DataFrame, sample: DataFrame, longest: int) -> DataFrame:
-    """The sample with whole texts of at most ``longest`` bytes. The sample is bounded, so it goes to every task."""
+    """The sample with whole texts of at most ``longest`` bytes. The sample is bounded, so it goes to every task.
+
+    Of several texts with one id, the least counts, so that what comes back is bounded too.
+    """
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    return texts.join(F.broadcast(sample), "doc_id")
+    mine = texts.join(F.broadcast(sample), "doc_id")
+    return mine.groupBy(*[c for c in mine.columns if c != "text"]).agg(F.min("text").alias("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .fitting import Sparse, labelled_sample, minimised, sampled, sigmoid
-from .shared import small_batches
+from .shared import bounded_batches, frugal, text_portions
 
 #: Texts of each grade that the fit may see, and their greatest length in bytes.
 SAMPLE_EACH, SAMPLE_BYTES = 1_000, 16_384
@@ -168,16 +168,20 @@ def score(df: DataFrame, model: Ordinal, text: str = "text", from_grade: float |
     Columns of df with these names are replaced.
     """
     df = df.drop("expected_grade", "tail_prob", "selected")
-    small_batches(df.sparkSession, 256)
+    bounded_batches(df.sparkSession)
     target = from_grade if from_grade is not None else (model.grades[1] if len(model.grades) > 1 else (model.grades or [0.0])[0])
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + "expected_grade double, tail_prob double, selected boolean"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grade, tail = shared.value.scores(tb.encoded(batch.column(names.index(text)).to_pylist()), target)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grade), pa.array(tail), pa.array(tail >= select)], names=[*names, "expected_grade", "tail_prob", "selected"])
+            texts = tb.encoded(batch.column(names.index(text)).to_pylist())
+            for p in text_portions(texts):
+                grade, tail = shared.value.scores(texts[p], target)
+                some = batch.slice(p.start, p.stop - p.start).columns
+                yield pa.RecordBatch.from_arrays([*some, pa.array(grade), pa.array(tail), pa.array(tail >= select)], names=[*names, "expected_grade", "tail_prob", "selected"])
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .fitting import Sparse, labelled_sample, minimised, sampled, sigmoid
-from .shared import small_batches
+from .shared import bounded_batches, frugal, text_portions
 
 SAMPLE_EACH, SAMPLE_BYTES = 2_000, 16_384
 BITS, PENALTY, FOLDS = 20, 1e-5, 5
@@ -185,16 +185,19 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], eac
 
 def score(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """df with p_<category> of each category, in place of columns of these names."""
-    small_batches(df.sparkSession, 256)
+    bounded_batches(df.sparkSession)
     new = [f"p_{x.name}" for x in chain.links]
     df = df.drop(*new)
     shared, names = df.sparkSession.sparkContext.broadcast(chain), df.columns
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + ", ".join(f"`{n}` double" for n in new)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.probabilities(tb.encoded(batch.column(names.index(text)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, j]) for j in range(len(new)))], names=[*names, *new])
+            texts = tb.encoded(batch.column(names.index(text)).to_pylist())
+            for some in text_portions(texts):
+                p = shared.value.probabilities(texts[some])
+                yield pa.RecordBatch.from_arrays([*batch.slice(some.start, some.stop - some.start).columns, *(pa.array(p[:, j]) for j in range(len(new)))], names=[*names, *new])
 
     return df.mapInArrow(run, schema)
 
