@@ -1,19 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Tokens are runs of letters and digits (points and commas between digits belong to a number). A token becomes a typed
-placeholder if it is a number, a unit after a number, or a name (a capitalised token inside a sentence); all others
-stay as they are, in lower case. Windows of WINDOW tokens are hashed, by their template if it keeps LEAST_LITERALS
+placeholder if it is a number, a unit after a number, or a name (a capitalised token, also at the start of a sentence,
+that is none of the common words in OPENERS); all others stay as they are, in lower case. So a token's kind depends on
+it and on the number before it only, wherever a question is quoted. Windows of WINDOW tokens are hashed, by their template if it keeps LEAST_LITERALS
 tokens or more, else with the tokens themselves, and document windows are joined with benchmark windows by that hash.
 As names show by capitals only, a window with a name has a second hash, with names as they are in lower case, so that
 copies in small letters or in capitals meet too; the slots of such a match are its numbers and units.
 Matches of a document and an item on neighbouring diagonals (each at most SHIFT tokens from the next one, as inserted
-and deleted words leave them) make a passage; its slots must be consistent: an item's value, where it comes again, must
-have the same counterpart in the document. A passage of a share COVERAGE of the item's windows, with consistent slots,
+and deleted words leave them) make a passage; its slots must be consistent both ways: an item's value, where it comes
+again, must have the same counterpart in the document, and no other value of the item may have that counterpart. A passage of a share COVERAGE of the item's windows, with consistent slots,
 is a leak; ``changed`` tells that slots differ, so that the question was re-parameterised. Where all matches of a passage
 contradict each other, the longest chain of them in the order of both texts is tried, then each diagonal alone.
 
 A filter of fixed size (2 ** FILTER_BITS bits, made from all benchmark windows) goes to every task and keeps nearly
-all other windows out of the join; what it lets through wrongly, the join drops. The join is salted by document.
+all other windows out of the join; what it lets through wrongly, the join drops. Windows that hold one part in HOT_SHARE
+of all matches or more (at most HOT_SHARE of them, so their list goes to every task) are salted by document.
 
 Defined cases: null or empty texts and items have no windows; an item shorter than a window is one window of its own
 length; repeated rows and documents that share an id are taken together, documents without an id not at all; extra
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import textbatch as tb
-from .shared import small_batches, written
+from .shared import bounded_batches, frugal, text_portions, written
 
 WINDOW, LEAST_LITERALS, COVERAGE, SHIFT = 8, 4, 0.3, 8
-FILTER_BITS, SALT = 24, 32
+FILTER_BITS, SALT, HOT_SHARE = 24, 32, 1_000
 
 # Names of units.
 UNITS = """
@@ -45,15 +47,28 @@ liters lb lbs m mb meters mg miles min minutes ml mm months ms oz percent pm pou
 years
 """.split()
 
+# Common words that begin sentences and questions: with a capital, they are no names (chosen here).
+OPENERS = """
+a about after all also an and are as at be because before both but by calculate can choose complete compute consider
+could define describe determine did do does during each estimate evaluate every explain express find first for from give
+given had has have he her here his how however i if in into is it its let list many more most my name next no not now of
+on once one only or other our over prove select she should show simplify since so solve some state such suppose than that
+the their them then there these they this those though through thus to two under until use using was we were what when
+where whether which while who whom whose why will with within without would write yes yet you your
+""".split()
+
 U = np.uint64
 NUMBER, UNIT, NAME = 1, 2, 3
-_DIGIT, _ALNUM, _STOP = (np.zeros(256, bool) for _ in range(3))
+_DIGIT, _ALNUM = (np.zeros(256, bool) for _ in range(2))
 _DIGIT[48:58] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_STOP[[*map(ord, ".!?\n")]] = True
 _POINT = np.zeros(256, bool)
 _POINT[[*map(ord, ".,")]] = True
-_UNITS = np.sort(tb.words([" ".join(UNITS).encode()]).hashes())
+_UNITS, _OPENERS = (np.sort(tb.words([" ".join(words).encode()]).hashes()) for words in (UNITS, OPENERS))
+
+
+def _among(h: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
+    return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)] == h
 
 
 def canonical(texts: list[bytes]) -> tuple[tb.Words, np.ndarray, np.ndarray]:
@@ -80,19 +95,12 @@ def canonical(texts: list[bytes]) -> tuple[tb.Words, np.ndarray, np.ndarray]:
     starts = w.first[:-1]
     starts = starts[starts < len(h)]
     after[starts] = False
-    kinds[after & ~number & (_UNITS[np.minimum(np.searchsorted(_UNITS, h), len(_UNITS) - 1)] == h)] = UNIT
-    # A name: a capital first, not after the end of a sentence, and small letters too (shouting is no name).
+    kinds[after & ~number & _among(h, _UNITS)] = UNIT
+    # A name: a capital first, and small letters too (shouting is no name).
     upper_first = (data[b] >= 65) & (data[b] <= 90)
     upper_first |= np.isin(b + 1, capital) & (data[b] == 0xC3)
-    maybe = np.flatnonzero(upper_first)
-    stops = np.concatenate([[0], np.cumsum(_STOP[data] & ~inside)])
-    begins = np.zeros(len(h), bool)
-    begins[starts] = True
-    before = np.where(begins, 0, np.concatenate([[0], e[:-1]]))
-    quiet = ~begins & (stops[b] == stops[before])
     small = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
-    maybe = maybe[quiet[maybe] & (small[e[maybe]] > small[b[maybe]])]
-    kinds[maybe] = NAME
+    kinds[upper_first & (kinds == 0) & (small[e] > small[b]) & ~_among(h, _OPENERS)] = NAME
     return w, h, kinds
 
 
@@ -142,26 +150,31 @@ def _found(texts: list[bytes], lengths: list[int], bits: np.ndarray | None) -> I
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", k: int = WINDOW) -> DataFrame:
     """hash, item_id, ipos, islots, n_windows and k of all windows of all items."""
-    small_batches(benchmark.sparkSession, 256)
+    bounded_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null")
 
+    def of_texts(texts: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for length, owner, place, hashes, counts, slots in _found(texts, list(range(1, k + 1)), None):
+            # Items of fewer tokens than a window are one window of their own length.
+            use = np.flatnonzero((counts >= k) if length == k else (counts == length))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(hashes[use]),
+                    pa.array(ids[owner[use]]),
+                    pa.array(place[use]),
+                    pa.array([slots[i] for i in use], pa.list_(pa.int64())),
+                    pa.array(counts[use] - length + 1),
+                    pa.array(np.full(len(use), length, np.int32)),
+                ],
+                names=["hash", "item_id", "ipos", "islots", "n_windows", "k"],
+            )
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = tb.encoded(batch.column(1).to_pylist()), batch.column(0).to_numpy()
-            for length, owner, place, hashes, counts, slots in _found(texts, list(range(1, k + 1)), None):
-                # Items of fewer tokens than a window are one window of their own length.
-                use = np.flatnonzero((counts >= k) if length == k else (counts == length))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes[use]),
-                        pa.array(ids[owner[use]]),
-                        pa.array(place[use]),
-                        pa.array([slots[i] for i in use], pa.list_(pa.int64())),
-                        pa.array(counts[use] - length + 1),
-                        pa.array(np.full(len(use), length, np.int32)),
-                    ],
-                    names=["hash", "item_id", "ipos", "islots", "n_windows", "k"],
-                )
+            for p in text_portions(texts):
+                yield from of_texts(texts[p], ids[p])
 
     return written(rows.mapInArrow(run, "hash long, item_id long, ipos long, islots array<long>, n_windows long, k int"), "benchmark")
 
@@ -188,12 +201,12 @@ def in_order(matches: list[Match]) -> list[Match]:
 
 
 def _accepted(matches: Iterable[Match], least: float) -> tuple[int, bool] | None:
-    """Windows of the item and whether slots differ, if there are enough and no item's value has two counterparts."""
-    places, counterpart = set(), {}
+    """Windows of the item and whether slots differ, if there are enough and values have one counterpart each, both ways."""
+    places, counterpart, back = set(), {}, {}
     for _, place, pairs in matches:
         places.add(place)
         for mine, other in pairs:
-            if counterpart.setdefault(mine, other) != other:
+            if counterpart.setdefault(mine, other) != other or back.setdefault(other, mine) != mine:
                 return None
     return (len(places), any(a != b for a, b in counterpart.items())) if len(places) >= least else None
 
@@ -207,7 +220,7 @@ def passage(matches: list[Match], least: float) -> tuple[int, bool] | None:
     for m in matches:
         diagonals[m[0] - m[1]].append(m)
     alone = [x for x in (_accepted(d, least) for d in diagonals.values()) if x]
-    return (max(n for n, _ in alone), min(c for _, c in alone)) if alone else None
+    return min(alone, key=lambda x: (-x[0], x[1])) if alone else None
 
 
 def _chained(met: DataFrame, coverage: float) -> DataFrame:
@@ -244,19 +257,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: f
     for r in words:
         filter_[r.word] = r.bits
     shared = spark.sparkContext.broadcast(filter_.view(np.uint8))
-    small_batches(spark, 256)
+    bounded_batches(spark)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = tb.encoded(batch.column(1).to_pylist()), batch.column(0).to_numpy()
-            for _, owner, place, hashes, _, slots in _found(texts, lengths, shared.value):
-                if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[owner]), pa.array(place), pa.array(slots, pa.list_(pa.int64()))], names=["hash", "doc_id", "dpos", "dslots"])
+            for p in text_portions(texts):
+                for _, owner, place, hashes, _, slots in _found(texts[p], lengths, shared.value):
+                    if len(owner):
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[p][owner]), pa.array(place), pa.array(slots, pa.list_(pa.int64()))], names=["hash", "doc_id", "dpos", "dslots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    found = rows.mapInArrow(run, "hash long, doc_id long, dpos long, dslots array<long>")
-    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    spread = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    found = written(rows.mapInArrow(run, "hash long, doc_id long, dpos long, dslots array<long>"), "found")
+    # At most HOT_SHARE keys reach that share, whatever the input.
+    hot = found.groupBy("hash").count().where(F.col("count") >= max(10_000, -(-found.count() // HOT_SHARE))).select("hash", F.lit(SALT).alias("salts"))
+    hot = F.broadcast(written(hot, "hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    found = found.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    spread = items.join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     # Of equal hashes only those of the tokens themselves can differ in the number of slots (a unit whose number stands
     # before the window in one text only): their values are the same.
     same = F.when(F.size("islots") == F.size("dslots"), F.col("dslots")).otherwise(F.col("islots"))
@@ -264,10 +283,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: f
     met = written(met, "met")
     pair = ["doc_id", "item_id"]
     alone = met.groupBy(*pair, "diagonal").agg(F.count_distinct("ipos").alias("n"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = F.transform("pairs", lambda p: p["islots"])
-    alone = alone.where(F.size(F.array_distinct(values)) == F.size("pairs")).where(F.col("n") >= coverage * F.col("n_windows"))
+    for side in ("islots", "dslots"):
+        alone = alone.where(F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size("pairs"))
+    alone = alone.where(F.col("n") >= coverage * F.col("n_windows"))
     alone = alone.withColumn("coverage", F.col("n") / F.col("n_windows")).withColumn("changed", F.exists("pairs", lambda p: p["islots"] != p["dslots"]))
-    alone = alone.groupBy(*pair).agg(F.max("coverage").alias("coverage"), F.min("changed").alias("changed"))
+    alone = alone.groupBy(*pair).agg(F.min_by("changed", F.struct(-F.col("coverage"), F.col("changed"))).alias("changed"), F.max("coverage").alias("coverage")).select(*pair, "coverage", "changed")
     # Where all diagonals together have no more windows of the item than the best alone, there is nothing to chain.
     every = met.groupBy(*pair).agg((F.count_distinct("ipos") / F.max("n_windows")).alias("most")).where(F.col("most") >= coverage)
     more = every.join(alone, pair, "left").where("coverage is null or most > coverage").select(*pair)
