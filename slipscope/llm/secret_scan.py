@@ -2,11 +2,15 @@
 
 Base spans come from three patterns. The method adds spans of kind ``random``: long runs of encoding characters that
 overlap no base span. For each, an encoding is inferred (hex, base32, base62, base64), and on its symbols three tests
-of randomness are made: chi-squared uniformity over the alphabet, runs above and below the middle symbol, and serial
-correlation. A run is dropped if the battery rejects randomness (Bonferroni over the three). What stays is a discovery
-against the other hypothesis, ordinary text: the probability that text of this length repeats its symbols as rarely.
-Benjamini-Hochberg control on those, within bands of length (short strings say little), picks the spans; its ranks
-come from a histogram of fixed size over all documents.
+of randomness are made: chi-squared uniformity over the alphabet (its symbols, and its capitals, small letters and
+others), runs above and below the middle symbol, and serial correlation. Each gives a z value; the largest departure from randomness among them is the battery's statistic. Its one
+p-value is the probability that ordinary text of the same length and encoding comes as close to randomness in all three
+tests: the uniformity of text is far lower (the longer the run, the surer), the other two are as good as independent of
+it. Benjamini-Hochberg control on that p-value, within bands of length (short strings say little), picks the spans;
+its ranks come from a histogram of fixed size over all documents.
+
+The texts are read twice, once for the histogram and once for the spans; nothing is joined, shuffled or written but the
+histogram's counts.
 
 Defined cases: a null or empty text has no spans; other columns pass through unchanged (columns made here start with
 ``_scan``); repeated rows count as rows; an empty table gives an empty one. Offsets are code points, end exclusive.
@@ -15,12 +19,11 @@ Defined cases: a null or empty text has no spans; other columns pass through unc
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-
 # The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -30,8 +33,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: A run of encoding characters that the battery looks at.
 LEAST_RUN = 20
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN
-#: False discoveries allowed among the added spans, and the level at which the battery rejects randomness.
-FDR, REJECT = 0.01, 0.02
+#: Share of false discoveries allowed among the added spans.
+FDR = 0.01
 #: Lower ends of the bands of length.
 BANDS = (20, 32, 64)
 #: Bins of the p-values' histogram: this many for each power of ten, down to the last.
@@ -41,6 +44,8 @@ PER_DECADE, BINS = 20, 400
 TEXT_SQUARES = {"hex": 0.1, "base32": 0.066, "base62": 0.066, "base64": 0.066}
 TEXT_CUBES = {"hex": 0.0125, "base32": 0.0056, "base62": 0.0056, "base64": 0.0056}
 SYMBOLS = {"hex": 16, "base32": 32, "base62": 62, "base64": 64}
+CAPITALS = {"hex": 0, "base32": 26, "base62": 26, "base64": 26}
+SMALL = {"hex": 6, "base32": 0, "base62": 26, "base64": 26}
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE16 = "0123456789abcdef"
@@ -84,13 +89,26 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+_FOUND = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+
+
+def has_run(text: Column) -> Column:
+    return text.rlike("(?<!%s)%s" % (RUN.split("{")[0], RUN.replace(",", "")))
+
+
 def random_candidates(text: Column, base: Column) -> Column:
+    """Runs of two kinds of characters or more that overlap no base span, with their values."""
     classes = lambda v: sum((v.rlike(c).cast("int") for c in ("[a-z]", "[0-9]")), v.rlike("[A-Z]").cast("int"))
     found = F.filter(
         located(text, RUN, 3),
         lambda s: (classes(s["value"]) >= 2) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    return F.when(text.rlike("(?<!%s)%s" % (RUN.split("{")[0], RUN.replace(",", ""))), found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>"))
+    return F.when(has_run(text), found).otherwise(F.array().cast(_FOUND))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def upper_tail(z: Column) -> Column:
@@ -106,43 +124,68 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def tested(df: DataFrame, value: str) -> DataFrame:
-    """df with p_random and p_text for the candidates in column ``value``, and the z values they come from."""
-    by = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    df = df.withColumn("_bare", F.translate(F.rtrim(F.col(value), F.lit("=")), "-_", "+/"))
-    df = df.withColumn(
-        "encoding",
-        F.when(F.col("_bare").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("_bare").rlike("^[A-Z2-7]+$"), "base32").when(F.col("_bare").rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64"),
-    )
-    alphabet = F.when(F.col("encoding") == "hex", BASE16).when(F.col("encoding") == "base32", BASE32).otherwise(BASE64)
-    df = df.withColumn("_text", F.when(F.col("encoding") == "hex", F.lower("_bare")).otherwise(F.col("_bare"))).withColumn("_alphabet", alphabet)
-    df = df.withColumn("_x", F.transform(F.filter(F.split("_text", ""), lambda c: c != ""), lambda c: (F.call_function("locate", c, F.col("_alphabet")) - 1).cast("double")))
-    n, x = F.size("_x").cast("double"), F.col("_x")
-    df = df.withColumn("_n", n).withColumn("_a", by(SYMBOLS)[F.col("encoding")].cast("double"))
-    df = df.withColumn("_squares", F.aggregate(F.array_distinct("_x"), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(x, lambda y: y == c)).cast("double"), 2)))
-    n, a = F.col("_n"), F.col("_a")
-    # Uniformity: A / n * sum of squares - n has mean A - 1 and variance 2 (A - 1) (1 - 1 / n).
-    df = df.withColumn("z_uniform", (a / n * F.col("_squares") - n - (a - 1)) / F.sqrt(2 * (a - 1) * (1 - 1 / n)))
-    side = F.transform(x, lambda v: v >= a / 2)
-    df = df.withColumn("_side", side).withColumn("_over", F.size(F.filter("_side", lambda s: s)).cast("double"))
-    pairs = F.sequence(F.lit(1), F.size("_x") - 1)
-    df = df.withColumn("_runs", 1 + F.size(F.filter(pairs, lambda i: F.get(F.col("_side"), i) != F.get(F.col("_side"), i - 1))).cast("double"))
-    mu = 2 * F.col("_over") * (n - F.col("_over")) / n + 1
-    var = (mu - 1) * (mu - 2) / (n - 1)
-    # One-sided strings have no runs to speak of: that many symbols on one side of the middle aren't random.
-    df = df.withColumn("z_runs", F.when(var > 0, (F.col("_runs") - mu) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(F.sqrt(n)))
-    df = df.withColumn("_mean", F.aggregate("_x", F.lit(0.0), lambda s, v: s + v) / n)
-    m = F.col("_mean")
-    df = df.withColumn("_spread", F.aggregate("_x", F.lit(0.0), lambda s, v: s + (v - m) * (v - m)))
-    lagged = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.get(x, i) - m) * (F.get(x, i - 1) - m))
-    df = df.withColumn("z_serial", F.when(F.col("_spread") > 0, (lagged / F.greatest(F.col("_spread"), F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n)))
-    tails = [upper_tail(F.col("z_uniform")), 2 * upper_tail(F.abs("z_runs")), 2 * upper_tail(F.abs("z_serial"))]
-    df = df.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least(*tails)))
-    k2, k3 = by(TEXT_SQUARES)[F.col("encoding")], by(TEXT_CUBES)[F.col("encoding")]
-    expected = n + n * (n - 1) * k2
-    variance = 2 * n * (n - 1) * (k2 - k2 * k2) + 4 * n * (n - 1) * (n - 2) * F.greatest(k3 - k2 * k2, F.lit(0.0))
-    df = df.withColumn("p_text", upper_tail((expected - F.col("_squares")) / F.sqrt(variance)))
-    return df.drop("_bare", "_text", "_alphabet", "_x", "_n", "_a", "_squares", "_side", "_over", "_runs", "_mean", "_spread")
+def battery(value: Column) -> Column:
+    """encoding, z_uniform, z_runs, z_serial and p of a run: a struct."""
+    by = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    bare = F.translate(F.rtrim(value, F.lit("=")), "-_", "+/")
+
+    def inferred(t: Column) -> Column:
+        kind = F.when(t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(t.rlike("^[A-Z2-7]+$"), "base32").when(t.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
+        return F.struct(kind.alias("kind"), F.when(kind == "hex", F.lower(t)).otherwise(t).alias("text"))
+
+    def symbols(e: Column) -> Column:
+        alphabet = F.when(e["kind"] == "hex", BASE16).when(e["kind"] == "base32", BASE32).otherwise(BASE64)
+        n = F.char_length(e["text"]).cast("double")
+        count = lambda c: n - F.char_length(F.replace(e["text"], c, F.lit("")))
+        squares = F.aggregate(_characters(alphabet), F.lit(0.0), lambda total, c: total + count(c) * count(c))
+        x = F.transform(_characters(e["text"]), lambda c: (F.call_function("locate", c, alphabet) - 1).cast("double"))
+        mean = F.aggregate(x, F.lit(0.0), lambda total, v: total + v) / n
+        some = lambda pattern: n - F.char_length(F.regexp_replace(e["text"], pattern, ""))
+        return F.struct(e["kind"].alias("kind"), n.alias("n"), by(SYMBOLS, e["kind"]).cast("double").alias("a"), some("[A-Z]").alias("capitals"), some("[a-z]").alias("small"), squares.alias("squares"), x.alias("x"), mean.alias("mean"))
+
+    def sums(s: Column) -> Column:
+        middle = s["a"] / 2
+        over = F.aggregate(s["x"], F.lit(0.0), lambda total, v: total + F.when(v >= middle, 1.0).otherwise(0.0))
+        pairs = F.zip_with(F.slice(s["x"], 2, F.greatest(F.size(s["x"]) - 1, F.lit(0))), F.slice(s["x"], 1, F.greatest(F.size(s["x"]) - 1, F.lit(0))), lambda y, z: F.struct(y.alias("y"), z.alias("z")))
+        changes = F.aggregate(pairs, F.lit(0.0), lambda total, q: total + F.when((q["y"] >= middle) != (q["z"] >= middle), 1.0).otherwise(0.0))
+        lagged = F.aggregate(pairs, F.lit(0.0), lambda total, q: total + (q["y"] - s["mean"]) * (q["z"] - s["mean"]))
+        spread = F.aggregate(s["x"], F.lit(0.0), lambda total, v: total + (v - s["mean"]) * (v - s["mean"]))
+        return F.struct(*[s[c].alias(c) for c in ("kind", "n", "a", "capitals", "small", "squares")], over.alias("over"), (changes + 1).alias("runs"), lagged.alias("lagged"), spread.alias("spread"))
+
+    def departures(s: Column) -> Column:
+        n, a = s["n"], s["a"]
+        # Uniformity: A / n * sum of squares - n has mean A - 1 and variance 2 (A - 1) (1 - 1 / n).
+        uniform = (a / n * s["squares"] - n - (a - 1)) / F.sqrt(2 * (a - 1) * (1 - 1 / n))
+        # The same over the classes, one of three of which may be empty; its tail by the cube root of the statistic.
+        sizes = [by(CAPITALS, s["kind"]).cast("double"), by(SMALL, s["kind"]).cast("double")]
+        sizes, counts = [*sizes, a - sizes[0] - sizes[1]], [s["capitals"], s["small"], n - s["capitals"] - s["small"]]
+        off = sum((F.when(m > 0, (c - n * m / a) * (c - n * m / a) / F.greatest(n * m / a, F.lit(1e-9))).otherwise(0.0) for m, c in zip(sizes, counts)), F.lit(0.0))
+        free = F.when((sizes[0] > 0) & (sizes[1] > 0), 2.0).otherwise(1.0)
+        classes = (F.cbrt(off / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        uniform = F.greatest(uniform, classes)
+        mu = 2 * s["over"] * (n - s["over"]) / n + 1
+        var = (mu - 1) * (mu - 2) / (n - 1)
+        # One-sided strings have no runs to speak of: that many symbols on one side of the middle aren't random.
+        runs = F.when(var > 0, (s["runs"] - mu) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(F.sqrt(n))
+        serial = F.when(s["spread"] > 0, (s["lagged"] / F.greatest(s["spread"], F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+        return F.struct(s["kind"].alias("kind"), n.alias("n"), a.alias("a"), uniform.alias("u"), runs.alias("r"), serial.alias("s"), F.greatest(uniform, F.abs(runs), F.abs(serial)).alias("most"))
+
+    def judged(d: Column) -> Column:
+        n, a = d["n"], d["a"]
+        # The sum of squares at which uniformity departs as far as the battery does, among those of ordinary text.
+        squares = n / a * (d["most"] * F.sqrt(2 * (a - 1) * (1 - 1 / n)) + n + a - 1)
+        k2, k3 = by(TEXT_SQUARES, d["kind"]), by(TEXT_CUBES, d["kind"])
+        expected = n + n * (n - 1) * k2
+        variance = 2 * n * (n - 1) * (k2 - k2 * k2) + 4 * n * (n - 1) * (n - 2) * F.greatest(k3 - k2 * k2, F.lit(0.0))
+        two_sided = 1 - 2 * upper_tail(d["most"])
+        p = upper_tail((expected - squares) / F.sqrt(variance)) * two_sided * two_sided
+        return F.struct(d["kind"].alias("encoding"), d["u"].alias("z_uniform"), d["r"].alias("z_runs"), d["s"].alias("z_serial"), p.alias("p"))
+
+    return _let(_let(_let(_let(_let(bare, inferred), symbols), sums), departures), judged)
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def _band(length: Column) -> Column:
@@ -153,8 +196,8 @@ def _band(length: Column) -> Column:
 
 
 def thresholds(scored: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """For each band, the largest p that Benjamini-Hochberg accepts. Reads a histogram of fixed size."""
-    p = F.greatest(F.col("p_text"), F.lit(1e-300))
+    """For each band, the largest p that Benjamini-Hochberg accepts; columns band and p. Reads a histogram of fixed size."""
+    p = F.greatest(F.col("p"), F.lit(1e-300))
     bins = scored.groupBy("band", F.least(F.floor(-F.log10(p) * PER_DECADE), F.lit(BINS)).cast("int").alias("bin")).count().collect()
     out = {}
     for band in {r.band for r in bins}:
@@ -169,34 +212,25 @@ def thresholds(scored: DataFrame, fdr: float = FDR) -> dict[int, float]:
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and spans array<struct<start, kind, end>>, sorted; kind is an index into KINDS. A column spans is replaced.
-
-    The rows of df, with base spans and candidates, are written once to the shared folder: the thresholds need the
-    candidates of all rows before any row is done.
-    """
+    """df and spans array<struct<start, kind, end>>, sorted; kind is an index into KINDS. A column spans is replaced."""
     df = df.drop("spans")
     value = F.coalesce(F.col(text), F.lit(""))
-    found = df.withColumn("_scan_base", base_spans(value)).withColumn("_scan_more", random_candidates(value, F.col("_scan_base")))
-    found = written(found.withColumn("_scan_row", F.monotonically_increasing_id()), "spans")
-    runs = found.where(F.size("_scan_more") > 0).select("_scan_row", F.explode("_scan_more").alias("_run"))
-    scored = tested(runs.select("_scan_row", "_run", F.col("_run.value").alias("_value")), "_value")
-    scored = scored.withColumn("band", _band(F.char_length("_value")))
-    scored = scored.withColumn("p_text", F.when(F.col("p_random") >= REJECT, F.col("p_text")).otherwise(1.0))
-    scored = written(scored.select("_scan_row", "_run", "band", "p_text"), "runs")
-    accepted = F.lit(-1.0)
-    for band, most in thresholds(scored).items():
-        accepted = F.when(F.col("band") == band, most).otherwise(accepted)
-    added = (
-        scored.where(F.col("p_text") <= accepted)
-        .groupBy("_scan_row")
-        .agg(F.collect_list(F.struct(F.col("_run.start").alias("start"), F.col("_run.kind").alias("kind"), F.col("_run.end").alias("end"))).alias("_scan_added"))
-    )
-    # Only rows that have candidates can have added spans: the others need no join.
-    some = found.where(F.size("_scan_more") > 0).join(added, "_scan_row", "left")
-    spans = F.array_sort(F.concat("_scan_base", F.coalesce("_scan_added", F.array().cast(SPAN))))
-    none = found.where(F.size("_scan_more") == 0)
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    return some.select(*kept, spans.alias("spans")).unionByName(none.select(*kept, F.col("_scan_base").alias("spans")))
+    some = df.select(value.alias("_scan_text")).where(has_run(F.col("_scan_text")))
+    some = some.withColumn("_scan_base", base_spans(F.col("_scan_text")))
+    runs = some.select(F.explode(random_candidates(F.col("_scan_text"), F.col("_scan_base"))).alias("run"))
+    accepted = thresholds(runs.select(_band(F.char_length("run.value")).alias("band"), battery(F.col("run.value"))["p"].alias("p")))
+
+    def discovered(s: Column) -> Column:
+        size, most = F.char_length(s["value"]), F.lit(-1.0)
+        for band, p in accepted.items():
+            most = F.when(_band(size) == band, p).otherwise(most)
+        return battery(s["value"])["p"] <= most
+
+    found = df.withColumn("_scan_base", base_spans(value))
+    if not accepted:
+        return found.withColumnRenamed("_scan_base", "spans")
+    more = _without_value(F.filter(random_candidates(value, F.col("_scan_base")), discovered))
+    return found.withColumn("spans", F.array_sort(F.concat("_scan_base", more))).drop("_scan_base")
 
 
 def listed(spans: Column) -> Column:

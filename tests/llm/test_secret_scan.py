@@ -1,5 +1,7 @@
 import base64
+import collections
 import hashlib
+import math
 import random
 import re
 import string
@@ -57,3 +59,70 @@ def test_redaction_and_empty_table(spark):
     out = {r.doc_id: r.t for r in q.scan(df).select("doc_id", q.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert out == {1: "a [secret] z", 2: "clean", 3: None}
     assert q.digests(df.limit(0)).count() == 0
+
+
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def battery(value):
+    """The one p-value of a run, from counts made one by one."""
+    t = value.rstrip("=").replace("-", "+").replace("_", "/")
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t):
+        kind, t, alphabet = "hex", t.lower(), "0123456789abcdef"
+    elif re.fullmatch("[A-Z2-7]+", t):
+        kind, alphabet = "base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    else:
+        kind, alphabet = "base62" if t.isalnum() else "base64", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+    n, a, x = len(t), {"hex": 16, "base32": 32, "base62": 62, "base64": 64}[kind], [alphabet.index(c) for c in t]
+    squares = sum(c * c for c in collections.Counter(t).values())
+    z = [(a / n * squares - n - (a - 1)) / math.sqrt(2 * (a - 1) * (1 - 1 / n))]
+    sizes = {"hex": (0, 6, 10), "base32": (26, 0, 6), "base62": (26, 26, 10), "base64": (26, 26, 12)}[kind]
+    capitals, small = (sum(c in some for c in t) for some in (string.ascii_uppercase, string.ascii_lowercase))
+    free = sum(m > 0 for m in sizes) - 1
+    off = sum((c - n * m / a) ** 2 / (n * m / a) for c, m in zip((capitals, small, n - capitals - small), sizes) if m)
+    z.append(((off / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+    side = [v >= a / 2 for v in x]
+    mu = 2 * sum(side) * (n - sum(side)) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    z.append(abs((1 + sum(p != q for p, q in zip(side, side[1:])) - mu) / math.sqrt(var) if var > 0 else math.sqrt(n)))
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    z.append(abs((sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread else math.sqrt(n)))
+    most = max(z)
+    k2, k3 = (0.1, 0.0125) if kind == "hex" else (0.066, 0.0056)
+    edge = n / a * (most * math.sqrt(2 * (a - 1) * (1 - 1 / n)) + n + a - 1)
+    variance = 2 * n * (n - 1) * (k2 - k2**2) + 4 * n * (n - 1) * (n - 2) * max(k3 - k2**2, 0)
+    return tail((n + n * (n - 1) * k2 - edge) / math.sqrt(variance)) * (1 - 2 * tail(most)) ** 2
+
+
+def all_spans(texts):
+    """Base spans and discoveries of all texts, by plain loops and a plain Benjamini-Hochberg on bins of p."""
+    runs = []
+    for i, t in enumerate(texts):
+        base = brute(t or "")
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+            kinds = sum(bool(re.search(c, m[0])) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+            if kinds >= 2 and not any(s < m.end() and m.start() < e for s, _, e in base):
+                runs.append((i, m.start(), m.end(), 2 if len(m[0]) >= 64 else 1 if len(m[0]) >= 32 else 0, min(math.floor(-math.log10(max(battery(m[0]), 1e-300)) * 20), 400)))
+    found = [brute(t or "") for t in texts]
+    for band in range(3):
+        mine = [r for r in runs if r[3] == band]
+        good = [b for b in {r[4] for r in mine} if 10.0 ** (-b / 20) <= 0.01 * sum(r[4] >= b for r in mine) / len(mine)]
+        for i, start, end, _, b in mine:
+            if good and b >= min(good):
+                found[i].append((start, 3, end))
+    return [sorted(x) for x in found]
+
+
+def test_all_spans_equal_brute_force(spark):
+    r = random.Random(12)
+    key = lambda n, letters=string.ascii_letters + string.digits: "".join(r.choice(letters) for _ in range(n))
+    word = lambda n: "".join(r.choice("etaoinshrdlucm") for _ in range(n))
+    made = [lambda: key(r.randrange(20, 90)), lambda: base64.b64encode(r.randbytes(r.randrange(20, 60))).decode(), lambda: base64.b32encode(r.randbytes(25)).decode(), lambda: key(28, "0123456789ABCDEF"), lambda: word(15).title() + word(20) + "1", lambda: "/".join(word(6) for _ in range(6)) + "2024", lambda: "token=" + key(30), lambda: "ab1" * 12]
+    texts = [f"é {r.choice(made)()} and {r.choice(made)()}\n" for _ in range(150)] + [None, "", "A1" + "x" * 4000, key(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.spans] for x in q.scan(df).collect()}
+    want = all_spans(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 50 < sum(k == 3 for x in want for _, k, _ in x) < 250
