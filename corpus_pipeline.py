@@ -71,8 +71,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, the packed ids in base 64, and digests of the ids and of the decoded bytes."""
     vocabulary = byte_bpe.published_vocabulary()
-    ids = byte_bpe.encode(docs, vocabulary, keep=("doc_id", "lang", "source"))
-    out = byte_bpe.decode(ids, vocabulary)
+    out = byte_bpe.encode(docs, vocabulary, keep=("doc_id", "lang", "source"), decoded="decoded")
     return out.select("doc_id", "lang", "source", "n_tokens", F.base64("ids").alias("ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
