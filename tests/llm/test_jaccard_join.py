@@ -64,3 +64,36 @@ def test_empty_table_and_boundary(spark):
     assert j.boundary({5: 10, 6: 10}, 1000.0) == 14
     assert j.boundary({9: 10}, 1.0) < 9
     assert [j.need(5), j.prefix(5), j.subset_sizes(5), j.subset_count(9)] == [4, 2, [4, 5], 9 + 1]
+
+
+def test_every_link_between_different_sets(spark, monkeypatch):
+    monkeypatch.setattr(j, "CELL", 4)
+    rows = [r for r in corpus(5) if r[0] is not None]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        sets[s] = min(i, sets.get(s, i))
+    names = sorted((i, s) for s, i in sets.items() if s)
+    want = sorted((a, b) for a, x in names for b, y in names if a < b and 100 * len(x & y) >= 80 * len(x | y))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.a, r.b) for r in j.linked(df).collect()) == want and len(want) > 20
+
+
+def test_a_shared_passage_alone_makes_no_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    words = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    common, others = words(40), [words(30) for _ in range(12)]
+    made = []
+    monkeypatch.setattr(j, "verified", lambda pairs, whole, real=j.verified: made.append(pairs.count()) or real(pairs, whole))
+    rows = [(i, " ".join(common + others[i % 12] + words(2))) for i in range(240)]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in j.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert sum(made) <= 4 * len(rows)
+
+
+def test_clashing_numbers_of_sets_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(j, "_clashes", lambda nodes, real=j._clashes: {(r.k1, r.k2): -1 - i for i, r in enumerate(nodes.orderBy("k1").limit(5).collect())} | real(nodes))
+    rows = corpus(6)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
