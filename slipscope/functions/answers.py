@@ -39,8 +39,9 @@ def factual(response: Column) -> Column:
     out = F.rtrim(out, F.lit(".!,;:"))
 
     def shorter(x: Column) -> Column:
-        used = F.get(F.filter(_array(SPLITTERS), lambda s: F.contains(x, s)), F.lit(0))
-        tail = let(used, lambda s: F.rtrim(strip(F.substr(x, F.instr(x, s) + F.char_length(s), F.char_length(x))), F.lit(".")))
+        low = F.lower(x)
+        used = F.get(F.filter(_array(SPLITTERS), lambda s: F.contains(low, s)), F.lit(0))
+        tail = let(used, lambda s: F.rtrim(strip(F.substr(x, F.instr(low, s) + F.char_length(s), F.char_length(x))), F.lit(".")))
         n = F.size(blank_words(x))
         pick = let(tail, lambda t: F.when(F.size(blank_words(t)).between(1, n - 2), t).otherwise(x))
         return F.when((n > 6) & used.isNotNull(), pick).otherwise(x)

@@ -6,12 +6,14 @@ distributed. Probes are saved and loaded as pipelines of pyspark.ml.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,15 +85,18 @@ class Probe:
             p = vector_to_array("probability")[1]
         else:
             p = 1 / (1 + F.exp(-(self.platt[0] * vector_to_array("rawPrediction")[1] + self.platt[1])))
-        return out.withColumn("p", p).drop("features", "scaled", "rawPrediction", "probability", "prediction")
+        return out.withColumn("p", p).drop("features", "sampled", "scaled", "rawPrediction", "probability", "prediction")
 
 
 def _fit(train: DataFrame, scale_on: DataFrame) -> PipelineModel:
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(scale_on)
-    n = train.count()
+    scaler = StandardScaler(inputCol="features", outputCol="sampled", withMean=True, withStd=True).fit(scale_on)
+    n, m = train.count(), scale_on.count()
+    # The scaler divides by the sample's deviation; the population's is less by this.
+    less = ElementwiseProduct(inputCol="sampled", outputCol="scaled", scalingVec=Vectors.dense([math.sqrt(m / max(m - 1, 1))] * len(scaler.mean)))
+    scaled = less.transform(scaler.transform(train))
     # C = 1: half the squared norm against the sum of losses, here divided by the number of rows.
     logistic = LogisticRegression(featuresCol="scaled", labelCol="label", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER)
-    return PipelineModel([scaler, logistic.fit(scaler.transform(train))])
+    return PipelineModel([scaler, less, logistic.fit(scaled)])
 
 
 def accuracy(df: DataFrame) -> DataFrame:
@@ -109,12 +114,12 @@ def platt(margins: DataFrame) -> tuple[float, float]:
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
-def train(activations: DataFrame, labels: DataFrame, layers: list[int] | None = None, calibrated: bool = False, seed: int = SEED) -> list[Probe]:
+def train(activations: DataFrame, labels: DataFrame, layers: list[int] | None = None, calibrated: bool = False, seed: int = SEED, test_share: float = TEST_SHARE) -> list[Probe]:
     """A probe for each layer; all share one stratified split. labels: task_id and label (1: correct).
 
     Calibrated: of the training part, a share fits the sigmoid only, while the scaler sees all of it.
     """
-    split = stratified_split(labels.select("task_id", F.col("label").cast("double").alias("label")), TEST_SHARE, seed=seed)
+    split = stratified_split(labels.select("task_id", F.col("label").cast("double").alias("label")), test_share, seed=seed)
     split = split.withColumnRenamed("held", "test")
     if calibrated:
         inner = stratified_split(split.where("not test"), CALIBRATION_SHARE, seed=seed + 1).select("task_id", F.col("held").alias("calibration"))

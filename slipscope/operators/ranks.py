@@ -6,6 +6,8 @@ partition) give the offsets.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,12 @@ def running_total(df: DataFrame, order: list[Column], weight: Column, out: str)
     """df with the sum of ``weight`` over its row and all before it, in the given order. Ties in the order are ranked anyhow."""
     ranged = staged(df.withColumn("_w", weight).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     totals = {r["_part"]: r.total for r in ranged.groupBy("_part").agg(F.sum("_w").alias("total")).collect()}
-    offsets, seen = [], 0
-    for part in sorted(totals):
-        offsets += [F.lit(part), F.lit(seen)]
-        seen += totals[part]
+    offsets = list(zip(sorted(totals), accumulate([totals[part] for part in sorted(totals)], initial=0)))
+    kind = ranged.select(F.sum("_w")).schema[0].dataType.simpleString()
+    # One row for each partition.
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, f"_part int, _before {kind}"))
     within = F.sum("_w").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    offset = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
-    return ranged.withColumn(out, within + offset).drop("_w", "_part")
+    return ranged.withColumn(out, within).join(before, "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_w", "_part", "_before")
 
 
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:

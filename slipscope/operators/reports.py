@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import text
 from . import composite, stats
 
+#: Chance, and the range of the axis, in the figure of probe accuracies.
+PROBE_CHANCE, PROBE_AXIS = 0.5, (0.4, 1.0)
 N_EXAMPLES, PROMPT_CHARS, RESPONSE_CHARS = 5, 200, 300
 
 
@@ -57,6 +59,13 @@ def extended_summary(extended: DataFrame, excluded: DataFrame, isd: DataFrame) -
     return both.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(apart))
 
 
+def probe_bars(results: DataFrame) -> DataFrame:
+    """Two bars for each layer, accuracy and area under the curve, with the chance line and the axis of the figure."""
+    bars = F.explode(F.array(*[F.struct(F.lit(i).alias("bar"), F.lit(name).alias("measure"), F.col(c).alias("value")) for i, (c, name) in enumerate((("accuracy", "Accuracy"), ("auc", "AUC")))]))
+    rows = results.select("layer_idx", bars.alias("b"))
+    return rows.select("layer_idx", "b.measure", "b.value", (F.col("b.value") - PROBE_CHANCE).alias("above_chance"), F.col("b.value").between(*PROBE_AXIS).alias("on_axis"))
+
+
 def figures(extended: DataFrame, isd: DataFrame, bins: int = 30, domain_bins: int = 20) -> dict[str, DataFrame]:
     """The data of all figures by name; drawing them is left to the caller."""
     return {

@@ -71,7 +71,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> Da
     """Counts in equal bins between a group's own least and greatest value; the last bin holds its upper end."""
     keys = [by] if by else []
     ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    spread = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))
+    spread = df.join(ends.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by") if by else df.crossJoin(F.broadcast(ends))
     span = F.col("_hi") - F.col("_lo")
     place = F.least(F.floor((F.col(value) - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     rows = spread.where(F.col(value).isNotNull()).withColumn("bin", F.coalesce(place, F.lit(bins // 2)))

@@ -30,6 +30,7 @@ SELECT CAST(doc_id AS STRING) AS task_id, d AS domain, text AS prompt, w3 AS ali
     WHEN 'factual_qa0' THEN concat('Let me think.', chr(10), 'In short: ', w1, ' ', w2, '!')
     WHEN 'factual_qa1' THEN concat('The answer is A: ', w1, ' ', w2, ';')
     WHEN 'factual_qa2' THEN concat(w1, ' ', w2, ' ', w3, ' ', w4, ' was said to be ', w5, ' but it is ', w3)
+    WHEN 'factual_qa3' THEN concat('The ', w1, ' peak ON that long list IS ', w2, ' ', w3, ', they say.')
     WHEN 'factual_qa4' THEN concat('In short:', chr(10), 'Simply put, ', w2, ' ', w3, '.')
     WHEN 'factual_qa5' THEN '  '
     WHEN 'reasoning0' THEN concat('The answer is $', CAST(doc_id AS STRING), ',250.50.')

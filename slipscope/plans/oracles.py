@@ -75,8 +75,8 @@ g0 AS (SELECT task_id, coalesce(found[1], lines[1], '') AS x FROM f1)"""
         out += f",\ng{i + 1} AS (SELECT task_id, CASE WHEN starts_with(lower(x), {quoted(o)}) THEN {strip(f'substr(x, {len(o) + 1})')} ELSE x END AS x FROM g{i})"
     out += f""",
 h0 AS (SELECT task_id, rtrim(x, '.!,;:') AS x FROM g{len(lexicon.OPENINGS)}),
-h1 AS (SELECT task_id, x, list_filter({listed(lexicon.SPLITTERS)}, lambda p_: contains(h0.x, p_))[1] AS s FROM h0),
-h2 AS (SELECT task_id, x, s, rtrim({strip('substr(x, instr(x, s) + length(s))')}, '.') AS t FROM h1),
+h1 AS (SELECT task_id, x, CASE WHEN x ILIKE '% is %' THEN ' is ' WHEN x ILIKE '% was %' THEN ' was ' WHEN x ILIKE '% are %' THEN ' are ' WHEN x ILIKE '% were %' THEN ' were ' END AS s FROM h0),
+h2 AS (SELECT task_id, x, s, rtrim({strip("regexp_extract(x, '(?is)^.*?' || s || '(.*)$', 1)")}, '.') AS t FROM h1),
 fa AS (SELECT task_id, {strip(f"CASE WHEN s IS NOT NULL AND len({blank_words('x')}) > 6 AND len({blank_words('t')}) BETWEEN 1 AND len({blank_words('x')}) - 2 THEN t ELSE x END")} AS answer FROM h2)"""
     return out
 

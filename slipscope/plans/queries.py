@@ -96,9 +96,9 @@ def _choice_source(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("ctx"), F.slice(F.split("text", " "), 1, 4).alias("endings"), (F.col("item_id") % 4).cast("string").alias("label"))
 
 
-_QA_SQL = f"SELECT printf('tqa_%04d', {_DRAW.format(key='item_id')}) AS task_id, 'factual_qa' AS domain, 'Answer the question in a few words.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt, {_WORDS}[1] AS ground_truth, array_to_string({_WORDS}[2:3], '|') AS detail FROM benchmark"
-_MATHS_SQL = f"SELECT printf('gsm_%04d', {_DRAW.format(key='doc_id')}) AS task_id, 'reasoning' AS domain, 'Solve the problem step by step and end with \"The answer is\" and the number.' || chr(10) || chr(10) || 'Problem: ' || text || chr(10) || 'Solution:' AS prompt, CAST(n_chars AS VARCHAR) AS ground_truth, text || ' #### 0 ####  ' || CAST(n_chars AS VARCHAR) || ' ' || chr(10) AS detail FROM documents"
-_CHOICE_SQL = f"SELECT printf('hs_%04d', {_DRAW.format(key='item_id')}) AS task_id, 'commonsense' AS domain, 'Choose the best continuation and answer with its letter.' || chr(10) || chr(10) || 'Context: ' || text || chr(10) || 'Options:' || chr(10) || array_to_string(list_transform(range(1, len({_WORDS}[1:4]) + 1), lambda i: '  (' || chr(CAST(64 + i AS INT)) || ') ' || {_WORDS}[i]), chr(10)) || chr(10) || 'Answer:' AS prompt, chr(CAST(65 + item_id % 4 AS INT)) AS ground_truth, {_WORDS}[CAST(item_id % 4 AS INT) + 1] AS detail FROM benchmark"
+_QA_SQL = f"SELECT printf('tqa_%04d', {_DRAW.format(key='item_id')}) AS task_id, 'factual_qa' AS domain, 'Answer the following question concisely.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt, {_WORDS}[1] AS ground_truth, array_to_string({_WORDS}[2:3], '|') AS detail FROM benchmark"
+_MATHS_SQL = f"SELECT printf('gsm_%04d', {_DRAW.format(key='doc_id')}) AS task_id, 'reasoning' AS domain, 'Solve the following maths problem. Show your working, then give the final numerical answer after ''The answer is''.' || chr(10) || chr(10) || 'Problem: ' || text || chr(10) || 'Solution:' AS prompt, CAST(n_chars AS VARCHAR) AS ground_truth, text || ' #### 0 ####  ' || CAST(n_chars AS VARCHAR) || ' ' || chr(10) AS detail FROM documents"
+_CHOICE_SQL = f"SELECT printf('hs_%04d', {_DRAW.format(key='item_id')}) AS task_id, 'commonsense' AS domain, 'Choose the most plausible continuation.' || chr(10) || chr(10) || 'Context: ' || text || chr(10) || chr(10) || 'Options:' || chr(10) || array_to_string(list_transform(range(1, len({_WORDS}[1:4]) + 1), lambda i: '  (' || chr(CAST(64 + i AS INT)) || ') ' || {_WORDS}[i]), chr(10)) || chr(10) || chr(10) || 'Answer with the letter only (A, B, C, or D):' AS prompt, chr(CAST(65 + item_id % 4 AS INT)) AS ground_truth, {_WORDS}[CAST(item_id % 4 AS INT) + 1] AS detail FROM benchmark"
 
 
 @query(_QA_SQL)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +36,8 @@ class Config:
         sizes = {k: v["n_samples"] for k, v in (d.get("tasks") or {}).items() if "n_samples" in v}
         return cls(
             **({"n_samples": sizes} if sizes else {}),
-            **pick("probing", test_split="test_split", random_seed="random_seed"),
-            **pick("pei", isd_weight="isd_weight", lcs_weight="lcs_weight", normalisation="normalisation"),
+            **pick("probing", test_split="test_split", random_seed="random_seed", calibrated="calibrated"),
+            **pick("pei", isd_weight="isd_weight", lcs_weight="lcs_weight", normalisation="normalisation", min_words="min_words"),
             **pick("output", results_dir="results_dir"),
         )
 
@@ -86,7 +86,7 @@ class Run:
     def probe(self) -> list[probes.Probe]:
         judged = self._read("judged", store.JUDGED)
         acts = store.read_activations(self.spark, f"{self.dir}/activations")
-        fitted = probes.train(acts, judged.select("task_id", F.col("is_correct").cast("double").alias("label")), calibrated=self.config.calibrated, seed=self.config.random_seed)
+        fitted = probes.train(acts, judged.select("task_id", F.col("is_correct").cast("double").alias("label")), calibrated=self.config.calibrated, seed=self.config.random_seed, test_share=self.config.test_split)
         probes.save(fitted, f"{self.dir}/probes")
         store.write_jsonl(probes.results(self.spark, fitted), f"{self.dir}/probe_results.jsonl")
         store.write_jsonl(probes.internal_scores(acts, judged, fitted), f"{self.dir}/isd_scores.jsonl")
@@ -104,20 +104,49 @@ class Run:
     def analyse(self) -> dict[str, DataFrame]:
         scored, judged = self._read("pei_scores", store.EXTENDED), self._read("judged", store.JUDGED)
         overall, by_domain = reports.summary(scored)
-        return {"overall": overall, "by_domain": by_domain, "showcase": reports.showcase(scored, judged), **reports.figures(scored, self._read("isd_scores", store.ISD))}
+        bars = reports.probe_bars(self._read("probe_results", store.PROBES))
+        return {"overall": overall, "by_domain": by_domain, "showcase": reports.showcase(scored, judged), "probe_accuracy": bars, **reports.figures(scored, self._read("isd_scores", store.ISD))}
+
+    def report(self) -> None:
+        """The analysis as files: summary and examples in one, and a table for each figure."""
+        out = self.analyse()
+        small = ("overall", "by_domain", "showcase", "probe_accuracy")
+        store.write_report(self.spark, f"{self.dir}/report.json", **{k: out[k] for k in small})
+        for name, rows in out.items():
+            if name not in small:
+                store.write_jsonl(rows, f"{self.dir}/figures/{name}.jsonl")
+
+
+def sources(spark: SparkSession, given: list[str]) -> dict[str, DataFrame]:
+    """Source tables from DOMAIN=PATH; JSON Lines by their ending, else Parquet."""
+    out = {}
+    for domain, path in (g.split("=", 1) for g in given):
+        out[domain] = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    return out
 
 
 def main(args: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Run one stage, or all that follow generation.")
-    parser.add_argument("--stage", choices=[*STAGES[1:], "all"], default="all")
+    parser = argparse.ArgumentParser(description="Run one stage, or all; generation needs sources, and is left out of all where none are given.")
+    parser.add_argument("--stage", choices=[*STAGES, "all"], default="all")
     parser.add_argument("--config", help="YAML file")
+    parser.add_argument("--source", action="append", default=[], metavar="DOMAIN=PATH", help="questions of a domain, by which generation begins")
+    parser.add_argument("--calibrated", action="store_true", help="calibrate the probes")
+    parser.add_argument("--min-words", type=int, help="leave out shorter responses")
     given = parser.parse_args(args)
-    run = Run(SparkSession.builder.getOrCreate(), Config.from_yaml(given.config) if given.config else Config())
-    for stage in STAGES[1:] if given.stage == "all" else [given.stage]:
-        out = getattr(run, stage)()
-        if stage == "analyse":
-            for name in ("overall", "by_domain", "showcase"):
-                out[name].show(truncate=60)
+    spark = SparkSession.builder.getOrCreate()
+    config = Config.from_yaml(given.config) if given.config else Config()
+    config = replace(config, calibrated=config.calibrated or given.calibrated, min_words=config.min_words if given.min_words is None else given.min_words)
+    run = Run(spark, config)
+    stages = [s for s in STAGES if s != "generate" or given.source] if given.stage == "all" else [given.stage]
+    for stage in stages:
+        if stage == "generate":
+            if not given.source:
+                parser.error("generation needs --source")
+            run.generate(sources(spark, given.source))
+        elif stage == "analyse":
+            run.report()
+        else:
+            getattr(run, stage)()
 
 
 if __name__ == "__main__":

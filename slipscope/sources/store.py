@@ -114,11 +114,13 @@ def import_npz(spark: SparkSession, path: str, task_ids: list[str]) -> DataFrame
     return spark.createDataFrame(rows, ACTIVATIONS)
 
 
-def write_report(path: str, **tables: DataFrame) -> None:
-    """Small tables (summaries, examples) as one indented JSON file on the driver."""
-    out = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in tables.items()}
-    with open(path, "w") as f:
-        json.dump(out, f, indent=2, default=str)
+def write_report(spark: SparkSession, path: str, **tables: DataFrame) -> None:
+    """Small tables (summaries, examples) as one indented JSON file, wherever Spark can write."""
+    text = json.dumps({name: [r.asDict(recursive=True) for r in df.collect()] for name, df in tables.items()}, indent=2, default=str)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:

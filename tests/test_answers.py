@@ -17,6 +17,8 @@ FACTUAL = [
     ("The answer is A: Oslo;", "Oslo"),
     ("The tallest peak on that list was said to be K2 but it is Everest", "Everest"),
     ("The answer to the question is Rome", "Rome"),
+    ("The tallest peak on that long list IS Everest", "Everest"),
+    ("The tallest peaks on that long list WERE two, but it Is K2.", "K2"),
     ("  \n ", ""),
     ("", ""),
     (None, ""),

@@ -2,10 +2,11 @@ import json
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from slipscope.operators import probes
-from slipscope.plans.run import Config, Run
+from slipscope.plans.run import Config, Run, main
 from slipscope.sources import store, tasks
 from slipscope.streaming import live
 
@@ -35,9 +36,11 @@ def test_stages_end_to_end(spark, run):
     out = run.analyse()
     assert out["overall"].first().n == counts.errors and out["showcase"].count() == 10
     path = f"{run.dir}/summary.json"
-    store.write_report(path, overall=out["overall"], domains=out["by_domain"])
+    store.write_report(spark, path, overall=out["overall"], domains=out["by_domain"])
     with open(path) as f:
         assert json.load(f)["overall"][0]["n"] == counts.errors
+    bars = {(r.layer_idx, r.measure): r.value for r in out["probe_accuracy"].collect()}
+    assert bars == {(p.layer, m): v for p in fitted for m, v in (("Accuracy", p.accuracy), ("AUC", p.auc))}
     back = probes.load(spark, f"{run.dir}/probes")
     assert [p.accuracy for p in back] == [p.accuracy for p in fitted]
 
@@ -104,3 +107,38 @@ def test_ordered_lines_follow_the_order(spark, tmp_path):
     store.write_jsonl(spark.range(1000).selectExpr("id", "1000 - id as rank").repartition(7), path, order="rank")
     lines = [json.loads(x)["rank"] for f in sorted((tmp_path / "o.jsonl").glob("part-*")) for x in open(f)]
     assert lines == list(range(1, 1001))
+
+
+def test_command_line_generates_and_reports(spark, tmp_path):
+    rows = [{"id": i, "question": f"m{i}", "answer": f"work #### {i * 3}"} for i in range(40)]
+    (tmp_path / "maths.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "run.yaml").write_text(json.dumps({"tasks": {"reasoning": {"n_samples": 40}}, "probing": {"test_split": 0.5, "calibrated": True}, "pei": {"min_words": 2}, "output": {"results_dir": str(tmp_path / "out")}}))
+    config = ["--config", str(tmp_path / "run.yaml")]
+    main(["--stage", "generate", "--source", f"reasoning={tmp_path}/maths.jsonl", *config])
+    main(["--stage", "judge", *config])
+    judged = store.read_jsonl(spark, str(tmp_path / "out/judged.jsonl"), store.JUDGED).collect()
+    rng = random.Random(1)
+    acts = [(r.task_id, layer, [rng.gauss(2.0 * r.is_correct, 1) for _ in range(3)]) for r in judged for layer in (0, 1)]
+    store.write_activations(spark.createDataFrame(acts, store.ACTIVATIONS), str(tmp_path / "out/activations"))
+    for stage in ("probe", "linguistic", "pei", "analyse"):
+        main(["--stage", stage, *config])
+    with open(tmp_path / "out/report.json") as f:
+        report = json.load(f)
+    assert len(report["probe_accuracy"]) == 4 and report["overall"][0]["n"] == sum(not r.is_correct for r in judged)
+    assert all(r["n_test"] == 20 for r in map(json.loads, "".join(p.read_text() for p in (tmp_path / "out/probe_results.jsonl").glob("part-*")).splitlines()))
+    assert (tmp_path / "out/figures/distribution.jsonl").exists()
+    with pytest.raises(SystemExit):
+        main(["--stage", "generate", *config])
+
+
+def test_chat_prompt(spark):
+    row = spark.createDataFrame([("Why?",)], "p string").select(tasks.chat_prompt(F.col("p")).alias("x")).first()
+    assert row.x == "<|im_start|>system\nAnswer the user's question.<|im_end|>\n<|im_start|>user\nWhy?<|im_end|>\n<|im_start|>assistant\n"
+
+
+def test_probes_scale_by_the_population_deviation(spark):
+    df = spark.createDataFrame([([float(x)], float(x > 2)) for x in (0, 1, 3, 8)], "act array<double>, label double").withColumn("features", array_to_vector("act"))
+    model = probes._fit(df, df)
+    mean, deviation = 3.0, (38 / 4) ** 0.5
+    got = sorted(r.x[0] for r in model.transform(df).select(vector_to_array("scaled").alias("x")).collect())
+    assert got == pytest.approx([(x - mean) / deviation for x in (0, 1, 3, 8)])
