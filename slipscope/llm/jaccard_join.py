@@ -63,6 +63,8 @@ FILTER_EACH, FILTER_MOST = 16, 1 << 28
 CELL, CELL_ROWS, SALT = 256, 100_000, 16
 #: Sets that this share of all documents have, or more, are joined apart (at most so many, so their list goes to every task).
 HOT_SHARE = 1_000
+#: Nodes up to this number are sent to every task to pick their sets.
+FEW = 50_000
 U = np.uint64
 
 
@@ -391,7 +393,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.where(apart("x", "y") <= most).select("p.a", "p.b")
 
 
-def node_sets(rows: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+def node_sets(rows: DataFrame, wanted: DataFrame, nodes: DataFrame, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """node and its whole set, for the wanted nodes: made again from the texts, as most sets are never needed.
 
     A filter of bounded size, made from the wanted sets' names, lets few other texts through.
@@ -404,26 +406,26 @@ def node_sets(rows: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame
     filter_ = np.zeros(bits >> 6, np.int64)
     for r in words:
         filter_[r.word] = r.bits
-    shared = spark.sparkContext.broadcast(filter_.view(np.uint8))
+    shared = spark.sparkContext.broadcast((filter_.view(np.uint8), renamed))
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, done = shared.value, set()
+        (mask, other), done = shared.value, set()
         for _, sets in _sets_of(batches, 0):
             out = []
             for s in sets:
                 k = set_key(s)
                 at = k[0] & (bits - 1)
                 if mask[at >> 3] >> (at & 7) & 1 and k not in done:
-                    out.append((*k, s.tobytes()))
+                    out.append((other[k] if k in other else int(nodes_of(*(np.array([x], np.int64) for x in k))[0]), s.tobytes()))
                     # Copies in one task are sent once; the memory for that is bounded.
                     if len(done) > 100_000:
                         done.clear()
                     done.add(k)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], names=["k1", "k2", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in ((0, pa.int64()), (1, pa.binary()))], names=["node", "members"])
 
-    found = rows.select("text").mapInArrow(run, "k1 long, k2 long, members binary")
-    out = written(found.join(named, ["k1", "k2"]).groupBy("node").agg(F.max("members").alias("members")), "members")
+    found = rows.select("text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.max("members").alias("members"))
+    out = written(found.join(named.select("node"), "node", "left_semi"), "members")
     discard(named)
     return out
 
@@ -446,6 +448,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
+    ends = _ends(pairs)
+    if ends.count() <= FEW:
+        sets = sets.join(F.broadcast(ends), "node", "left_semi")
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     return written(two.mapInArrow(_verify, "a long, b long"), "verified")
@@ -521,7 +526,7 @@ class Join:
         if renamed:
             table = F.broadcast(docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "k1 long, k2 long, other long"))
             nodes, sets = (df.join(table, ["k1", "k2"], "left").withColumn("node", F.coalesce("other", "node")).drop("other") for df in (nodes, sets))
-        self.sets, self.nodes = sets, nodes
+        self.sets, self.nodes, self.renamed = sets, nodes, renamed
         if small is None:
             sizes = {r.n: r["count"] for r in nodes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
             small = boundary(sizes, mean_list)
@@ -529,7 +534,7 @@ class Join:
         lists = written(lists, "lists")
         self.first = written(likely(lists.where("place < 0").select("a", "b").distinct(), nodes), "pairs")
         self.long = lists.where("place >= 0").select("token", "a", "n", "place")
-        self.whole = node_sets(self.rows, _ends(self.first), nodes)
+        self.whole = node_sets(self.rows, _ends(self.first), nodes, renamed)
         self.links = verified(self.first, self.whole)
 
     def later(self, parts: DataFrame | None) -> DataFrame | None:
@@ -538,7 +543,7 @@ class Join:
         if second.isEmpty():
             return None
         missing = written(_ends(second).join(self.whole.select("node"), "node", "left_anti"), "missing")
-        whole = self.whole if missing.isEmpty() else self.whole.unionByName(node_sets(self.rows, missing, self.nodes))
+        whole = self.whole if missing.isEmpty() else self.whole.unionByName(node_sets(self.rows, missing, self.nodes, self.renamed))
         return verified(second, whole)
 
 
