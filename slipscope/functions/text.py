@@ -19,8 +19,12 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+#: Unicode white space. Fixed values.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_words(c: Column) -> Column:
@@ -30,7 +34,7 @@ def blank_words(c: Column) -> Column:
 
 def letters(c: Column) -> Column:
     """Lower-case runs of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text(c)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text(c)), r"[^\p{L}\p{N}_]+"), "")
 
 
 def tokens(c: Column) -> Column:
@@ -38,6 +42,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
 
 
+def count_tokens(c: Column) -> Column:
+    """How many tokens: each word is cut down to its first letter, white space to nothing."""
+    return F.char_length(F.regexp_replace(c, r"([\p{L}\p{N}_])[\p{L}\p{N}_]*|\s+", "$1")).cast("long")
+
+
 def sentences(c: Column) -> Column:
     """Parts between line ends, and after . ! ? with white space; blank ones are dropped."""
     marked = F.regexp_replace(text(c), r"([.!?])\s+", "$1\u0001")
@@ -66,8 +75,9 @@ def normalise(c: Column) -> Column:
 
 
 def occurrences(c: Column, phrase: str) -> Column:
-    """Non-overlapping occurrences of a phrase."""
-    return F.floor((F.char_length(c) - F.char_length(F.replace(c, F.lit(phrase), F.lit("")))) / len(phrase)).cast("long")
+    """Non-overlapping occurrences of a phrase; texts without it aren't rewritten."""
+    less = F.char_length(c) - F.char_length(F.replace(c, F.lit(phrase), F.lit("")))
+    return F.when(F.contains(c, F.lit(phrase)), F.floor(less / len(phrase))).otherwise(0).cast("long")
 
 
 def count_markers(c: Column, markers: Iterable[str], fix_case: bool = False) -> Column:

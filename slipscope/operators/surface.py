@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import letters, markers_in_words, sentences, text, tokens
+from ..functions.text import count_tokens, let, letters, markers_in_words, sentences, text
 
 #: Weights of the score's parts.
 WEIGHTS = {
@@ -38,35 +38,45 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def is_passive(words: Column) -> Column:
-    """Whether lower-case words hold a passive."""
+    """Whether lower-case words hold a passive. Only sentences with a form of "be" are looked at place by place."""
     participle = lambda w: w.rlike("ed$") | w.isin(lexicon.PARTICIPLES)
     between = lambda w: (w == "not") | w.rlike("ly$")
     at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    return F.exists(
+    here = F.exists(
         F.sequence(F.lit(0), F.size(words)),
         lambda i: at(i).isin(lexicon.BE) & (participle(at(i + 1)) | (between(at(i + 1)) & participle(at(i + 2)))),
     )
+    return F.when(F.exists(words, lambda w: w.isin(lexicon.BE)), here).otherwise(False)
 
 
 def analyse(df: DataFrame, response: str = "response") -> DataFrame:
-    """df with what the features need, each computed once: lower-case text, words, sentences."""
-    out = df.withColumn("_low", F.lower(text(response))).withColumn("_words", letters(F.col(response)))
-    out = out.withColumn("_sents", sentences(F.col(response)))
+    """df with what the features need, each computed once: lower-case text, sentences, their words, all words, tokens."""
+    out = df.withColumn("_low", F.lower(text(response))).withColumn("_sents", sentences(F.col(response)))
+    # No word reaches beyond its sentence: the text's words are those of its sentences.
     out = out.withColumn("_sent_words", F.transform("_sents", letters))
     # Trigrams are over words, punctuation left out; tokens of a sentence include punctuation.
-    return out.withColumn("_sent_tokens", F.aggregate(F.transform("_sents", lambda s: F.size(tokens(s)).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n))
+    return out.withColumn("_words", F.flatten("_sent_words")).withColumn("_sent_tokens", count_tokens(F.array_join("_sents", "\n")))
+
+
+ARTICLES = ["the", "a", "an"]
+MARKERS = [m for ms in (lexicon.BOOSTERS, lexicon.HEDGES, lexicon.DIRECT_EVIDENCE, lexicon.INDIRECT_EVIDENCE, lexicon.CONCESSIVES) for m in ms if " " not in m]
+
+
+def marked(df: DataFrame) -> DataFrame:
+    """df with the words that any count is about: one pass over all words, and the counts go over these few."""
+    return df.withColumn("_marked", F.filter("_words", lambda w: w.isin(MARKERS + ARTICLES)))
 
 
 def epistemic(df: DataFrame, fix_case: bool = False) -> DataFrame:
     fixed = lambda ms: [m.lower() for m in ms] if fix_case else ms
-    out = df.withColumn("n_boosters", markers_in_words(F.col("_words"), F.col("_low"), fixed(lexicon.BOOSTERS)))
-    out = out.withColumn("n_hedges", markers_in_words(F.col("_words"), F.col("_low"), fixed(lexicon.HEDGES)))
+    out = df.withColumn("n_boosters", markers_in_words(F.col("_marked"), F.col("_low"), fixed(lexicon.BOOSTERS)))
+    out = out.withColumn("n_hedges", markers_in_words(F.col("_marked"), F.col("_low"), fixed(lexicon.HEDGES)))
     return out.withColumn("booster_ratio", _ratio(F.col("n_boosters"), F.col("n_boosters") + F.col("n_hedges")))
 
 
 def evidentiality(df: DataFrame) -> DataFrame:
-    out = df.withColumn("n_direct_evidence", markers_in_words(F.col("_words"), F.col("_low"), lexicon.DIRECT_EVIDENCE))
-    out = out.withColumn("n_indirect_evidence", markers_in_words(F.col("_words"), F.col("_low"), lexicon.INDIRECT_EVIDENCE))
+    out = df.withColumn("n_direct_evidence", markers_in_words(F.col("_marked"), F.col("_low"), lexicon.DIRECT_EVIDENCE))
+    out = out.withColumn("n_indirect_evidence", markers_in_words(F.col("_marked"), F.col("_low"), lexicon.INDIRECT_EVIDENCE))
     singles = [m for m in lexicon.DIRECT_EVIDENCE + lexicon.INDIRECT_EVIDENCE if " " not in m]
     phrases = [m for m in lexicon.DIRECT_EVIDENCE + lexicon.INDIRECT_EVIDENCE if " " in m]
 
@@ -78,16 +88,18 @@ def evidentiality(df: DataFrame) -> DataFrame:
 
     # Zipped first: a column named inside a lambda may be computed anew for each element.
     pairs = F.arrays_zip(F.col("_sent_words"), F.transform("_sents", F.lower).alias("low"))
-    return out.withColumn("n_bald_assertions", F.size(F.filter(pairs, bald)).cast("long"))
+    # A text without any marker of evidence has none in its sentences.
+    some = F.col("n_direct_evidence") + F.col("n_indirect_evidence") > 0
+    return out.withColumn("n_bald_assertions", F.when(some, F.size(F.filter(pairs, bald))).otherwise(F.size("_sents")).cast("long"))
 
 
 def discourse(df: DataFrame) -> DataFrame:
     first = F.get("_sents", F.lit(0))
     hedges = markers_in_words(F.get("_sent_words", F.lit(0)), F.lower(first), lexicon.HEDGES)
     out = df.withColumn("claim_in_first_sentence", F.coalesce(hedges == 0, F.lit(False)))
-    out = out.withColumn("n_concessive_structures", markers_in_words(F.col("_words"), F.col("_low"), lexicon.CONCESSIVES))
-    words = F.col("_words")
-    return out.withColumn("definite_reference_ratio", _ratio(_count(words, "the"), _count(words, "the", "a", "an")))
+    out = out.withColumn("n_concessive_structures", markers_in_words(F.col("_marked"), F.col("_low"), lexicon.CONCESSIVES))
+    words = F.col("_marked")
+    return out.withColumn("definite_reference_ratio", _ratio(_count(words, "the"), _count(words, *ARTICLES)))
 
 
 def syntax(df: DataFrame) -> DataFrame:
@@ -99,16 +111,17 @@ def syntax(df: DataFrame) -> DataFrame:
 def fluency(df: DataFrame) -> DataFrame:
     out = df.withColumn("n_sentences", F.size("_sents").cast("long"))
     out = out.withColumn("mean_sentence_length", F.when(F.col("n_sentences") > 0, F.col("_sent_tokens").cast("double") / F.nullif("n_sentences", F.lit(0))).otherwise(0.0))
-    words = F.flatten("_sent_words")
-    return out.withColumn("has_repetition", repeated_trigram(words))
+    return out.withColumn("has_repetition", repeated_trigram(F.col("_words")))
 
 
 def repeated_trigram(words: Column) -> Column:
+    """Whether three words in a row come twice. Trigrams are told apart by 64 bits."""
+
     def look(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
         return F.when(F.size(w) >= 4, F.size(F.array_distinct(grams)) < F.size(w) - 2).otherwise(False)
 
-    return F.transform(F.array(words), look)[0]
+    return let(words, look)
 
 
 def confidence(df: DataFrame) -> DataFrame:
@@ -138,7 +151,7 @@ FEATURES = [
 
 def features(responses: DataFrame, analyser: Callable[[DataFrame], DataFrame] = analyse) -> DataFrame:
     """task_id, domain, all features and lcs_score. Narrow: no shuffle."""
-    out = analyser(responses)
+    out = marked(analyser(responses))
     for step in (epistemic, evidentiality, discourse, syntax, fluency, confidence):
         out = step(out)
     return out.select("task_id", "domain", *FEATURES)
