@@ -143,3 +143,49 @@ def average_rank(value: str, by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
     same = f"{by}, {value}" if by else value
     return f"(rank() OVER ({part}ORDER BY {value}) + (count(*) OVER (PARTITION BY {same}) - 1) / 2.0::DOUBLE)"
+
+
+#: Steps of the fits below: gradient descent with momentum for probes, Newton's method for sigmoids.
+DESCENT, NEWTON = 400, 30
+
+
+def split_ctes(name: str, source: str, seed: int, share: float) -> str:
+    """``name``: rows of source (task_id, y) with ``held``, by largest remainders and a hash of seed and id."""
+    return f"""{name}_n AS (SELECT y, count(*) AS n, count(*) * {share}::DOUBLE AS x FROM {source} GROUP BY y),
+{name}_q AS (SELECT y, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, y) <= ceil(round(sum(n) OVER () * {share}::DOUBLE, 9)) - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS take FROM {name}_n),
+{name} AS (SELECT task_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('{seed}-' || task_id), task_id) <= take AS held FROM {source} JOIN {name}_q USING (y))"""
+
+
+def sigmoid_ctes(name: str, source: str) -> str:
+    """``name`` (l, a, b): Platt's sigmoid for each l of source (l, margin, y), by Newton's method."""
+    return f"""{name}_t AS (SELECT l, margin AS m, CASE WHEN y = 1 THEN (sum(y) OVER (PARTITION BY l) + 1.0::DOUBLE) / (sum(y) OVER (PARTITION BY l) + 2) ELSE 1.0::DOUBLE / (sum(1 - y) OVER (PARTITION BY l) + 2) END AS t FROM {source}),
+{name}_s AS (SELECT DISTINCT l, 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {name}_t UNION ALL
+  SELECT l, i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT l, i, a, b, sum((p - t) * m) AS ga, sum(p - t) AS gb, sum(p * (1 - p) * m * m) AS haa, sum(p * (1 - p) * m) AS hab, sum(p * (1 - p)) AS hbb
+    FROM (SELECT *, 1 / (1 + exp(-(a * m + b))) AS p FROM {name}_s JOIN {name}_t USING (l) WHERE i < {NEWTON}) GROUP BY l, i, a, b)),
+{name} AS (SELECT l, a, b FROM {name}_s WHERE i = {NEWTON})"""
+
+
+def probe_ctes(calibrated: bool) -> str:
+    """CTEs up to "probes" (layer_idx, accuracy, auc, n_train, n_test), with slices of embeddings as layers."""
+    inner = split_ctes("cal", "(SELECT task_id, y FROM outer_split WHERE NOT held)", 43, 0.15) if calibrated else "cal AS (SELECT task_id, y, false AS held FROM outer_split WHERE NOT held)"
+    sums = ", ".join(f"sum(e * z[{i}])" for i in range(1, 14))
+    shift = sigmoid_ctes("platt", "(SELECT l, margin, y FROM margins WHERE part = 'calibration')") if calibrated else "platt AS (SELECT DISTINCT l, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM margins)"
+    return f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS task_id, CAST(label < 5 AS INT) AS y, embedding FROM embeddings),
+{split_ctes("outer_split", "(SELECT task_id, y FROM emb)", 42, 0.2)},
+{inner},
+parts AS (SELECT o.task_id, CASE WHEN o.held THEN 'test' WHEN cal.held THEN 'calibration' ELSE 'fit' END AS part FROM outer_split o LEFT JOIN cal USING (task_id)),
+flat AS (SELECT task_id, y, part, l, i, CAST(embedding[12 * l + i] AS DOUBLE) AS x FROM emb JOIN parts USING (task_id), unnest(range(0, 5)) AS u(l), unnest(range(1, 13)) AS v(i)),
+scale AS (SELECT l, i, avg(x) AS m, stddev_pop(x) AS sd FROM flat WHERE part <> 'test' GROUP BY l, i),
+vecs AS (SELECT l, task_id, y, part, list_append(list((x - m) / sd ORDER BY i), 1.0::DOUBLE) AS z FROM flat JOIN scale USING (l, i) GROUP BY l, task_id, y, part),
+fits AS (SELECT DISTINCT l, 0 AS i, list_transform(range(0, 13), lambda k: 0.0::DOUBLE) AS w, list_transform(range(0, 13), lambda k: 0.0::DOUBLE) AS v FROM vecs UNION ALL
+  SELECT l, i + 1, list_transform(range(1, 14), lambda k: w[k] - v2[k]), v2 FROM (
+    SELECT l, i, w, list_transform(range(1, 14), lambda k: 0.8::DOUBLE * v[k] + 0.5::DOUBLE / n * (g[k] + CASE WHEN k < 13 THEN w[k] ELSE 0 END)) AS v2 FROM (
+      SELECT l, i, w, v, count(*) AS n, [{sums}] AS g FROM (SELECT *, 1 / (1 + exp(-list_dot_product(w, z))) - y AS e FROM fits JOIN (SELECT * FROM vecs WHERE part = 'fit') USING (l) WHERE i < {DESCENT}) GROUP BY l, i, w, v))),
+margins AS (SELECT l, y, part, list_dot_product(w, z) AS margin FROM vecs JOIN (SELECT l, w FROM fits WHERE i = {DESCENT}) USING (l)),
+{shift},
+tested AS (SELECT l, y, a * margin + b AS margin FROM margins JOIN platt USING (l) WHERE part = 'test'),
+ranks AS (SELECT l, y, margin, {average_rank('margin', 'l')} AS r FROM tested),
+probes AS (SELECT CAST(l AS INT) AS layer_idx, round(avg(CASE WHEN (margin > 0) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy,
+  round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)), 6) AS auc,
+  (SELECT count(*) FROM parts WHERE part = 'fit') AS n_train, count(*) AS n_test FROM ranks GROUP BY l)"""

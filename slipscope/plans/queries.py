@@ -193,7 +193,19 @@ def m6_selected_layers(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.array_join(probes.selected_layers_of(n), ",").alias("layers"))
 
 
-@query()
+_CHAT = f"'<|im_start|>system' || chr(10) || {oracles.quoted(tasks.SYSTEM_MESSAGE)} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+
+
+@query(f"SELECT task_id, {_CHAT} AS prompt FROM ({_QA_SQL})")
+def m2_chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tasks.question_answering(_qa_source(spark, sf), 2**31 - 1)
+    return rows.select("task_id", tasks.chat_prompt(F.col("prompt")).alias("prompt"))
+
+
+_SAID = f"SELECT task_id, CASE WHEN right(md5(task_id), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'The answer is ' || ground_truth || '.' ELSE 'I am not sure.' END AS said FROM ({_QA_SQL})"
+
+
+@query(f"SELECT task_id, {oracles.clean('said')} AS response FROM ({_SAID})")
 def m4_generated_by_stub(spark: SparkSession, sf: str) -> DataFrame:
     return generate(tasks.question_answering(_qa_source(spark, sf), 2**31 - 1)).select("task_id", "response")
 
@@ -310,7 +322,7 @@ def pb2_standardised(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("task_id", "layer_idx", F.round(F.aggregate("act", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+@query(f"WITH RECURSIVE {oracles.probe_ctes(False)} SELECT * FROM probes")
 def pb3_probe_results(spark: SparkSession, sf: str) -> DataFrame:
     acts = _activations(spark, sf).drop("label")
     return rounded(probes.results(spark, probes.train(acts, _labels(spark, sf))), "accuracy", "auc")
@@ -342,13 +354,13 @@ def is1_internal_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _internal(spark, sf, False)
 
 
-@query()
+@query(f"WITH RECURSIVE {oracles.probe_ctes(True)} SELECT * FROM probes")
 def cb1_calibrated_probes(spark: SparkSession, sf: str) -> DataFrame:
     acts = _activations(spark, sf).drop("label")
     return rounded(probes.results(spark, probes.train(acts, _labels(spark, sf), calibrated=True)), "accuracy", "auc")
 
 
-@query()
+@query(f"WITH RECURSIVE e AS (SELECT 0 AS l, CAST(embedding[1] AS DOUBLE) AS margin, CAST(label < 5 AS INT) AS y FROM embeddings), {oracles.sigmoid_ctes('s', 'e')} SELECT round(a, 6) AS slope, round(b, 6) AS intercept FROM s")
 def cb2_platt(spark: SparkSession, sf: str) -> DataFrame:
     margins = inputs.table(spark, sf, "embeddings").select(F.col("embedding")[0].cast("double").alias("margin"), (F.col("label") < 5).cast("double").alias("label"))
     slope, intercept = probes.platt(margins)
@@ -536,6 +548,11 @@ def fg2_quadrants(spark: SparkSession, sf: str) -> DataFrame:
     return stats.quadrants(_index(spark, sf))
 
 
+@query(f"WITH RECURSIVE {oracles.probe_ctes(False)}, bars AS (SELECT layer_idx, 'Accuracy' AS measure, accuracy AS value FROM probes UNION ALL SELECT layer_idx, 'AUC', auc FROM probes) SELECT layer_idx, measure, value, round(value - 0.5::DOUBLE, 6) AS above_chance, value BETWEEN 0.4 AND 1.0 AS on_axis FROM bars")
+def fg3_probe_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.probe_bars(pb3_probe_results(spark, sf)), "above_chance")
+
+
 @query(f"{WITH_SCORED}, {_bins_sql('isd', 'isd_score', 30, 'is_correct')}")
 def fg4_isd_by_correctness(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.histogram(_isd(spark, sf), "isd_score", 30, "is_correct"), "low")

@@ -57,7 +57,7 @@ class Generator(Protocol):
 
 def echo(tasks: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: states the truth for even hashes, and nothing else for odd ones."""
-    even = F.crc32("task_id") % 2 == 0
+    even = F.substring(F.md5("task_id"), 32, 1).isin(*"02468ace")
     return tasks.withColumn("response", F.when(even, F.concat(F.lit("The answer is "), "ground_truth", F.lit("."))).otherwise("I am not sure."))
 
 
