@@ -103,3 +103,12 @@ def test_empty_documents(spark, sf, tmp_path):
     for _, stage in p.STAGES:
         assert stage(spark, none, sf).count() == 0
     assert decontaminate.leaks(none, none.selectExpr("doc_id as item_id", "text")).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark, sf):
+    a, b, c = (" ".join(f"{m}{i}" for i in range(40)) for m in ("aa", "bb", "cc"))
+    leak = f"{c} {ITEM} {c}"
+    docs = spark.createDataFrame([row(*x) for x in [(1, a), (1, b), (1, b), (2, b + " more"), (3, ""), (3, None), (None, a), (None, leak), (5, leak), (5, c)]], DOCS)
+    left = lambda df: sorted([(r.doc_id, r.text) for r in df.collect()], key=str)
+    assert left(p.keep_one_of_each_group(spark, docs, sf)) == sorted([(1, a), (1, b), (3, ""), (3, None), (None, a), (None, leak), (5, leak), (5, c)], key=str)
+    assert left(p.drop_leaks(spark, docs, sf)) == sorted([(1, a), (1, b), (1, b), (2, b + " more"), (3, ""), (3, None), (None, a), (5, c)], key=str)
