@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_top_k, jaccard_join, language_id, quality, secret_scan, substring_dedup, toxicity, url_lists
+from . import byte_bpe, decontaminate, exact_top_k, filter_audit, jaccard_join, language_id, quality, secret_scan, substring_dedup, toxicity, url_lists
 from .shared import documents
 
 
@@ -55,6 +55,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(spark, documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +78,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_exact_top_k": exact_top_k.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
