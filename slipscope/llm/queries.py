@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_top_k, filter_audit, jaccard_join, language_id, mixing, quality, secret_scan, substring_dedup, toxicity, url_lists
+from . import byte_bpe, decontaminate, exact_top_k, filter_audit, jaccard_join, language_id, mixing, quality, secret_scan, substring_dedup, toxicity, url_lists, vector_codes
 from .shared import documents
 
 
@@ -59,6 +59,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(spark, documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(mixing.mix(documents(spark, sf_dir)))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
     "op13_mixing": op13_mixing,
 }
 
@@ -84,5 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_exact_top_k": exact_top_k.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
     "op13_mixing": mixing.ORACLE,
 }
