@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text
+from ..sources.store import staged
 from . import composite, stats
+from .selection import medians
 
 #: Chance, and the range of the axis, in the figure of probe accuracies.
 PROBE_CHANCE, PROBE_AXIS = 0.5, (0.4, 1.0)
@@ -40,23 +42,28 @@ def showcase(scored: DataFrame, judged: DataFrame, n: int = N_EXAMPLES) -> DataF
 
 
 def summary(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Overall (with the Kruskal-Wallis test of domains) and by domain."""
-    test = stats.kruskal_test(scored, "domain", "pei_score").select(F.col("h").alias("kruskal_h"), F.col("p").alias("kruskal_p"))
-    return stats.overall_summary(scored).crossJoin(F.broadcast(test)), stats.domain_summary(scored)
+    """Overall (with median and the Kruskal-Wallis test of domains) and by domain: one pass for all sums, one ranking for the rest."""
+    rows = stats.summary_rows(scored)
+    both, ranked = staged(stats.summaries(rows), "summaries"), stats.ranking(rows, "domain", "pei_score")
+    test = stats.kruskal_test(ranked).select(F.col("h").alias("kruskal_h"), F.col("p").alias("kruskal_p"))
+    whole = both.where("overall").crossJoin(F.broadcast(stats.median_of(ranked))).crossJoin(F.broadcast(test))  # one row each
+    return whole.select("n", "mean", "std", "median", "isd_lcs_correlation", "kruskal_h", "kruskal_p"), both.where("not overall").select("domain", "n", "mean", "std")
 
 
 def extended_summary(extended: DataFrame, excluded: DataFrame, isd: DataFrame) -> DataFrame:
     """Totals, exclusions, both composites, their correlation and the separation of the calibrated scores; one row."""
-    both = extended.agg(
+    rows = staged(extended.select("pei_score", "pei_multiplicative", "isd_score", "lcs_score"), "extended")
+    both = rows.agg(
         F.count("*").alias("n_errors"),
-        F.avg("pei_score").alias("additive_mean"), F.stddev_samp("pei_score").alias("additive_std"), F.median("pei_score").alias("additive_median"),
+        F.avg("pei_score").alias("additive_mean"), F.stddev_samp("pei_score").alias("additive_std"),
         F.avg("pei_multiplicative").alias("multiplicative_mean"), F.stddev_samp("pei_multiplicative").alias("multiplicative_std"),
         stats.correlation("isd_score", "lcs_score").alias("isd_lcs_correlation"), stats.correlation("pei_score", "pei_multiplicative").alias("composition_correlation"),
     )
     gone = excluded.agg(F.coalesce(F.sum("n_excluded"), F.lit(0)).alias("n_excluded"))
     mean = lambda ok: F.avg(F.when(F.col("is_correct") == ok, F.col("isd_score")))
     apart = isd.agg(mean(True).alias("isd_mean_correct"), mean(False).alias("isd_mean_errors"))
-    return both.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(apart))
+    middle = medians(rows, "pei_score").withColumnRenamed("pei_score", "additive_median")
+    return both.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(apart))
 
 
 def probe_bars(results: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import average_ranks
+from ..sources.store import staged
+from .ranks import average_ranks, running_total
+from .selection import medians
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -26,31 +29,78 @@ def correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def _figures(score: str) -> list[Column]:
+    return [F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), correlation("isd_score", "lcs_score").alias("isd_lcs_correlation")]
+
+
+def summary_rows(df: DataFrame, score: str = "pei_score") -> DataFrame:
+    """The columns that summaries are about, written once for all of them."""
+    return staged(df.select("domain", "isd_score", "lcs_score", score), "summary")
+
+
 def overall_summary(df: DataFrame, score: str = "pei_score") -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.median(score).alias("median"), correlation("isd_score", "lcs_score").alias("isd_lcs_correlation"))
+    rows = summary_rows(df, score)
+    # One row each.
+    out = rows.agg(*_figures(score)).crossJoin(F.broadcast(medians(rows, score).withColumnRenamed(score, "median")))
+    return out.select("n", "mean", "std", "median", "isd_lcs_correlation")
 
 
 def domain_summary(df: DataFrame, score: str = "pei_score") -> DataFrame:
     return df.groupBy("domain").agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"))
 
 
-def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
+def summaries(rows: DataFrame, score: str = "pei_score") -> DataFrame:
+    """The figures of the whole set (``overall``) and of each domain, in one pass."""
+    sets = rows.groupingSets([["domain"], []], "domain").agg(*_figures(score), F.grouping("domain").alias("_all"))
+    return sets.select("domain", (F.col("_all") == 1).alias("overall"), "n", "mean", "std", "isd_lcs_correlation")
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """A column as a table of its values: by (group, value) with ``n`` rows, and by value with ``n`` and ``upto``, the rows up to it."""
+
+    cells: DataFrame
+    values: DataFrame
+
+
+def ranking(df: DataFrame, group: str, value: str) -> Ranking:
+    """The ranking of the rows that have a value: one pass over them serves all that depends on ranks."""
+    some = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("group"), F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    cells = staged(some, "cells")
+    values = cells.groupBy("value").agg(F.sum("n").alias("n"))
+    return Ranking(cells, running_total(values, [F.col("value")], F.col("n"), "upto"))
+
+
+def kruskal_of(ranked: Ranking) -> DataFrame:
     """One row: n, groups and H with correction for ties; H is null for one group or all values tied."""
-    rows = average_ranks(df.select(group, value).where(F.col(value).isNotNull()), value, "_rank")
-    ties = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    sums = rows.groupBy(group).agg(F.count("*").cast("double").alias("c"), F.sum("_rank").alias("r")).agg(F.sum("c").alias("n"), F.count("*").alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("c")).alias("s"))
-    one = sums.crossJoin(F.broadcast(ties))  # one row each
+    values = ranked.values.select("value", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    each = ranked.cells.join(values, "value").groupBy("group").agg(F.sum("n").cast("double").alias("c"), F.sum(F.col("n") * F.col("rank")).alias("r"))
+    sums = each.agg(F.sum("c").alias("n"), F.count("*").alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("c")).alias("s"))
+    t = F.col("n").cast("double")
+    one = sums.crossJoin(F.broadcast(ranked.values.agg(F.sum(t * t * t - t).alias("ties"))))  # one row each
     n = F.col("n")
     plain = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     share = 1 - F.col("ties") / (n * n * n - n)
     return one.select(n.cast("long").alias("n"), F.col("groups"), F.when((F.col("groups") > 1) & (F.col("ties") < n * n * n - n), plain / share).alias("h"))
 
 
-def kruskal_test(df: DataFrame, group: str, value: str) -> DataFrame:
-    """kruskal with its p; the statistic is one row, the tail is computed on the driver."""
-    r = kruskal(df, group, value).first()
+def median_of(ranked: Ranking) -> DataFrame:
+    """One row, ``median``: the least values up to which the middle ranks are reached."""
+    whole = ranked.values.agg(F.sum("n").alias("_n"))
+    reached = lambda k: F.min(F.when(F.col("upto") >= k, F.col("value")))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    return ranked.values.crossJoin(F.broadcast(whole)).agg((reached(low) / 2 + reached(high) / 2).alias("median"))  # one row joined
+
+
+def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
+    return kruskal_of(ranking(df, group, value))
+
+
+def kruskal_test(ranked: Ranking) -> DataFrame:
+    """kruskal_of with its p; the statistic is one row, the tail is computed on the driver."""
+    r = kruskal_of(ranked).first()
     p = chi2_tail(r.h, r.groups - 1) if r.h is not None else None
-    return df.sparkSession.createDataFrame([(r.n, r.groups, r.h, p)], "n long, groups long, h double, p double")
+    return ranked.cells.sparkSession.createDataFrame([(r.n, r.groups, r.h, p)], "n long, groups long, h double, p double")
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:

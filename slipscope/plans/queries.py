@@ -484,7 +484,7 @@ def an3_domain_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_kruskal_sql('c_mktsegment', 'c_acctbal', 'customer')} SELECT n, groups, round(h, 6) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM kh")
 def an4_kruskal(spark: SparkSession, sf: str) -> DataFrame:
     rows = inputs.table(spark, sf, "customer").select("c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
-    return rounded(stats.kruskal_test(rows, "c_mktsegment", "c_acctbal"), "h", "p")
+    return rounded(stats.kruskal_test(stats.ranking(rows, "c_mktsegment", "c_acctbal")), "h", "p")
 
 
 @query(f"{WITH_SCORED}, x AS (SELECT count(*) AS n_excluded FROM ({_LONG}) WHERE NOT long) SELECT count(*) AS n_errors, round(avg(pei_score), 6) AS additive_mean, round(stddev_samp(pei_score), 6) AS additive_std, round(median(pei_score), 6) AS additive_median, round(avg(pei_multiplicative), 6) AS multiplicative_mean, round(stddev_samp(pei_multiplicative), 6) AS multiplicative_std, round(corr(isd_score, lcs_score), 6) AS isd_lcs_correlation, round(corr(pei_score, pei_multiplicative), 6) AS composition_correlation, any_value(n_excluded) AS n_excluded, round((SELECT avg(isd_score) FROM isd WHERE is_correct), 6) AS isd_mean_correct, round((SELECT avg(isd_score) FROM isd WHERE NOT is_correct), 6) AS isd_mean_errors FROM ranked, x")
