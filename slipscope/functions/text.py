@@ -1,8 +1,8 @@
-"""Text columns: trimming, splitting, cleaning, counting. All are JVM expressions; a null text counts as empty."""
+"""Text columns: trimming, splitting, cleaning. All are JVM expressions; a null text counts as empty."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,21 +32,6 @@ def blank_words(c: Column) -> Column:
     return F.filter(F.split(text(c), r"(?U)\s+"), lambda w: w != "")
 
 
-def letters(c: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores."""
-    return F.array_remove(F.split(F.lower(text(c)), r"[^\p{L}\p{N}_]+"), "")
-
-
-def tokens(c: Column) -> Column:
-    """Words and single punctuation marks."""
-    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
-
-
-def count_tokens(c: Column) -> Column:
-    """How many tokens: each word is cut down to its first letter, white space to nothing."""
-    return F.char_length(F.regexp_replace(c, r"([\p{L}\p{N}_])[\p{L}\p{N}_]*|\s+", "$1")).cast("long")
-
-
 def sentences(c: Column) -> Column:
     """Parts between line ends, and after . ! ? with white space; blank ones are dropped."""
     marked = F.regexp_replace(text(c), r"([.!?])\s+", "$1\u0001")
@@ -72,32 +57,3 @@ def normalise(c: Column) -> Column:
     out = F.regexp_replace(out, r"(?U)\b(a|an|the)\b", " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}_\s]", "")
     return strip(F.regexp_replace(out, r"\s+", " "))
-
-
-def occurrences(c: Column, phrase: str) -> Column:
-    """Non-overlapping occurrences of a phrase; texts without it aren't rewritten."""
-    less = F.char_length(c) - F.char_length(F.replace(c, F.lit(phrase), F.lit("")))
-    return F.when(F.contains(c, F.lit(phrase)), F.floor(less / len(phrase))).otherwise(0).cast("long")
-
-
-def count_markers(c: Column, markers: Iterable[str], fix_case: bool = False) -> Column:
-    """Markers in the lower-case text, each counted on its own: single words as words, phrases as substrings.
-
-    The markers' own case stays unless ``fix_case``: one with a capital never matches.
-    """
-    markers = [m.lower() if fix_case else m for m in markers]
-    singles, phrases = [m for m in markers if " " not in m], [m for m in markers if " " in m]
-    low = F.lower(text(c))
-    total = F.size(F.filter(letters(c), lambda w: w.isin(singles))).cast("long") if singles else F.lit(0).cast("long")
-    for p in phrases:
-        total = total + occurrences(low, p)
-    return total
-
-
-def markers_in_words(words: Column, low: Column, markers: Iterable[str]) -> Column:
-    """count_markers for a text whose words and lower-case form are at hand."""
-    singles, phrases = [m for m in markers if " " not in m], [m for m in markers if " " in m]
-    total = F.size(F.filter(words, lambda w: w.isin(singles))).cast("long")
-    for p in phrases:
-        total = total + occurrences(low, p)
-    return total

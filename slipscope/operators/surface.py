@@ -1,19 +1,26 @@
 """Text features of a response, and the confidence score made of them.
 
+One pass over the texts, in Arrow batches, gives the counts of a text: its sentences, what its markers are, whether words
+repeat. Ratios and the score are expressions over those counts. No shuffle.
+
 Sentences, tokens and passives come from rules: . ! ? and line ends close sentences; a passive is a form of "be", at
 most one adverb or "not", and a participle. These approximate a parser; marker counts and the score are exact. A
-parser can take their place through ``analyse``.
+parser can take their place as ``analyser``: any function from a text to an ``Analysis``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import count_tokens, let, letters, markers_in_words, sentences, text
+from ..functions.markers import lowered, matcher, strings
+from ..functions.text import WHITE
 
 #: Weights of the score's parts.
 WEIGHTS = {
@@ -28,100 +35,142 @@ WEIGHTS = {
     "no_repetition": 0.5,
 }
 
-
-def _count(words: Column, *wanted: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*wanted))).cast("long")
-
-
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part.cast("double") / F.nullif(whole, F.lit(0)).cast("double")).otherwise(0.5)
-
-
-def is_passive(words: Column) -> Column:
-    """Whether lower-case words hold a passive. Only sentences with a form of "be" are looked at place by place."""
-    participle = lambda w: w.rlike("ed$") | w.isin(lexicon.PARTICIPLES)
-    between = lambda w: (w == "not") | w.rlike("ly$")
-    at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    here = F.exists(
-        F.sequence(F.lit(0), F.size(words)),
-        lambda i: at(i).isin(lexicon.BE) & (participle(at(i + 1)) | (between(at(i + 1)) & participle(at(i + 2)))),
-    )
-    return F.when(F.exists(words, lambda w: w.isin(lexicon.BE)), here).otherwise(False)
-
-
-def analyse(df: DataFrame, response: str = "response") -> DataFrame:
-    """df with what the features need, each computed once: lower-case text, sentences, their words, all words, tokens."""
-    out = df.withColumn("_low", F.lower(text(response))).withColumn("_sents", sentences(F.col(response)))
-    # No word reaches beyond its sentence: the text's words are those of its sentences.
-    out = out.withColumn("_sent_words", F.transform("_sents", letters))
-    # Trigrams are over words, punctuation left out; tokens of a sentence include punctuation.
-    return out.withColumn("_words", F.flatten("_sent_words")).withColumn("_sent_tokens", count_tokens(F.array_join("_sents", "\n")))
-
-
-ARTICLES = ["the", "a", "an"]
-MARKERS = [m for ms in (lexicon.BOOSTERS, lexicon.HEDGES, lexicon.DIRECT_EVIDENCE, lexicon.INDIRECT_EVIDENCE, lexicon.CONCESSIVES) for m in ms if " " not in m]
-
-
-def marked(df: DataFrame) -> DataFrame:
-    """df with the words that any count is about: one pass over all words, and the counts go over these few."""
-    return df.withColumn("_marked", F.filter("_words", lambda w: w.isin(MARKERS + ARTICLES)))
-
-
-def epistemic(df: DataFrame, fix_case: bool = False) -> DataFrame:
-    fixed = lambda ms: [m.lower() for m in ms] if fix_case else ms
-    out = df.withColumn("n_boosters", markers_in_words(F.col("_marked"), F.col("_low"), fixed(lexicon.BOOSTERS)))
-    out = out.withColumn("n_hedges", markers_in_words(F.col("_marked"), F.col("_low"), fixed(lexicon.HEDGES)))
-    return out.withColumn("booster_ratio", _ratio(F.col("n_boosters"), F.col("n_boosters") + F.col("n_hedges")))
-
-
-def evidentiality(df: DataFrame) -> DataFrame:
-    out = df.withColumn("n_direct_evidence", markers_in_words(F.col("_marked"), F.col("_low"), lexicon.DIRECT_EVIDENCE))
-    out = out.withColumn("n_indirect_evidence", markers_in_words(F.col("_marked"), F.col("_low"), lexicon.INDIRECT_EVIDENCE))
-    singles = [m for m in lexicon.DIRECT_EVIDENCE + lexicon.INDIRECT_EVIDENCE if " " not in m]
-    phrases = [m for m in lexicon.DIRECT_EVIDENCE + lexicon.INDIRECT_EVIDENCE if " " in m]
-
-    def bald(pair: Column) -> Column:
-        out = F.exists(pair["_sent_words"], lambda w: w.isin(singles))
-        for p in phrases:
-            out = out | F.contains(pair["low"], F.lit(p))
-        return ~out
-
-    # Zipped first: a column named inside a lambda may be computed anew for each element.
-    pairs = F.arrays_zip(F.col("_sent_words"), F.transform("_sents", F.lower).alias("low"))
+_END = re.compile(r"([.!?])[ \t\n\x0b\f\r]+")
+#: Stands between sentences; no word holds it.
+_BREAK = "\x01"
+_NO_WORD = re.compile(rf"[^\w{_BREAK}]+")
+_MARK = re.compile(rf"[^\w{_BREAK} \t\n\x0b\f\r]")
+# The same two classes for texts whose characters have one byte each in Latin-1: what becomes a blank, and what is a mark.
+_BYTES = [chr(i) for i in range(256)]
+_BLANKED = bytes(32 if _NO_WORD.fullmatch(c) else i for i, c in enumerate(_BYTES))
+_MARKS = bytes(i for i, c in enumerate(_BYTES) if _MARK.fullmatch(c))
+_BE, _PARTICIPLES = frozenset(lexicon.BE), frozenset(lexicon.PARTICIPLES)
+#: Trigrams looked at before it is asked whether any came twice.
+TRIGRAMS = 4_096
+
+
+class Analysis(NamedTuple):
+    """What a parser, or the rules, tell about a text."""
+
+    sentences: list[str]
+    #: Lower-case words of the whole text, without punctuation.
+    words: list[str]
+    #: Words and punctuation marks.
+    n_tokens: int
+    #: Sentences with a passive.
+    n_passives: int
+
+
+def bare_words(low: str) -> list[str]:
+    """Runs of letters, digits and underscores, with breaks as words of their own."""
+    try:
+        low = low.encode("latin-1").translate(_BLANKED).decode("latin-1")
+    except UnicodeEncodeError:
+        low = _NO_WORD.sub(" ", low)
+    return low.replace(_BREAK, f" {_BREAK} ").split(" ")
+
+
+def n_marks(text: str) -> int:
+    """Characters that are neither word nor white space."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return len(_MARK.findall(text))
+    return len(raw) - len(raw.translate(None, _MARKS))
+
+
+def passives(words: list[str]) -> int:
+    """How many sentences hold a passive; words with breaks."""
+    participle = lambda w: w.endswith("ed") or w in _PARTICIPLES
+    ahead, n, upto = [*words, _BREAK, ""], 0, -1
+    for i in [i for i, w in enumerate(words) if w in _BE]:
+        # A break is neither a participle nor an adverb, so nothing reaches into the next sentence.
+        if i > upto and (participle(ahead[i + 1]) or ((ahead[i + 1] == "not" or ahead[i + 1].endswith("ly")) and participle(ahead[i + 2]))):
+            n += 1
+            upto = ahead.index(_BREAK, i)
+    return n
+
+
+def rules(text: str) -> Analysis:
+    """Sentences and what is in them, by rules."""
+    parts = _END.sub(rf"\1{_BREAK}", text).replace("\n", _BREAK).split(_BREAK)
+    sentences = [p for p in (p.strip(WHITE) for p in parts) if p]
+    whole = _BREAK.join(sentences)
+    low = whole.lower()
+    words = [w for w in bare_words(low) if w]
+    n_passives = passives(words)
+    if len(sentences) > 1:
+        words = [w for w in words if w != _BREAK]
+    n_words = len(words)
+    if len(whole) != len(low):
+        # Some letters become two in lower case, and those may part words.
+        n_words = sum(w not in ("", _BREAK) for w in bare_words(whole))
+    return Analysis(sentences, words, n_words + n_marks(whole), n_passives)
+
+
+def repeats(words: list[str]) -> bool:
+    """Whether three words in a row come twice."""
+    seen: set[tuple[str, ...]] = set()
+    for lo in range(0, len(words) - 2, TRIGRAMS):
+        hi = min(lo + TRIGRAMS, len(words) - 2)
+        seen.update(zip(words[lo:hi], words[lo + 1 : hi + 1], words[lo + 2 : hi + 2]))
+        if len(seen) < hi:
+            return True
+    return False
+
+
+#: What is counted in a text.
+COUNTS = ["n_boosters", "n_hedges", "n_direct_evidence", "n_indirect_evidence", "n_concessive_structures", "n_bald_assertions", "n_first_hedges", "n_the", "n_articles", "n_questions", "n_passives", "n_tokens", "n_sentences", "n_repeated"]
+
+
+def counts(text: str, analyser: Callable[[str], Analysis] = rules, fix_case: bool = False) -> tuple[int, ...]:
+    """COUNTS of a text. The text is passed over once for all markers; its sentences only where a count is about them."""
+    sets = matcher((lowered(lexicon.BOOSTERS, fix_case), lowered(lexicon.HEDGES, fix_case), tuple(lexicon.DIRECT_EVIDENCE), tuple(lexicon.INDIRECT_EVIDENCE), tuple(lexicon.CONCESSIVES)))
+    boosters, hedges, direct, indirect, concessives = sets.counts(text.lower())
+    sentences, words, n_tokens, n_passives = analyser(text)
+    bald = len(sentences)
     # A text without any marker of evidence has none in its sentences.
-    some = F.col("n_direct_evidence") + F.col("n_indirect_evidence") > 0
-    return out.withColumn("n_bald_assertions", F.when(some, F.size(F.filter(pairs, bald))).otherwise(F.size("_sents")).cast("long"))
-
-
-def discourse(df: DataFrame) -> DataFrame:
-    first = F.get("_sents", F.lit(0))
-    hedges = markers_in_words(F.get("_sent_words", F.lit(0)), F.lower(first), lexicon.HEDGES)
-    out = df.withColumn("claim_in_first_sentence", F.coalesce(hedges == 0, F.lit(False)))
-    out = out.withColumn("n_concessive_structures", markers_in_words(F.col("_marked"), F.col("_low"), lexicon.CONCESSIVES))
-    words = F.col("_marked")
-    return out.withColumn("definite_reference_ratio", _ratio(_count(words, "the"), _count(words, *ARTICLES)))
+    if direct or indirect:
+        evidence = matcher((tuple(lexicon.DIRECT_EVIDENCE + lexicon.INDIRECT_EVIDENCE),))
+        bald -= sum(evidence.counts(s.lower())[0] > 0 for s in sentences)
+    first = matcher((tuple(lexicon.HEDGES),)).counts(sentences[0].lower())[0] if sentences and hedges else 0
+    the = words.count("the")
+    return (
+        boosters, hedges, direct, indirect, concessives, bald, first, the, the + words.count("a") + words.count("an"),
+        sum(s.endswith("?") for s in sentences), n_passives, n_tokens, len(sentences), int(repeats(words)),
+    )
 
 
-def syntax(df: DataFrame) -> DataFrame:
-    n = F.size("_sents")
-    out = df.withColumn("declarative_ratio", _ratio(F.size(F.filter("_sents", lambda s: ~F.endswith(s, F.lit("?")))), n))
-    return out.withColumn("active_voice_ratio", _ratio(F.size(F.filter("_sent_words", lambda w: ~is_passive(w))), n))
+def counted(response: Column, analyser: Callable[[str], Analysis] = rules, fix_case: bool = False) -> Column:
+    """A struct of COUNTS."""
 
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in COUNTS) + ">")
+    def scan(texts: pa.Array) -> pa.Array:
+        rows = [counts(t, analyser, fix_case) for t in strings(texts)]
+        columns = zip(*rows) if rows else [()] * len(COUNTS)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
 
-def fluency(df: DataFrame) -> DataFrame:
-    out = df.withColumn("n_sentences", F.size("_sents").cast("long"))
-    out = out.withColumn("mean_sentence_length", F.when(F.col("n_sentences") > 0, F.col("_sent_tokens").cast("double") / F.nullif("n_sentences", F.lit(0))).otherwise(0.0))
-    return out.withColumn("has_repetition", repeated_trigram(F.col("_words")))
+    return scan(response)
 
 
-def repeated_trigram(words: Column) -> Column:
-    """Whether three words in a row come twice. Trigrams are told apart by 64 bits."""
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part.cast("double") / F.nullif(whole, F.lit(0)).cast("double")).otherwise(0.5)
 
-    def look(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(w) >= 4, F.size(F.array_distinct(grams)) < F.size(w) - 2).otherwise(False)
 
-    return let(words, look)
+def derived(df: DataFrame) -> DataFrame:
+    """df (with COUNTS) with the features that follow from them."""
+    n, boosters = F.col("n_sentences"), F.col("n_boosters")
+    return df.withColumns(
+        {
+            "booster_ratio": _ratio(boosters, boosters + F.col("n_hedges")),
+            "claim_in_first_sentence": (n > 0) & (F.col("n_first_hedges") == 0),
+            "definite_reference_ratio": _ratio(F.col("n_the"), F.col("n_articles")),
+            "declarative_ratio": _ratio(n - F.col("n_questions"), n),
+            "active_voice_ratio": _ratio(n - F.col("n_passives"), n),
+            "mean_sentence_length": F.when(n > 0, F.col("n_tokens").cast("double") / F.nullif(n, F.lit(0))).otherwise(0.0),
+            "has_repetition": F.col("n_repeated") > 0,
+        }
+    )
 
 
 def confidence(df: DataFrame) -> DataFrame:
@@ -149,9 +198,7 @@ FEATURES = [
 ]
 
 
-def features(responses: DataFrame, analyser: Callable[[DataFrame], DataFrame] = analyse) -> DataFrame:
+def features(responses: DataFrame, analyser: Callable[[str], Analysis] = rules, fix_case: bool = False) -> DataFrame:
     """task_id, domain, all features and lcs_score. Narrow: no shuffle."""
-    out = marked(analyser(responses))
-    for step in (epistemic, evidentiality, discourse, syntax, fluency, confidence):
-        out = step(out)
-    return out.select("task_id", "domain", *FEATURES)
+    rows = responses.select("task_id", "domain", counted(F.col("response"), analyser, fix_case).alias("_c")).select("task_id", "domain", "_c.*")
+    return confidence(derived(rows)).select("task_id", "domain", *FEATURES)

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, lexicon, text
+from ..functions import answers, lexicon, markers, text
 from ..operators import composite, judging, probes, ranks, reports, stats, surface
 from ..sources import store, tasks
 from . import inputs, oracles
@@ -286,7 +286,8 @@ _SETS = {"boosters": lexicon.BOOSTERS, "hedges": lexicon.HEDGES, "direct": lexic
 
 @query(f"SELECT task_id, {', '.join(oracles.markers(oracles.letters('response'), 'lower(response)', ms) + ' AS n_' + k for k, ms in _SETS.items())} FROM {inputs.sql(inputs.RESPONSES)}")
 def lx1_count_markers(spark: SparkSession, sf: str) -> DataFrame:
-    return _responses(spark, sf).select("task_id", *[text.count_markers(F.col("response"), ms).alias(f"n_{k}") for k, ms in _SETS.items()])
+    found = markers.count_sets(F.col("response"), {f"n_{k}": ms for k, ms in _SETS.items()})
+    return _responses(spark, sf).select("task_id", found.alias("found")).select("task_id", "found.*")
 
 
 def _features(*columns: str, ratios: tuple[str, ...] = ()) -> tuple[str, Query]:

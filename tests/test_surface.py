@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from slipscope.functions import lexicon as x
 from slipscope.functions import sql
-from slipscope.functions.text import count_markers, sentences
+from slipscope.functions.markers import count_markers
+from slipscope.functions.text import sentences
 from slipscope.operators import surface as s
 
 
