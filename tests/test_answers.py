@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from slipscope.functions import answers as a
 from slipscope.functions import text as t
+from slipscope.functions.lexicon import CUES, OPENINGS, SPLITTERS
 from slipscope.operators import judging
 
 
@@ -73,3 +76,33 @@ def test_judging_of_nothing_has_null_rates(spark):
     assert [r.total for r in judging.judged_counts(judged).collect()] == [1, 1]
     empty = judging.judged_counts(judged.limit(0)).collect()
     assert all(r.correct_rate is None for r in empty)
+
+
+WHITE = t.WHITE
+PARTS = [*CUES, *(o.title() for o in OPENINGS), *SPLITTERS, "\n", " ", ": ", ".", "!", "Mount Elbrus", "it is K2", "one two three four five six", "İ", "é", "\t", "IN SHORT", ";", ","]
+
+
+def plain_factual(response):
+    whole = (response or "").strip(WHITE)
+    lines = [x for x in (x.strip(WHITE) for x in whole.split("\n")) if x]
+    found = [x[x.lower().find(c) + len(c) :].lstrip(":,; ").strip(WHITE).rstrip(".!,;:") for x in lines for c in CUES if c in x.lower()]
+    out = next((x for x in found if x), lines[0] if lines else "")
+    for o in OPENINGS:
+        if out.lower().startswith(o):
+            out = out[len(o) :].strip(WHITE)
+    out = out.rstrip(".!,;:")
+    used = next((s for s in SPLITTERS if s in out.lower()), None)
+    if used and len(out.split()) > 6:
+        tail = out[out.lower().find(used) + len(used) :].strip(WHITE).rstrip(".")
+        if 1 <= len(tail.split()) <= len(out.split()) - 2:
+            out = tail
+    return out.strip(WHITE)
+
+
+def test_factual_answers_equal_a_plain_version(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice(PARTS) + r.choice(["", " "]) for _ in range(r.randrange(12))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = {x.i: x.y for x in df.select("i", a.factual(F.col("x")).alias("y")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == plain_factual(x), repr(x)
