@@ -103,13 +103,23 @@ def kruskal_test(ranked: Ranking) -> DataFrame:
     return ranked.cells.sparkSession.createDataFrame([(r.n, r.groups, r.h, p)], "n long, groups long, h double, p double")
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve from tie-averaged ranks; 0.5 if there is one class only."""
-    rows = average_ranks(df.select(label, score), score, "_rank")
-    pos, neg = F.count_if(F.col(label) == 1).cast("double"), F.count_if(F.col(label) != 1).cast("double")
-    sums = rows.agg(pos.alias("p"), neg.alias("q"), F.sum(F.when(F.col(label) == 1, F.col("_rank")).otherwise(0.0)).alias("r"))
+def auc(df: DataFrame, label: str, score: str, by: str | None = None) -> DataFrame:
+    """Area under the ROC curve, ties counting half; 0.5 if there is one class only. ``by``: for each group, in the same pass.
+
+    For each value, its ones meet the others below it: running totals of the others over (group, value).
+    """
+    is_one = F.col(label) == 1
+    cells = df.where(F.col(score).isNotNull()).groupBy((F.col(by) if by else F.lit(0)).alias("_group"), F.col(score).alias("_value")).agg(F.count_if(is_one).alias("_ones"), F.count_if(~is_one).alias("_others"))
+    upto = running_total(cells, [F.col("_group"), F.col("_value")], F.col("_others"), "_upto")
+    ones, others = F.sum("_ones").cast("double"), F.sum("_others").cast("double")
+    met = F.sum(F.col("_ones") * (F.col("_upto") - F.col("_others") / 2.0))
+    sums = upto.groupBy("_group").agg(ones.alias("p"), others.alias("q"), met.alias("met"), F.min(F.col("_upto") - F.col("_others")).alias("before"))
     p, q = F.col("p"), F.col("q")
-    return sums.select(F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0.0))).otherwise(0.5).alias("auc"))
+    area = F.when((p > 0) & (q > 0), (F.col("met") - p * F.col("before")) / F.nullif(p * q, F.lit(0.0))).otherwise(0.5).alias("auc")
+    if by:
+        return sums.select(F.col("_group").alias(by), area)
+    # One row, also of an empty table.
+    return sums.select(area).agg(F.coalesce(F.max("auc"), F.lit(0.5)).alias("auc"))
 
 
 def separation(df: DataFrame, score: str = "isd_score") -> DataFrame:

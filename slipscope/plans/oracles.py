@@ -167,7 +167,7 @@ def sigmoid_ctes(name: str, source: str) -> str:
 
 
 def probe_ctes(calibrated: bool) -> str:
-    """CTEs up to "probes" (layer_idx, accuracy, auc, n_train, n_test), with slices of embeddings as layers."""
+    """CTEs up to "probes" (layer_idx, accuracy, auc, n_train, n_test) and "scores" (task_id, y, layer_idx, p), with slices of embeddings as layers."""
     inner = split_ctes("cal", "(SELECT task_id, y FROM outer_split WHERE NOT held)", 43, 0.15) if calibrated else "cal AS (SELECT task_id, y, false AS held FROM outer_split WHERE NOT held)"
     sums = ", ".join(f"sum(e * z[{i}])" for i in range(1, 14))
     shift = sigmoid_ctes("platt", "(SELECT l, margin, y FROM margins WHERE part = 'calibration')") if calibrated else "platt AS (SELECT DISTINCT l, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM margins)"
@@ -182,10 +182,11 @@ fits AS (SELECT DISTINCT l, 0 AS i, list_transform(range(0, 13), lambda k: 0.0::
   SELECT l, i + 1, list_transform(range(1, 14), lambda k: w[k] - v2[k]), v2 FROM (
     SELECT l, i, w, list_transform(range(1, 14), lambda k: 0.8::DOUBLE * v[k] + 0.5::DOUBLE / n * (g[k] + CASE WHEN k < 13 THEN w[k] ELSE 0 END)) AS v2 FROM (
       SELECT l, i, w, v, count(*) AS n, [{sums}] AS g FROM (SELECT *, 1 / (1 + exp(-list_dot_product(w, z))) - y AS e FROM fits JOIN (SELECT * FROM vecs WHERE part = 'fit') USING (l) WHERE i < {DESCENT}) GROUP BY l, i, w, v))),
-margins AS (SELECT l, y, part, list_dot_product(w, z) AS margin FROM vecs JOIN (SELECT l, w FROM fits WHERE i = {DESCENT}) USING (l)),
+margins AS (SELECT l, task_id, y, part, list_dot_product(w, z) AS margin FROM vecs JOIN (SELECT l, w FROM fits WHERE i = {DESCENT}) USING (l)),
 {shift},
 tested AS (SELECT l, y, a * margin + b AS margin FROM margins JOIN platt USING (l) WHERE part = 'test'),
 ranks AS (SELECT l, y, margin, {average_rank('margin', 'l')} AS r FROM tested),
+scores AS (SELECT task_id, y, CAST(l AS INT) AS layer_idx, 1 / (1 + exp(-(a * margin + b))) AS p FROM margins JOIN platt USING (l)),
 probes AS (SELECT CAST(l AS INT) AS layer_idx, round(avg(CASE WHEN (margin > 0) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy,
   round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)), 6) AS auc,
   (SELECT count(*) FROM parts WHERE part = 'fit') AS n_train, count(*) AS n_test FROM ranks GROUP BY l)"""

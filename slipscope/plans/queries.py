@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,12 +164,11 @@ def io10_activations(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_activations(spark, path).select("task_id", "layer_idx", F.round(F.col("act")[0].cast("double"), 6).alias("first"))
 
 
-@query()
+@query(f"WITH RECURSIVE {oracles.probe_ctes(False)} SELECT task_id, layer_idx, round(p, 6) AS p FROM scores")
 def io11_probes_saved(spark: SparkSession, sf: str) -> DataFrame:
     acts, path = _activations(spark, sf), store.new_path(spark, "probes")
     probes.save(probes.train(acts.drop("label"), _labels(spark, sf)), path)
-    parts = [p.probability(acts.where(F.col("layer_idx") == p.layer)).select("task_id", "layer_idx", F.round("p", 6).alias("p")) for p in probes.load(spark, path)]
-    return reduce(DataFrame.unionByName, parts)
+    return probes.probabilities(acts, probes.table(spark, probes.load(spark, path))).select("task_id", "layer_idx", F.round("p", 6).alias("p"))
 
 
 @query(f"{WITH_SCORED} SELECT task_id, round(pei_score, 6) AS pei_score, round(pei_multiplicative, 6) AS pei_multiplicative FROM ranked")
@@ -350,7 +347,12 @@ def _internal(spark: SparkSession, sf: str, calibrated: bool) -> DataFrame:
     return out.select("task_id", "is_correct", *layers, F.round("isd_score", 6).alias("isd_score"))
 
 
-@query()
+def _internal_sql(calibrated: bool) -> str:
+    layers = ", ".join(f"round(max(p) FILTER (layer_idx = {i}), 6) AS layer_{i}" for i in range(5))
+    return f"WITH RECURSIVE {oracles.probe_ctes(calibrated)} SELECT task_id, y = 1 AS is_correct, {layers}, round(avg(p), 6) AS isd_score FROM scores GROUP BY task_id, y"
+
+
+@query(_internal_sql(False))
 def is1_internal_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _internal(spark, sf, False)
 
@@ -368,7 +370,7 @@ def cb2_platt(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")
 
 
-@query()
+@query(_internal_sql(True))
 def cb3_calibrated_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _internal(spark, sf, True)
 

@@ -2,7 +2,6 @@ import json
 import random
 
 import pytest
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from slipscope.operators import probes
@@ -137,8 +136,10 @@ def test_chat_prompt(spark):
 
 
 def test_probes_scale_by_the_population_deviation(spark):
-    df = spark.createDataFrame([([float(x)], float(x > 2)) for x in (0, 1, 3, 8)], "act array<double>, label double").withColumn("features", array_to_vector("act"))
-    model = probes._fit(df, df)
-    mean, deviation = 3.0, (38 / 4) ** 0.5
-    got = sorted(r.x[0] for r in model.transform(df).select(vector_to_array("scaled").alias("x")).collect())
-    assert got == pytest.approx([(x - mean) / deviation for x in (0, 1, 3, 8)])
+    df = spark.createDataFrame([([float(x)], float(x > 2), 7) for x in (0, 1, 3, 8)], "act array<double>, label double, layer_idx int")
+    (mean, deviation, n), want = probes.scales(df)[7], (38 / 4) ** 0.5
+    assert (mean[0], deviation[0], n) == (pytest.approx(3.0), pytest.approx(want), 4)
+    w = probes.fitted(df, probes.scales(df))[7]
+    fit = probes.Probe(7, mean.tolist(), deviation.tolist(), w[:-1].tolist(), float(w[-1]))
+    got = sorted(r.margin for r in probes.margins(df, probes.table(spark, [fit])).collect())
+    assert got == pytest.approx([(x - 3.0) / want * w[0] + w[1] for x in (0, 1, 3, 8)])
