@@ -53,21 +53,43 @@ BASE16 = "0123456789abcdef"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that a running total takes at a time.
+BLOCK = 64
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array<bigint>, join(..) of all up to it: block by block, so that no array grows element by element."""
+
+    def grown(block: Column) -> Column:
+        more = lambda done, v: F.array_append(done, F.when(F.size(done) == 0, v).otherwise(join(F.element_at(done, F.lit(-1)), v)))
+        return F.aggregate(block, F.array().cast("array<bigint>"), more)
+
+    def whole(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / BLOCK).cast("int") - 1), lambda b: grown(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+        return _let(blocks, lambda bs: _let(grown(F.transform(bs, lambda b: F.element_at(b, F.lit(-1)))), lambda upto: F.flatten(F.transform(bs, lambda b, i: F.when(i == 0, b).otherwise(_let(F.get(upto, i - 1), lambda u: F.transform(b, lambda v: join(u, v))))))))
+
+    return _let(values, lambda x: F.when(F.size(x) == 0, x).otherwise(whole(x)))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def located(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """Spans of all matches from left to right, by the lengths of the matches and of what lies between; with the group's value."""
+    length = lambda c: F.char_length(c).cast("bigint")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    checked = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.transform(found, lambda m, i: F.struct(F.char_length(F.get(between, i)).cast("bigint").alias("gap"), F.char_length(m).cast("bigint").alias("size"), F.get(checked, i).alias("value")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>").alias("spans"))
-
-    def step(state: Column, p: Column) -> Column:
-        begin = state["at"] + p["gap"]
-        end = begin + p["size"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
-
-    return F.aggregate(parts, start, step)["spans"]
+    # One part more lies between than there are matches: the last pair has no match.
+    parts = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(length(gap).alias("gap"), length(m).alias("size"), m.alias("value")))
+    if group:
+        parts = F.zip_with(parts, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda p, v: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), v.alias("value")))
+    span = lambda p, end: F.struct((end - p["size"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value"))
+    return _let(F.filter(parts, lambda p: p["size"].isNotNull()), lambda ps: F.zip_with(ps, running(F.transform(ps, lambda p: p["gap"] + p["size"]), _sum), span))
 
 
 def _without_value(spans: Column) -> Column:
@@ -96,21 +118,34 @@ def has_run(text: Column) -> Column:
     return text.rlike("(?<!%s)%s" % (RUN.split("{")[0], RUN.replace(",", "")))
 
 
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans (start, kind, end, value) that overlap none of the others (start, kind, end). Both come in order of start.
+
+    In one order of start, a span is clear if no other up to it ends after its start, and the next begins at its end or
+    later.
+    """
+    row = lambda s, own, value: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["kind"].alias("kind"), s["end"].alias("end"), value.alias("value"))
+    both = F.array_sort(F.concat(F.transform(others, lambda s: row(s, 1, F.lit(None).cast("string"))), F.transform(spans, lambda s: row(s, 2, s["value"]))))
+    far = F.lit(2**62).cast("bigint")
+
+    def clear(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: F.when(r["own"] == 1, r["end"]).otherwise(-far)), F.greatest)
+        begins = F.reverse(running(F.reverse(F.transform(rows, lambda r: F.when(r["own"] == 1, r["start"]).otherwise(far))), F.least))
+        told = F.zip_with(rows, F.zip_with(ends, begins, lambda e, b: F.struct(e.alias("reached"), b.alias("next"))), lambda r, n: F.struct(r.alias("r"), n.alias("n")))
+        kept = F.filter(told, lambda t: (t["r"]["own"] == 2) & (t["n"]["reached"] <= t["r"]["start"]) & (t["n"]["next"] >= t["r"]["end"]))
+        return F.transform(kept, lambda t: F.struct(t["r"]["start"].alias("start"), t["r"]["kind"].alias("kind"), t["r"]["end"].alias("end"), t["r"]["value"].alias("value")))
+
+    return _let(both, clear)
+
+
 def random_candidates(text: Column, base: Column) -> Column:
     """Runs of two kinds of characters or more that overlap no base span, with their values."""
     classes = lambda v: sum((v.rlike(c).cast("int") for c in ("[a-z]", "[0-9]")), v.rlike("[A-Z]").cast("int"))
-    found = F.filter(
-        located(text, RUN, 3),
-        lambda s: (classes(s["value"]) >= 2) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
+    runs = F.filter(located(text, RUN, 3), lambda s: classes(s["value"]) >= 2)
+    found = _let(runs, lambda rs: _let(base, lambda b: F.when((F.size(rs) == 0) | (F.size(b) == 0), rs).otherwise(clear_of(rs, b))))
     return F.when(has_run(text), found).otherwise(F.array().cast(_FOUND))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, by a rational Chebyshev fit of the complementary error function."""
     x = F.abs(z) / math.sqrt(2)
@@ -246,16 +281,42 @@ def digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def _gaps(spans: Column) -> Column:
+    """Where text lies outside sorted spans: (start, end) before each mark, and an open one at the end. Overlapping spans share a mark."""
+    zero = F.lit(0).cast("bigint")
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+
+    def cut(reached: Column) -> Column:
+        # A mark begins where nothing before reaches, and ends where nothing after it begins earlier.
+        ahead = F.transform(spans, lambda s, i: pair(s["start"], F.get(reached, i - 1)))
+        starts = F.transform(F.filter(ahead, lambda p: p["end"].isNull() | (p["start"] >= p["end"])), lambda p: p["start"])
+        behind = F.transform(reached, lambda e, i: pair(e, F.get(spans, i + 1)["start"]))
+        ends = F.transform(F.filter(behind, lambda p: p["end"].isNull() | (p["end"] >= p["start"])), lambda p: p["start"])
+        return F.zip_with(F.concat(F.array(zero), ends), starts, pair)
+
+    return _let(running(F.transform(spans, lambda s: s["end"]), F.greatest), cut)
+
+
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span, and what overlapping spans cover together, replaced by a mark."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        cut = F.substr(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        fresh = s["start"] >= state["at"]
-        more = F.concat(state["parts"], F.when(fresh, F.array(cut, F.lit(mark))).otherwise(F.array().cast("array<string>")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("parts"))
-
-    done = F.aggregate(spans, start, step)
-    rest = F.substr(text, (done["at"] + 1).cast("int"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["parts"], ""), rest))
+    """The text with every span, and what overlapping spans cover together, replaced by a mark.
+
+    What lies between the marks is cut in two steps, stretches of many pieces first, since each cut counts characters from
+    the beginning of what it cuts.
+    """
+
+    def piece(of: Column, gap: Column, origin: Column) -> Column:
+        begin = (gap["start"] - origin + 1).cast("int")
+        return F.when(gap["end"].isNull(), F.substr(of, begin)).otherwise(F.substr(of, begin, (gap["end"] - gap["start"]).cast("int")))
+
+    def joined(gaps: Column) -> Column:
+        many = F.ceil(F.sqrt(F.size(gaps).cast("double"))).cast("int")
+
+        def stretch(own: Column) -> Column:
+            origin = F.get(own, F.lit(0))["start"]
+            region = piece(text, F.struct(origin.alias("start"), F.element_at(own, F.lit(-1))["end"].alias("end")), F.lit(0).cast("bigint"))
+            return _let(region, lambda r: _let(origin, lambda o: F.transform(own, lambda g: piece(r, g, o))))
+
+        stretches = F.transform(F.sequence(F.lit(0), F.ceil(F.size(gaps) / many).cast("int") - 1), lambda b: _let(F.slice(gaps, b * many + 1, many), stretch))
+        return F.array_join(F.flatten(stretches), mark)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, lambda s: _let(_gaps(s), joined)))

@@ -1,10 +1,12 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -126,3 +128,60 @@ def test_all_spans_equal_brute_force(spark):
     want = all_spans(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert 50 < sum(k == 3 for x in want for _, k, _ in x) < 250
+
+
+def test_running_totals_of_any_length(spark):
+    r = random.Random(8)
+    lists = [[r.randrange(-9, 9) for _ in range(n)] for n in (0, 1, 2, q.BLOCK - 1, q.BLOCK, q.BLOCK + 1, 3 * q.BLOCK, 1000)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, x array<bigint>")
+    got = {x.i: (x.s, x.m) for x in df.select("i", q.running(F.col("x"), lambda a, b: a + b).alias("s"), q.running(F.col("x"), F.greatest).alias("m")).collect()}
+    for i, x in enumerate(lists):
+        assert got[i] == (list(itertools.accumulate(x)), list(itertools.accumulate(x, max)))
+
+
+def covered(text, spans, mark):
+    """The text with runs of overlapping spans replaced, place by place."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_any_spans_equals_a_plain_version(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(200):
+        text = "".join(r.choice("abé🙂\n") for _ in range(r.choice([1, 5, 40, 300])))
+        spans = sorted((a, r.randrange(3), min(len(text), a + r.randrange(1, 12))) for a in (r.randrange(len(text)) for _ in range(r.choice([0, 1, 3, 30]))))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame([(i, t, [{"start": a, "kind": k, "end": b} for a, k, b in s]) for i, t, s in rows], f"i int, t string, s {q.SPAN}")
+    got = {x.i: x.y for x in df.select("i", q.redacted(F.col("t"), F.col("s"), "#").alias("y")).collect()}
+    assert got == {i: covered(t, [(a, b) for a, _, b in s], "#") for i, t, s in rows}
+
+
+def test_runs_clear_of_others_equal_a_plain_version(spark):
+    r = random.Random(10)
+    rows = []
+    for i in range(200):
+        some = lambda n: sorted((a, a + r.randrange(1, 9)) for a in (r.randrange(60) for _ in range(r.randrange(n))))
+        rows.append((i, some(6), some(9)))
+    spans = lambda xs, kind: [{"start": a, "kind": kind, "end": b, "value": f"{a}"} for a, b in xs]
+    df = spark.createDataFrame([(i, spans(x, 3), [{k: v for k, v in s.items() if k != "value"} for s in spans(y, 0)]) for i, x, y in rows], f"i int, x {q._FOUND}, y {q.SPAN}")
+    got = {v.i: [(s.start, s.end) for s in v.z] for v in df.select("i", q.clear_of(F.col("x"), F.col("y")).alias("z")).collect()}
+    assert got == {i: [(a, b) for a, b in x if not any(c < b and a < d for c, d in y)] for i, x, y in rows}
+
+
+def test_time_grows_with_the_spans_of_a_text(spark):
+    def took(n):
+        key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:30].upper()
+        text = "\n".join(f"token=abcdefgh{i} é {key(i)}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        found = q.scan(df).select(F.size("spans").alias("n"), F.char_length(q.redacted(F.col("text"), F.col("spans"))).alias("left")).first()
+        assert found.n >= n and found.left < len(text)
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(32_000) < took(1_000) + 25
