@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Strata that get the full number of rows in a sample, and the least number for each where there are more.
 STRATA, LEAST_EACH = 64, 8
+#: Short texts of a stratum with which its long ones are left out.
+ENOUGH_SHORT = 100
 
 
 class Sparse:
@@ -90,10 +93,28 @@ def sampled(labels: DataFrame, key: str, stratum: str, each: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, sample: DataFrame, longest: int) -> DataFrame:
-    """The sample with whole texts of at most ``longest`` bytes. The sample is bounded, so it goes to every task.
+    """The sample with texts as bytes, ``long`` ones cut to ``longest`` bytes. The sample is bounded, so it goes to every task.
 
-    Of several texts with one id, the least counts, so that what comes back is bounded too.
+    Of several texts with one id, the least counts, short ones first, so that what comes back is bounded too. ``settled``
+    decides which long ones are used.
     """
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
+    cut = F.struct((F.octet_length("text") > longest).alias("long"), F.substring(F.encode("text", "UTF-8"), 1, longest).alias("text"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", cut.alias("_text"))
     mine = texts.join(F.broadcast(sample), "doc_id")
-    return mine.groupBy(*[c for c in mine.columns if c != "text"]).agg(F.min("text").alias("text"))
+    return mine.groupBy(*sample.columns).agg(F.min("_text").alias("_text")).select(*sample.columns, "_text.*")
+
+
+def settled(frame: pd.DataFrame, stratum: str, enough: int = ENOUGH_SHORT) -> pd.DataFrame:
+    """The rows to fit on: long texts, of which only the beginning is at hand, step in where a stratum has too few short ones.
+
+    The rows that stay also stand for those of their stratum that don't.
+    """
+    short = (~frame.long).groupby(frame[stratum]).transform("sum")
+    kept = frame[~frame.long | (short < enough)]
+    whole, left = frame.groupby(stratum).weight.sum(), kept.groupby(stratum).weight.sum()
+    return kept.assign(weight=kept.weight * kept[stratum].map(whole / left))
+
+
+def uncut(text: bytes) -> bytes:
+    """Without the rest of a letter that a cut has split."""
+    return bytes(text).decode("utf-8", "ignore").encode()

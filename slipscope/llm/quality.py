@@ -6,12 +6,12 @@ marks of words (same as the one before, all capitals, with symbols, very long).
 gets its expected grade and the tail probability of reaching the selection grade.
 
 The model is fitted in one task on a bounded sample of labelled rows: about SAMPLE_EACH texts of each grade (fewer
-where there are more than 64 grades), none longer than SAMPLE_BYTES bytes, weighted back to the grades' shares. Scoring reads all
-documents and whole texts.
+where there are more than 64 grades), weighted back to the grades' shares. Texts longer than SAMPLE_BYTES bytes are used where
+their grade has fewer than 100 short ones, and only their beginning is. Scoring reads all documents and whole texts.
 
 Defined cases: a null text counts as an empty one and has no features (the thresholds alone decide); with fewer than
 two grades there is nothing to learn and every document gets the only grade (0 if none) with tail probability 1;
-repeated labels of a document count once, labels without id or grade not at all; repeated rows are scored each for
+repeated labels of a document count once, labels without id or with a grade that is null or not a finite number not at all; repeated rows are scored each for
 itself; an empty table gives an empty one.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .fitting import Sparse, labelled_sample, minimised, sampled, sigmoid
+from .fitting import Sparse, labelled_sample, minimised, sampled, settled, sigmoid, uncut
 from .shared import bounded_batches, frugal, text_portions
 
 #: Texts of each grade that the fit may see, and their greatest length in bytes.
@@ -150,12 +150,13 @@ def fit(texts: list[bytes], ratings: np.ndarray, weights: np.ndarray) -> Ordinal
 
 
 def learn(docs: DataFrame, labels: DataFrame, grade: str = "quality", each: int = SAMPLE_EACH) -> Ordinal:
-    ratings = labels.select("doc_id", F.col(grade).cast("double").alias("grade"))
+    value = F.col(grade).cast("double")
+    ratings = labels.select("doc_id", value.alias("grade")).where(F.abs("grade") < float("inf"))
     sample = labelled_sample(docs, sampled(ratings, "doc_id", "grade", each), SAMPLE_BYTES)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "text"])
-        model = fit(tb.encoded(frame.text.tolist()), frame.grade.to_numpy(), frame.weight.to_numpy())
+        frame = settled(frame.sort_values(["doc_id", "text"]), "grade")
+        model = fit([uncut(t) for t in frame.text], frame.grade.to_numpy(), frame.weight.to_numpy())
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()

@@ -8,7 +8,8 @@ the sample: seen in LEAST_TEXTS texts and LEAST_SHARE of them or more, and their
 differing from that of texts without by LEAST_Z standard errors. Near copies in the sample count once.
 
 The models are fitted in one task on a bounded sample of labelled rows: about SAMPLE_EACH texts of each combination of
-categories, none longer than SAMPLE_BYTES bytes, weighted back. Scoring reads all documents and whole texts.
+categories, weighted back. Texts longer than SAMPLE_BYTES bytes are used where their combination has fewer than 100 short
+ones, and only their beginning is. Scoring reads all documents and whole texts.
 
 Defined cases: a null text counts as an empty one; a category with only one value in the sample has a constant
 probability near its share; repeated labels of a document count once, labels with nulls not at all; repeated rows are
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .fitting import Sparse, labelled_sample, minimised, sampled, sigmoid
+from .fitting import Sparse, labelled_sample, minimised, sampled, settled, sigmoid, uncut
 from .shared import bounded_batches, frugal, text_portions
 
 SAMPLE_EACH, SAMPLE_BYTES = 2_000, 16_384
@@ -175,9 +176,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], eac
     sample = labelled_sample(docs, sampled(marks, "doc_id", "_all", each), SAMPLE_BYTES)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "text"])
+        frame = settled(frame.sort_values(["doc_id", "text"]), "_all")
         y = frame[[f"_c{i}" for i in range(len(names))]].to_numpy()
-        return pd.DataFrame({"chain": [pickle.dumps(fit(tb.encoded(frame.text.tolist()), frame.doc_id.to_numpy(), y, frame.weight.to_numpy(), names))]})
+        return pd.DataFrame({"chain": [pickle.dumps(fit([uncut(t) for t in frame.text], frame.doc_id.to_numpy(), y, frame.weight.to_numpy(), names))]})
 
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "chain binary").collect()
     return pickle.loads(fitted[0].chain) if fitted else Chain([Link(n, np.empty(0, np.int64), np.empty(0), np.zeros(j), -30.0) for j, n in enumerate(names)])

@@ -103,3 +103,39 @@ def test_no_stratum_is_cut_and_many_are_bounded(spark):
     assert 7000 < sum(r.weight for r in rows) < 11_000
     fine = fitting.sampled(labels, "id", "rating", 20).collect()
     assert 1000 < len(fine) < 1600 and 7500 < sum(r.weight for r in fine) < 10_500
+
+
+def test_a_grade_of_long_texts_only_is_learned_and_grades_that_are_no_numbers_are_not(spark):
+    r = random.Random(4)
+    word = {0.0: "poor", 1.0: "fair", 2.0: "fine"}
+    docs, labels = [], []
+    for i in range(150):
+        g = float(i % 3)
+        n = 4_000 if g == 2 else 40
+        docs.append((i, " ".join(word[g] if r.random() < 0.7 else r.choice(list(word.values())) for _ in range(n)) + " é" * 9, None))
+        labels.append((i, g))
+    labels += [(0, float("nan")), (1, float("inf")), (5, None), (None, 1.0)]
+    df = spark.createDataFrame(docs, DOCS)
+    model = quality.learn(df, spark.createDataFrame([x for x in labels if x[0] != 0 or x[1] != x[1]], "doc_id long, quality double"))
+    assert model.grades == [0.0, 1.0, 2.0]
+    out = {x.doc_id: x.expected_grade for x in quality.score(df, model, from_grade=2.0).collect()}
+    assert all(x == x for x in out.values())
+    assert sum(abs(out[i] - i % 3) < 0.8 for i in range(150)) > 140
+
+
+def test_a_category_of_long_texts_only_is_learned(spark):
+    r = random.Random(5)
+    docs = [(i, " ".join(["idiot" if i % 2 and r.random() < 0.1 else r.choice(["the", "and", "esha", "torin"]) + str(r.randrange(50)) for _ in range(3_500 if i % 2 else 60)]), None) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100)], LABELS)
+    out = {x.doc_id: x.p_toxic for x in toxicity.judged(spark.createDataFrame(docs, DOCS), labels).collect()}
+    assert all((out[i] >= 0.5) == bool(i % 2) for i in range(100, 120))
+
+
+def test_rows_that_stay_stand_for_those_that_do_not():
+    import pandas as pd
+
+    frame = pd.DataFrame({"g": [0] * 200 + [1] * 10, "long": [False] * 150 + [True] * 50 + [False] * 3 + [True] * 7, "weight": [2.0] * 210})
+    out = fitting.settled(frame, "g")
+    assert len(out) == 160 and not out[out.g == 0].long.any()
+    assert out.groupby("g").weight.sum().to_dict() == {0: 400.0, 1: 20.0}
+    assert fitting.uncut("aé".encode()[:2]) == b"a" and fitting.uncut(b"") == b""
