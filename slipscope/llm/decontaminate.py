@@ -11,9 +11,10 @@ Matches of a document and an item on neighbouring diagonals (each at most SHIFT
 and deleted words leave them) make a passage; its slots must be consistent both ways: an item's value, where it comes
 again, must have the same counterpart in the document, and no other value of the item may have that counterpart. A passage of a share COVERAGE of the item's windows, with consistent slots,
 is a leak; ``changed`` tells that slots differ, so that the question was re-parameterised. Where all matches of a passage
-contradict each other, the longest chain of them in the order of both texts is tried, then each diagonal alone.
+contradict each other, the longest chain of them in the order of both texts is tried, then each diagonal alone, and at last
+the windows whose slots are unchanged: a copy in which one value of several alike is replaced is still a copy.
 
-A filter of fixed size (2 ** FILTER_BITS bits, made from all benchmark windows) goes to every task and keeps nearly
+A filter made from all benchmark windows (16 bits for each, 2 ** MOST_BITS at most) goes to every task and keeps nearly
 all other windows out of the join; what it lets through wrongly, the join drops. Windows that hold one part in HOT_SHARE
 of all matches or more (at most HOT_SHARE of them, so their list goes to every task) are salted by document.
 
@@ -38,7 +39,7 @@ from . import textbatch as tb
 from .shared import bounded_batches, frugal, text_portions, written
 
 WINDOW, LEAST_LITERALS, COVERAGE, SHIFT = 8, 4, 0.3, 8
-FILTER_BITS, SALT, HOT_SHARE = 24, 32, 1_000
+LEAST_BITS, MOST_BITS, SALT, HOT_SHARE = 20, 28, 32, 1_000
 
 # Names of units.
 UNITS = """
@@ -141,7 +142,7 @@ def _found(texts: list[bytes], lengths: list[int], bits: np.ndarray | None) -> I
                 continue
             hashes = template_windows(w, h, kind, k)
             if bits is not None:
-                slot = hashes & U((1 << FILTER_BITS) - 1)
+                slot = hashes & U(8 * len(bits) - 1)
                 ok &= (bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & np.uint8(1) == 1
             at = np.flatnonzero(ok)
             owner = np.searchsorted(w.first, at, "right") - 1
@@ -211,8 +212,14 @@ def _accepted(matches: Iterable[Match], least: float) -> tuple[int, bool] | None
     return (len(places), any(a != b for a, b in counterpart.items())) if len(places) >= least else None
 
 
+def _unchanged(matches: Iterable[Match], least: float) -> tuple[int, bool] | None:
+    """Windows of the item that are met with their own values; told as changed, since others contradict each other."""
+    places = {place for _, place, pairs in matches if all(mine == other for mine, other in pairs)}
+    return (len(places), True) if len(places) >= least else None
+
+
 def passage(matches: list[Match], least: float) -> tuple[int, bool] | None:
-    """The same for matches of neighbouring diagonals: all, else the longest chain, else the best diagonal alone."""
+    """The same for matches of neighbouring diagonals: all, else the longest chain, else the best diagonal alone, else what is unchanged."""
     found = _accepted(matches, least) or _accepted(in_order(matches), least)
     if found:
         return found
@@ -220,7 +227,7 @@ def passage(matches: list[Match], least: float) -> tuple[int, bool] | None:
     for m in matches:
         diagonals[m[0] - m[1]].append(m)
     alone = [x for x in (_accepted(d, least) for d in diagonals.values()) if x]
-    return min(alone, key=lambda x: (-x[0], x[1])) if alone else None
+    return min(alone, key=lambda x: (-x[0], x[1])) if alone else _unchanged(matches, least)
 
 
 def _chained(met: DataFrame, coverage: float) -> DataFrame:
@@ -250,12 +257,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: f
     spark = docs.sparkSession
     items = benchmark_windows(benchmark)
     lengths = sorted(r.k for r in items.select("k").distinct().collect())
-    # At most 2 ** (FILTER_BITS - 6) words of 64 bits come back, however large the benchmark.
-    slot = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = items.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect()
-    filter_ = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words:
-        filter_[r.word] = r.bits
+    # At most 2 ** (MOST_BITS - 6) words of 64 bits come back, as columns, however large the benchmark.
+    n_bits = min(MOST_BITS, max(LEAST_BITS, (16 * items.count()).bit_length()))
+    slot = F.col("hash").bitwiseAND(F.lit((1 << n_bits) - 1))
+    words = items.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    filter_ = np.zeros(1 << (n_bits - 6), np.int64)
+    filter_[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(filter_.view(np.uint8))
     bounded_batches(spark)
 
