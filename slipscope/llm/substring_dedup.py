@@ -42,8 +42,8 @@ WINDOW, GROUP = 20, 5
 RUN_BYTES = 4 << 20
 #: Bytes of text whose fingerprints make one bucket, and those that a task takes at a time.
 BUCKET_BYTES, TASK_BYTES = 24 << 20, 16 << 20
-#: Shares of the documents at whose ids a table is cut into batches.
-CUTS = (0.25,)
+#: Shares of the documents at whose ids a table is cut into batches: from the third on, the index is compacted first.
+CUTS = (0.125, 0.25)
 U = np.uint64
 
 _ROW = "kind int, run long, bucket int, n int, a binary, b binary, c binary, d binary, e binary"

@@ -91,3 +91,12 @@ def test_an_empty_batch_changes_nothing(spark, tmp_path):
     kept, index = s.Index.create(spark, f"file://{tmp_path}/index").merge(df.limit(0))
     assert kept.count() == 0
     assert [r.n_removed for r in index.merge(df)[0].collect()] == [38]
+
+
+def test_the_query_compacts_its_index(spark, monkeypatch):
+    calls = []
+    compact = s.Index.compact
+    monkeypatch.setattr(s.Index, "compact", lambda self: calls.append(len(self.meta["anchors"])) or compact(self))
+    rows = [(i, f"{'again ' * (i % 7)}" + " ".join(f"w{(i * 13 + k) % 90}" for k in range(60))) for i in range(80)]
+    got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in s.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows) and calls == [2]
