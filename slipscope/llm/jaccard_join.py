@@ -199,7 +199,7 @@ def counted(rows: DataFrame, buckets: int) -> tuple[Classes, float, DataFrame]:
 
     Counters are sent in sorted runs by bucket, without the bits that the bucket tells: a few bytes each. There are
     several times as many counters as shingles at any size, so shared ones only make a few more shingles frequent. The
-    sets' names go the same way, dealt out by hash.
+    sets' names go the same way, a row for each document, dealt out evenly.
     """
     size = max(1, min(MOST_SLOTS, (BUCKET_BYTES // 6 // SHINGLES_A_SLOT) * buckets) // buckets)
     row = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary"
@@ -219,7 +219,9 @@ def counted(rows: DataFrame, buckets: int) -> tuple[Classes, float, DataFrame]:
         k1, k2 = (np.array([k[i] for k in keys], "<i8") for i in (0, 1))
         marks = np.array([signature(s) for s in held], f"S{SIGNATURE_BYTES}")
         columns = [np.array([i or 0 for i in ids], "<i8"), k1, k2, np.where(known, 1, -1) * (np.array([len(s) for s in held], "<i8") + 1)]
-        for b, part in _parts((tb.mix(k1.astype(np.uint64)) % U(buckets)).astype(np.int64)):
+        # Dealt by id and place, not by set: copies of one text, and empty ones, are spread.
+        spread = tb.mix(columns[0].astype(np.uint64) + np.arange(len(ids), dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+        for b, part in _parts((spread % U(buckets)).astype(np.int64)):
             out.append((1, b, *(_planes(c[part]) for c in columns), marks[part].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 5))], names=names)
 

@@ -97,3 +97,15 @@ def test_clashing_numbers_of_sets_are_told_apart(spark, monkeypatch):
     rows = corpus(6)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_copies_and_empty_texts_are_spread_over_buckets(spark, monkeypatch):
+    tables = {}
+    written = j.written
+    monkeypatch.setattr(j, "written", lambda df, name="stage", **o: tables.setdefault(name, written(df, name, **o)))
+    copy = "one text that comes again and again in this table of documents"
+    rows = [(i if i % 2 else None, copy if i % 3 == 0 else "" if i % 3 == 1 else f"{i} some other words of a text number {i}") for i in range(4000)]
+    classes, mean, sets = j.counted(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 32)
+    sizes = {r.bucket: r["count"] for r in tables["counted"].where("kind = 1").groupBy("bucket").count().collect()}
+    assert sum(sizes.values()) == 4000 == sets.count() and len(sizes) == 32
+    assert max(sizes.values()) < 2 * 4000 / 32
