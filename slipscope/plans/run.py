@@ -66,6 +66,13 @@ def generate(task_rows: DataFrame, generator: Generator = echo) -> DataFrame:
     return out.withColumn("response", clean_response(F.col("response")))
 
 
+#: What each stage reads, and the tables that it writes; the last of them is stamped when all are written.
+READS = {"judge": ["responses.jsonl"], "probe": ["judged.jsonl", "activations"], "linguistic": ["judged.jsonl"], "pei": ["isd_scores.jsonl", "linguistic_features.jsonl", "judged.jsonl"]}
+WRITES = {"judge": ["judged.jsonl"], "probe": ["probes", "probe_results.jsonl", "isd_scores.jsonl"], "linguistic": ["linguistic_features.jsonl"], "pei": ["pei_scores.jsonl"]}
+#: Settings that a stage's result depends on.
+SETTINGS = {"judge": [], "probe": ["test_split", "random_seed", "calibrated"], "linguistic": [], "pei": ["isd_weight", "lcs_weight", "normalisation", "min_words"]}
+
+
 class Run:
     """Stages over tables in one folder."""
 
@@ -79,6 +86,20 @@ class Run:
         rows = tasks.load_tasks(sources, self.config.n_samples)
         store.write_jsonl(generate(rows, generator), f"{self.dir}/responses.jsonl")
 
+    def _made_of(self, name: str) -> str:
+        read = lambda f: self.spark.read.text(f"{self.dir}/{f}") if f.endswith(".jsonl") else self.spark.read.parquet(f"{self.dir}/{f}")
+        return store.fingerprint(self.spark, [read(f) for f in READS[name]], stage=name, **{k: getattr(self.config, k) for k in SETTINGS[name]})
+
+    def once(self, name: str) -> bool:
+        """Run a stage, unless its tables were made of the same files with the same settings; whether it ran."""
+        wanted = self._made_of(name)
+        last = f"{self.dir}/{WRITES[name][-1]}"
+        if store.stamped(self.spark, last) == wanted:
+            return False
+        getattr(self, name)()
+        store.stamp(self.spark, last, wanted)
+        return True
+
     def judge(self) -> DataFrame:
         store.write_jsonl(judging.judge(self._read("responses", store.RESPONSES)), f"{self.dir}/judged.jsonl")
         return judging.judged_counts(self._read("judged", store.JUDGED))
@@ -132,6 +153,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--source", action="append", default=[], metavar="DOMAIN=PATH", help="questions of a domain, by which generation begins")
     parser.add_argument("--calibrated", action="store_true", help="calibrate the probes")
     parser.add_argument("--min-words", type=int, help="leave out shorter responses")
+    parser.add_argument("--resume", action="store_true", help="leave out stages whose tables were made of the same files with the same settings")
     given = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     config = Config.from_yaml(given.config) if given.config else Config()
@@ -145,6 +167,8 @@ def main(args: list[str] | None = None) -> None:
             run.generate(sources(spark, given.source))
         elif stage == "analyse":
             run.report()
+        elif given.resume:
+            run.once(stage)
         else:
             getattr(run, stage)()
 

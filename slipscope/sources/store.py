@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import archive
+
 _STRINGS = ["task_id", "domain", "prompt", "ground_truth"]
 METADATA = "metadata STRUCT<aliases:ARRAY<STRING>, full_solution:STRING, correct_ending:STRING, label_idx:INT>"
 TASKS = ", ".join(f"{c} STRING" for c in _STRINGS) + f", {METADATA}"
@@ -105,13 +108,17 @@ def read_activations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("task_id", F.col("layer_idx").cast("int").alias("layer_idx"), "act")
 
 
-def import_npz(spark: SparkSession, path: str, task_ids: list[str]) -> DataFrame:
-    """Activations from an archive of arrays ``layer_<k>``, rows in the order of the ids. Read on the driver, for small archives."""
-    import numpy as np
+def import_npz(spark: SparkSession, path: str, task_ids: DataFrame | list[str]) -> DataFrame:
+    """Activations from an archive of arrays ``layer_<k>``, read by tasks in ranges of rows.
 
-    with np.load(path) as z:
-        rows = [(t, int(name.removeprefix("layer_")), [float(x) for x in row]) for name in z.files for t, row in zip(task_ids, z[name], strict=True)]
-    return spark.createDataFrame(rows, ACTIVATIONS)
+    task_ids: the ids in the order of the rows, as a list or as a table (row from 0, task_id). Another number of ids than
+    of rows is an error.
+    """
+    ids = task_ids if isinstance(task_ids, DataFrame) else spark.createDataFrame(list(enumerate(task_ids)), "row bigint, task_id string")
+    n = ids.count()
+    if wrong := {k: m for k, m in archive.lengths(path).items() if m != n}:
+        raise ValueError(f"{n} ids, but rows by layer: {wrong}")
+    return archive.read_npz(spark, path).join(ids.select("row", "task_id"), "row").select("task_id", "layer_idx", "act")
 
 
 def write_report(spark: SparkSession, path: str, **tables: DataFrame) -> None:
@@ -123,9 +130,59 @@ def write_report(spark: SparkSession, path: str, **tables: DataFrame) -> None:
     out.close()
 
 
-def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at the path if it was written to its end, else made and written first."""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+def fingerprint(spark: SparkSession, inputs: Iterable[DataFrame] = (), **settings: object) -> str:
+    """A digest of settings and of the folders that tables are read from: names, lengths and times of change of their files."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    wanted = sorted({f for df in inputs for f in df.inputFiles()})
+    files = []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in wanted}):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for s in at.getFileSystem(hadoop).listStatus(at):
+            if s.isFile() and s.getPath().getName()[0] not in "._":
+                files.append((folder, s.getPath().getName(), s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(json.dumps([wanted, sorted(files), settings], sort_keys=True, default=str).encode()).hexdigest()
+
+
+_STAMP = "_made_of"
+
+
+def stamped(spark: SparkSession, path: str) -> str | None:
+    """The fingerprint beside a table that was written to its end; None without either."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark, done = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (_STAMP, "_SUCCESS"))
+    system = mark.getFileSystem(hadoop)
+    if not system.exists(done) or not system.exists(mark):
+        return None
+    stream = system.open(mark)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def stamp(spark: SparkSession, path: str, value: str) -> None:
+    """Put a fingerprint beside a table. Writing the table anew removes it, so that what fails midway is made again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_STAMP}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(value.encode()))
+    out.close()
+
+
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], inputs: Iterable[DataFrame] | None = None, **settings: object) -> DataFrame:
+    """The table at the path if it was written to its end, else made and written first.
+
+    With inputs or settings, only if it was made of the same: of tables whose files have not changed, and with equal
+    settings.
+    """
+    told = inputs is not None or bool(settings)
+    if told:
+        wanted = fingerprint(spark, inputs or (), **settings)
+        ready = stamped(spark, path) == wanted
+    else:
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        ready = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+    if not ready:
         make().write.mode("overwrite").parquet(path)
+        if told:
+            stamp(spark, path, wanted)
     return spark.read.parquet(path)
