@@ -137,9 +137,13 @@ def _gradients(points: dict[int, np.ndarray], scaled: dict[int, tuple[np.ndarray
 def fitted(rows: DataFrame, scaled: dict[int, tuple[np.ndarray, np.ndarray, int]]) -> dict[int, np.ndarray]:
     """Weights and, last, intercept of each layer: half the squared norm of the weights against the sum of losses.
 
-    rows: layer_idx, act array<double>, label. The passes are those of the slowest layer, not the sum of all.
+    rows: layer_idx, act array<double>, label. The passes are those of the slowest layer, not the sum of all. A layer with
+    rows of one class only has no best intercept: it gets no weights, and the log-odds of that class with half a row
+    added to each.
     """
-    sizes = {r.layer_idx: r["count"] for r in rows.groupBy("layer_idx").count().collect()}
+    counts = {r.layer_idx: (r.ones, r.n) for r in rows.groupBy("layer_idx").agg(F.count_if(F.col("label") == 1).alias("ones"), F.count("*").alias("n")).collect()}
+    sizes = {k: n for k, (_, n) in counts.items()}
+    alone = {k: np.append(np.zeros(len(scaled[k][0])), math.log((ones + 0.5) / (n - ones + 0.5))) for k, (ones, n) in counts.items() if ones in (0, n)}
 
     def answer(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
         sums = rows.select("layer_idx", "label", "act").mapInArrow(_gradients(points, scaled), "layer_idx int, loss double, gradient array<double>")
@@ -151,7 +155,7 @@ def fitted(rows: DataFrame, scaled: dict[int, tuple[np.ndarray, np.ndarray, int]
             out[r.layer_idx] = (r.loss + float(ridge @ ridge) / 2) / n, (np.array(r.gradient) + ridge) / n
         return out
 
-    return together({k: lbfgs(np.zeros(len(scaled[k][0]) + 1)) for k in sizes}, answer)
+    return alone | together({k: lbfgs(np.zeros(len(scaled[k][0]) + 1)) for k in sizes.keys() - alone.keys()}, answer)
 
 
 def margins(rows: DataFrame, probes: DataFrame) -> DataFrame:

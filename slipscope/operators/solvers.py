@@ -37,7 +37,7 @@ def together(solvers: dict[Hashable, Solver], answer: Callable[[dict[Hashable, A
     return done
 
 
-def lbfgs(start: np.ndarray, tolerance: float = 1e-12, steps: int = 500, memory: int = 10) -> Solver:
+def lbfgs(start: np.ndarray, tolerance: float = 1e-12, steps: int = 300, memory: int = 10) -> Solver:
     """Least point of a smooth convex function: yields points, gets (value, gradient). Ends when no component of the gradient exceeds the tolerance."""
     x = start
     value, g = yield x
@@ -61,11 +61,15 @@ def lbfgs(start: np.ndarray, tolerance: float = 1e-12, steps: int = 500, memory:
         length = 1.0 if past else min(1.0, 1.0 / float(np.abs(g).sum()))
         while True:
             fresh, fresh_g = yield x + length * direction
-            # Near the end values differ by less than they are told apart; the gradient decides there.
-            if fresh <= value + 1e-4 * length * slope or (abs(fresh - value) <= 1e-13 * max(1.0, abs(value)) and np.abs(fresh_g).max() < np.abs(g).max()):
+            if fresh <= value + 1e-4 * length * slope:
                 break
+            if abs(fresh - value) <= 1e-13 * max(1.0, abs(value)):
+                # Near the end values differ by less than they are told apart; the gradient decides there.
+                if np.abs(fresh_g).max() < np.abs(g).max():
+                    break
+                return x
             length /= 2
-            if length < 1e-12:
+            if length < 1e-9:
                 return x
         moved, turned = length * direction, fresh_g - g
         if float(moved @ turned) > 1e-18:

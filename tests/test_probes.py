@@ -132,3 +132,26 @@ def test_solvers_meet_known_points():
     out = solvers.together({"a": solvers.lbfgs(np.array([-1.0, 1.0])), "b": solvers.lbfgs(np.zeros(3))}, lambda p: rounds.append(set(p)) or {k: (rosenbrock if k == "a" else bowl)(x) for k, x in p.items()})
     assert out["a"] == pytest.approx([1, 1], abs=1e-6) and out["b"] == pytest.approx([3, 3, 3])
     assert rounds[0] == {"a", "b"} and rounds[-1] == {"a"}
+
+
+def test_one_class_needs_no_search(spark, monkeypatch):
+    acts, labels = activations(spark, (0, 1), n=30)
+    monkeypatch.setattr(probes, "together", lambda solvers, answer: {} if not solvers else pytest.fail("searched"))
+    for y, sign in ((0.0, -1), (1.0, 1)):
+        fits = probes.train(acts, labels.withColumn("label", F.lit(y)))
+        assert len(fits) == 2 and all(set(p.weights) == {0.0} and p.intercept == pytest.approx(sign * math.log(24.5 / 0.5)) and (p.accuracy, p.auc) == (1.0, 0.5) for p in fits)
+
+
+def test_searches_end_where_nothing_can_be_told_apart():
+    r = np.random.default_rng(1)
+    for n, d, scale in ((40, 3, 1.0), (300, 80, 1e-3), (50, 200, 1.0)):
+        x = r.normal(size=(n, d)) * scale
+        y, asked = (x[:, 0] > 0).astype(float), []
+
+        def loss(w):
+            m = x @ w + r.normal() * 1e-15
+            off = 1 / (1 + np.exp(-m)) - y
+            return float(np.logaddexp(0, np.where(y == 1, -m, m)).mean() + w @ w / 2 / n), off @ x / n + w / n
+
+        w = solvers.together({0: solvers.lbfgs(np.zeros(d))}, lambda q: asked.append(1) or {0: loss(q[0])})[0]
+        assert np.abs(loss(w)[1]).max() < 1e-8 and len(asked) < 150
