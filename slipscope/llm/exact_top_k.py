@@ -3,7 +3,8 @@
 Vectors are sorted by length over the whole table, longest first, and packed into blocks of neighbours (a table in the
 shared folder); a block is cut into buckets. Queries are rows too. First, each meets the block of the longest vectors,
 which gives it a threshold, its k-th best product so far. Queries are then grouped by the length that a vector needs to
-reach their threshold, and each group meets, by a join, the blocks that hold a vector so long. Within a block, each
+reach their threshold, and each group meets, by a join, the blocks that hold a vector so long: blocks are dealt out by
+length, so that a group isn't even sent where none does. Within a block, each
 bucket has a local threshold for each query, the least cosine a vector there must have: above 1, the bucket is skipped;
 else the cheaper of two prunings is chosen, by length (the vectors long enough at a cosine of 1) or by coordinate (those
 whose normalised value at the query's largest coordinate is possible at that cosine). What is left is verified by exact
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .shared import bounded_batches, frugal, written
 BLOCK, BUCKET, GROUP, SPAN = 4_096, 512, 1_024, 16
 #: Copies of the longest block, by which queries meet it in many tasks.
 SALT = 64
+#: Ranges of length into which blocks are dealt, at most; a group of queries is sent to those only that can reach its need.
+TIERS = 256
 #: Whole numbers up to this are exact as doubles. Components from LARGE on are taken as whole numbers of Python.
 EXACT, LARGE = 2.0**53, 1e100
 
@@ -307,6 +311,41 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["dim", "block", "place", "query_id", "vec_id", "score", "strength"])
 
 
+def tiers(blocks: DataFrame, span: int) -> tuple[list[float], list[int]]:
+    """Lengths that part the blocks into tiers, longest first; and the spans of ``span`` blocks up to the end of each tier.
+
+    Blocks of one length are one tier, of as many spans as they fill.
+    """
+    n = min(TIERS, -(-blocks.count() // span))
+    bounds = blocks.agg(F.percentile_approx("top", [i / n for i in range(1, n)])).first()[0] if n > 1 else []
+    bounds = sorted(set(bounds or ()), reverse=True)
+    held = {r.tier: r["count"] for r in blocks.groupBy(_tier(F.col("top"), bounds).alias("tier")).count().collect()}
+    return bounds, list(accumulate(-(-held.get(t, 0) // span) for t in range(len(bounds) + 1)))
+
+
+def _tier(length: Column, bounds: list[float]) -> Column:
+    """How many bounds lie above a length."""
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > length)) if bounds else F.lit(0)
+
+
+def _reach(need: Column) -> Column:
+    """What the length of a vector must reach; a margin keeps rounding from passing by one that just does."""
+    return need * F.when(need > 0, 1 - 1e-9).otherwise(1 + 1e-9)
+
+
+def dealt(blocks: DataFrame, bounds: list[float], ends: list[int]) -> DataFrame:
+    """blocks with ``span``: those of their tier, by hash."""
+    tier = _tier(F.col("top"), bounds)
+    begin, n = (F.get(F.array(*map(F.lit, x)), tier) for x in ([0, *ends[:-1]], [b - a for a, b in zip([0, *ends], ends)]))
+    return blocks.withColumn("span", (begin + F.pmod(F.xxhash64("block"), F.greatest(n, F.lit(1)))).cast("int"))
+
+
+def sent(groups: DataFrame, bounds: list[float], ends: list[int]) -> DataFrame:
+    """groups with ``span``, once for each span of the tiers that hold a vector long enough."""
+    upto = F.get(F.array(*map(F.lit, ends)), _tier(_reach(F.col("need")), bounds))
+    return groups.where(upto > 0).withColumn("span", F.explode(F.sequence(F.lit(0), upto - 1)))
+
+
 def search(blocks: DataFrame, k: int = 5, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score for every marked row of a packed table. The plan is the same for any number of rows."""
     spark = blocks.sparkSession
@@ -323,12 +362,11 @@ def search(blocks: DataFrame, k: int = 5, group: int = GROUP) -> DataFrame:
     groups = seeded.drop("found").repartitionByRange(*order).sortWithinPartitions(*order)
     groups = groups.mapInArrow(_grouped(group), "dim int, number long, need double, blocks binary, places binary, query_ids binary, vectors binary, floors array<string>")
     groups = written(groups, "queries").withColumnRenamed("vectors", "query_vectors")
-    # Every group meets all other blocks, dealt into spans that a task can hold while groups pass by.
+    # The other blocks are dealt into spans that a task can hold while groups pass by: by length into tiers, then by hash.
     span = max(1, min(SPAN, n_blocks // (2 * spark.sparkContext.defaultParallelism)))
-    spans = max(1, -(-n_blocks // span))
-    others = blocks.join(first, ["dim", "block"], "left_anti").select("dim", "block", "top", "ids", "vectors").withColumn("span", F.pmod(F.xxhash64("block"), F.lit(spans)).cast("int"))
-    passing = groups.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
-    cells = passing.join(others, ["dim", "span"]).where(F.col("top") >= F.col("need") * F.when(F.col("need") > 0, 1 - 1e-9).otherwise(1 + 1e-9))
+    bounds, ends = tiers(blocks, span)
+    others = dealt(blocks.join(first, ["dim", "block"], "left_anti").select("dim", "block", "top", "ids", "vectors"), bounds, ends)
+    cells = sent(groups, bounds, ends).join(others, ["dim", "span"]).where(F.col("top") >= _reach(F.col("need")))
     cells = cells.select("dim", "number", "blocks", "places", "query_ids", "query_vectors", "floors", "block", "ids", "vectors")
     found = cells.mapInArrow(_searched(k), _FOUND).unionByName(seeded.mapInArrow(_told, _FOUND))
     best = Window.partitionBy("block", "place").orderBy(F.col("strength").desc(), "vec_id")

@@ -81,3 +81,33 @@ def test_groups_and_spans_of_any_size_give_the_same(spark, monkeypatch):
 def test_strength_keeps_the_order():
     numbers = sorted([0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 10**400, -(10**400), 3, -3])
     assert sorted(numbers, key=e.strength) == numbers
+
+
+def test_groups_are_sent_only_where_vectors_are_long_enough(spark, monkeypatch):
+    monkeypatch.setattr(e, "BLOCK", 16)
+    r = random.Random(9)
+    rows = [(i, [float(np.float32(r.gauss(0, 1) * r.paretovariate(0.8))) for _ in range(6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    made = []
+    sent = e.sent
+    monkeypatch.setattr(e, "sent", lambda groups, bounds, ends: made.append((groups.count(), len(ends), ends[-1], sent(groups, bounds, ends).count())) or sent(groups, bounds, ends))
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in e.search(e.pack(df, query=F.col("vec_id") % 5 == 0), 3, group=7).collect())
+    assert got == brute(rows, 5, 3)
+    ((groups, tiers, spans, copies),) = made
+    assert groups >= 18 and tiers > 5 and spans > 5
+    # With lengths as uneven as these, few groups need to look beyond the longest vectors.
+    assert copies < 0.4 * groups * spans
+
+
+def test_blocks_of_one_length_fill_as_many_spans(spark):
+    blocks = spark.range(1000).select(F.lit(3).alias("dim"), F.col("id").alias("block"), F.when(F.col("id") < 50, F.lit(9.0) + F.col("id")).when(F.col("id") < 900, 7.0).otherwise(F.col("id") / 1000).alias("top"))
+    bounds, ends = e.tiers(blocks, 4)
+    assert 240 <= ends[-1] <= 600 and bounds == sorted(bounds, reverse=True)
+    sizes = [r["count"] for r in e.dealt(blocks, bounds, ends).groupBy("span").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 16 and len(sizes) > 150
+    # Whatever a group needs, it meets every block that is long enough.
+    needs = [float("-inf"), -1.0, 0.0, 0.95, 6.9, 7.0, 7.1, 20.0, 1e9]
+    groups = spark.createDataFrame([(i, x) for i, x in enumerate(needs)], "number int, need double")
+    met = e.sent(groups, bounds, ends).join(e.dealt(blocks, bounds, ends), "span").where("top >= need").groupBy("number").count()
+    tops = [r.top for r in blocks.collect()]
+    assert {r.number: r["count"] for r in met.collect()} == {i: n for i, n in enumerate(sum(t >= x for t in tops) for x in needs) if n}
