@@ -91,9 +91,14 @@ def passives(words: list[str]) -> int:
     return n
 
 
-def rules(text: str) -> Analysis:
-    """Sentences and what is in them, by rules."""
-    parts = _END.sub(rf"\1{_BREAK}", text).replace("\n", _BREAK).split(_BREAK)
+def closed(end: re.Match[str]) -> str:
+    """The end of a sentence."""
+    return end[1] + _BREAK
+
+
+def rules(text: str, end: Callable[[re.Match[str]], str] | str = rf"\1{_BREAK}") -> Analysis:
+    """Sentences and what is in them, by rules. end: what becomes of a . ! or ? with white space after it."""
+    parts = _END.sub(end, text).replace("\n", _BREAK).split(_BREAK)
     sentences = [p for p in (p.strip(WHITE) for p in parts) if p]
     whole = _BREAK.join(sentences)
     low = whole.lower()
