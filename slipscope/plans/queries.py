@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, lexicon, markers, text
-from ..operators import composite, judging, probes, ranks, reports, stats, surface
+from ..operators import abbreviations, composite, judging, probes, ranks, reports, stats, surface
 from ..sources import store, tasks
 from . import inputs, oracles
 from .run import generate
@@ -184,6 +184,16 @@ def io16_stage_reused(spark: SparkSession, sf: str) -> DataFrame:
     return store.stage(spark, path, lambda: _responses(spark, sf)).select("task_id", "n_boosters")
 
 
+@query(f"{WITH_FEATURES} SELECT task_id, n_hedges AS n FROM features")
+def io16_stage_made_again(spark: SparkSession, sf: str) -> DataFrame:
+    path, docs = store.new_path(spark, "features"), inputs.table(spark, sf, "documents")
+    made = lambda column, setting: store.stage(spark, path, lambda: surface.features(_responses(spark, sf)).select("task_id", F.col(column).alias("n")), [docs], counted=setting)
+    made("n_boosters", "boosters")
+    # Another setting makes the table again; the same one finds it as it is.
+    made("n_hedges", "hedges")
+    return made("n_sentences", "hedges")
+
+
 @query("SELECT DISTINCT CAST(p_partkey AS BIGINT) AS p_partkey, array_to_string(list_sort(list_distinct([0, n // 4, n // 2, 3 * n // 4, n - 1])), ',') AS layers FROM (SELECT p_partkey, CAST(p_partkey % 80 + 1 AS INT) AS n FROM part)")
 def m6_selected_layers(spark: SparkSession, sf: str) -> DataFrame:
     n = (F.col("p_partkey") % 80 + 1).cast("int")
@@ -304,6 +314,20 @@ for _name, _spec in {
     ORACLE_SQL[_name], QUERIES[_name] = _spec
 
 
+_TOKEN = r"[\p{L}\p{N}]+(?:[.''-][\p{L}\p{N}]+)*\.?"
+_LIKELY = "n_stops * ln({p}) + (n - n_stops) * ln(1 - {p})"
+
+
+@query(rf"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS token FROM documents),
+w AS (SELECT CASE WHEN suffix(token, '.') THEN left(token, length(token) - 1) ELSE token END AS word, count(*) AS n, count(*) FILTER (suffix(token, '.')) AS n_stops FROM t GROUP BY 1),
+a AS (SELECT *, CAST(sum(n_stops) OVER () AS DOUBLE) / sum(n) OVER () AS share, length(word) - length(replace(word, '.', '')) AS inner_stops FROM w)
+SELECT word, n, n_stops, round(-2 * (({_LIKELY.format(p="share")}) - ({_LIKELY.format(p="0.99::DOUBLE")})) * exp(-(length(word) - inner_stops)) * (inner_stops + 1) * pow(CAST(length(word) - inner_stops AS DOUBLE), -(n - n_stops)), 4) + 0.0::DOUBLE AS score
+FROM a WHERE n_stops > 0 AND NOT regexp_matches(word, '^[\p{{N}}.''-]+$')""")
+def lx5_abbreviation_scores(spark: SparkSession, sf: str) -> DataFrame:
+    out = abbreviations.scores(abbreviations.counts(inputs.table(spark, sf, "documents")))
+    return out.withColumn("score", F.round("score", 4) + 0.0)
+
+
 # Probes
 
 
