@@ -99,7 +99,7 @@ def closed(end: re.Match[str]) -> str:
 def rules(text: str, end: Callable[[re.Match[str]], str] | str = rf"\1{_BREAK}") -> Analysis:
     """Sentences and what is in them, by rules. end: what becomes of a . ! or ? with white space after it."""
     parts = _END.sub(end, text).replace("\n", _BREAK).split(_BREAK)
-    sentences = [p for p in (p.strip(WHITE) for p in parts) if p]
+    sentences = [p for p in [p.strip(WHITE) for p in parts] if p]
     whole = _BREAK.join(sentences)
     low = whole.lower()
     words = [w for w in bare_words(low) if w]
@@ -128,22 +128,26 @@ def repeats(words: list[str]) -> bool:
 COUNTS = ["n_boosters", "n_hedges", "n_direct_evidence", "n_indirect_evidence", "n_concessive_structures", "n_bald_assertions", "n_first_hedges", "n_the", "n_articles", "n_questions", "n_passives", "n_tokens", "n_sentences", "n_repeated"]
 
 
-def counts(text: str, analyser: Callable[[str], Analysis] = rules, fix_case: bool = False) -> tuple[int, ...]:
+class Counter:
     """COUNTS of a text. The text is passed over once for all markers; its sentences only where a count is about them."""
-    sets = matcher((lowered(lexicon.BOOSTERS, fix_case), lowered(lexicon.HEDGES, fix_case), tuple(lexicon.DIRECT_EVIDENCE), tuple(lexicon.INDIRECT_EVIDENCE), tuple(lexicon.CONCESSIVES)))
-    boosters, hedges, direct, indirect, concessives = sets.counts(text.lower())
-    sentences, words, n_tokens, n_passives = analyser(text)
-    bald = len(sentences)
-    # A text without any marker of evidence has none in its sentences.
-    if direct or indirect:
-        evidence = matcher((tuple(lexicon.DIRECT_EVIDENCE + lexicon.INDIRECT_EVIDENCE),))
-        bald -= sum(evidence.counts(s.lower())[0] > 0 for s in sentences)
-    first = matcher((tuple(lexicon.HEDGES),)).counts(sentences[0].lower())[0] if sentences and hedges else 0
-    the = words.count("the")
-    return (
-        boosters, hedges, direct, indirect, concessives, bald, first, the, the + words.count("a") + words.count("an"),
-        sum(s.endswith("?") for s in sentences), n_passives, n_tokens, len(sentences), int(repeats(words)),
-    )
+
+    def __init__(self, analyser: Callable[[str], Analysis] = rules, fix_case: bool = False):
+        self.analyser = analyser
+        self.all = matcher((lowered(lexicon.BOOSTERS, fix_case), lowered(lexicon.HEDGES, fix_case), tuple(lexicon.DIRECT_EVIDENCE), tuple(lexicon.INDIRECT_EVIDENCE), tuple(lexicon.CONCESSIVES)))
+        self.evidence = matcher((tuple(lexicon.DIRECT_EVIDENCE + lexicon.INDIRECT_EVIDENCE),))
+        self.hedges = matcher((tuple(lexicon.HEDGES),))
+
+    def __call__(self, text: str) -> tuple[int, ...]:
+        boosters, hedges, direct, indirect, concessives = self.all.counts(text.lower())
+        sentences, words, n_tokens, n_passives = self.analyser(text)
+        # A text without any marker of evidence has none in its sentences.
+        told = sum(self.evidence.counts(s.lower())[0] > 0 for s in sentences) if direct or indirect else 0
+        first = self.hedges.counts(sentences[0].lower())[0] if sentences and hedges else 0
+        the = words.count("the")
+        return (
+            boosters, hedges, direct, indirect, concessives, len(sentences) - told, first, the, the + words.count("a") + words.count("an"),
+            sum(s[-1] == "?" for s in sentences), n_passives, n_tokens, len(sentences), int(repeats(words)),
+        )
 
 
 def counted(response: Column, analyser: Callable[[str], Analysis] = rules, fix_case: bool = False) -> Column:
@@ -151,7 +155,7 @@ def counted(response: Column, analyser: Callable[[str], Analysis] = rules, fix_c
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in COUNTS) + ">")
     def scan(texts: pa.Array) -> pa.Array:
-        rows = [counts(t, analyser, fix_case) for t in strings(texts)]
+        rows = [*map(Counter(analyser, fix_case), strings(texts))]
         columns = zip(*rows) if rows else [()] * len(COUNTS)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
 

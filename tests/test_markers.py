@@ -89,7 +89,7 @@ def test_long_texts_take_time_in_proportion():
 
     def took(n):
         began = time.perf_counter()
-        s.counts("It was seen that it might be. " * n)
+        s.Counter()("It was seen that it might be. " * n)
         return time.perf_counter() - began
 
     took(100)
