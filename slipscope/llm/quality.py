@@ -114,14 +114,19 @@ def fit(texts: list[bytes], ratings: np.ndarray, weights: np.ndarray) -> Ordinal
     y, n, cuts = np.searchsorted(grades, ratings), len(texts), len(grades) - 1
     weights = weights / weights.sum()
     rows, columns, values = [], [], []
-    for hashed, first in features(texts):
-        counts = np.diff(first)
-        owner = np.repeat(np.arange(n), counts)
-        some = hashed >= 0
-        cell, times = np.unique(owner[some] * (1 << (BITS + 1)) + hashed[some], return_counts=True)
-        rows.append(cell >> (BITS + 1))
-        columns.append(cell & ((1 << (BITS + 1)) - 1))
-        values.append(SCALE * times / np.maximum(counts, 1)[rows[-1]])
+    # Portions bound what the places of features take; texts stay whole.
+    for p in text_portions(texts):
+        for hashed, first in features(texts[p]):
+            counts = np.diff(first)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            some = hashed >= 0
+            cell, times = np.unique(owner[some] * (1 << (BITS + 1)) + hashed[some], return_counts=True)
+            mine = cell >> (BITS + 1)
+            rows.append(mine + p.start)
+            columns.append(cell & ((1 << (BITS + 1)) - 1))
+            values.append(SCALE * times / np.maximum(counts, 1)[mine])
+    if not rows:
+        rows, columns, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
     x = Sparse(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), n)
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
